@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe
+from barloom.llm import bpe, compression, tokenfile
 from barloom.llm.common import documents
 
 #: Folder of the public vocabulary files, the same on all executors.
@@ -19,8 +19,18 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), WORD_BPE)
 
 
+def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compression_rules(documents(spark, sf_dir))
+
+
+def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file_round_trip(documents(spark, sf_dir), BYTE_BPE)
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op5_compression_bands": op5_compression_bands,
+    "op6_arrow_token_files": op6_arrow_token_files,
 }
 
 ORACLES: dict[str, str] = {}
