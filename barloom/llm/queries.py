@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, compression, tokenfile
+from barloom.llm import bpe, compression, linededup, tokenfile
 from barloom.llm.common import documents
 
 #: Folder of the public vocabulary files, the same on all executors.
@@ -27,10 +27,17 @@ def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_round_trip(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op9_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op5_compression_bands": op5_compression_bands,
     "op6_arrow_token_files": op6_arrow_token_files,
+    "op9_bloom_line_dedup": op9_bloom_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_bloom_line_dedup": linededup.ORACLE,
+}
