@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, compression, linededup, tokenfile
+from barloom.llm import bpe, compression, langid, linededup, nbsvm, tokenfile
 from barloom.llm.common import documents
 
 #: Folder of the public vocabulary files, the same on all executors.
@@ -31,11 +31,21 @@ def op9_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(documents(spark, sf_dir))
 
 
+def op4_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op5_compression_bands": op5_compression_bands,
     "op6_arrow_token_files": op6_arrow_token_files,
     "op9_bloom_line_dedup": op9_bloom_line_dedup,
+    "op4_nbsvm_quality": op4_nbsvm_quality,
+    "op10_bitmask_language": op10_bitmask_language,
 }
 
 ORACLES: dict[str, str] = {
