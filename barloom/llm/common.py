@@ -47,7 +47,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, and a lost
     executor takes nothing with it."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,6 @@
 """Line dedup with two Bloom filters, for line keys seen once and seen twice.
 
-One pass over the texts fills the filters; partial filters merge by
-``twice = twice1 | twice2 | (once1 & once2)`` and ``once = once1 | once2``, in any order.  A second
-pass sends only the lines that the twice-seen filter knows to a shuffle, which confirms them by
+One pass over the texts fills the filters (see ``bloom``).  A second pass sends only the lines that the twice-seen filter knows to a shuffle, which confirms them by
 their exact keys and finds the document that keeps them.  The filters decide nothing: when they
 are too full, more lines are shuffled, and the result is the same.
 """
@@ -18,17 +16,10 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import small_batches, utf8
+from barloom.llm import bloom
+from barloom.llm.common import utf8
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
-#: Bits for each line, and the most bits of a filter.  The largest twice-seen filter, the only
-#: thing broadcast, is therefore 128 MB whatever the input.
-BITS_PER_LINE, MOST_BITS = 16, 1 << 30
-HASHES = 2
-SLICE = 1 << 20
-#: Line hashes that a task holds before it sends its partial filters on.
-HELD = 1_000_000
-
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -47,82 +38,20 @@ def line_keys(text: bytes) -> dict[bytes, None]:
     return keys
 
 
-def filter_bits(lines: int) -> int:
-    return min(MOST_BITS, max(SLICE, 1 << (max(1, lines * BITS_PER_LINE) - 1).bit_length()))
-
-
-def bit_positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """The HASHES places of each 64-bit hash: a row for each hash."""
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return (h[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) & np.uint64(bits - 1)
-
-
-def _partial_filters(hashes: list[int], bits: int) -> Iterator[pa.RecordBatch]:
-    """A task's two filters as sorted bit places, a row for each slice that has any."""
-    h, n = np.unique(np.array(hashes, np.uint64), return_counts=True)
-    places = bit_positions(h, bits)
-    once, twice = np.unique(places), np.unique(places[n > 1])
-    edges = np.arange(0, bits + 1, SLICE).astype(np.uint64)
-    cut1, cut2 = np.searchsorted(once, edges), np.searchsorted(twice, edges)
-    rows = [(i, once[a:b], twice[c:d]) for i, (a, b, c, d) in enumerate(zip(cut1, cut1[1:], cut2, cut2[1:])) if b > a]
-    low = np.uint64(SLICE - 1)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([(r[k] & low).astype("<u4").tobytes() for r in rows], pa.binary()) for k in (1, 2))],
-        ["slice", "once", "twice"],
-    )
-
-
-def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by slice -> the twice-seen bits of each slice."""
-
-    def row(at: int, twice: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["slice", "bits"])
-
-    at, once, twice = None, None, None
-    for batch in batches:
-        for i, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            if i != at:
-                if at is not None:
-                    yield row(at, twice)
-                at, once, twice = i, np.zeros(SLICE, bool), np.zeros(SLICE, bool)
-            a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-            twice[b] = True
-            twice[a[once[a]]] = True
-            once[a] = True
-    if at is not None:
-        yield row(at, twice)
-
-
-def twice_seen(docs: DataFrame) -> tuple[Broadcast, int]:
-    """The twice-seen filter over all lines of ``docs`` (text), and its number of bits."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def key_hashes(keys: Iterable[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, keys)), np.uint64)
+
+
+def repeated_keys(docs: DataFrame) -> Broadcast:
+    """The twice-seen filter over the distinct line keys of each document."""
     text = F.coalesce("text", F.lit(""))
     lines = docs.select(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 0
-    bits = filter_bits(lines)
-
-    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[int] = []
-        for batch in batches:
-            for t in utf8(batch.column(0)):
-                held.extend(map(xxhash.xxh3_64_intdigest, line_keys(t)))
-            if len(held) > HELD:
-                yield from _partial_filters(held, bits)
-                held = []
-        if held:
-            yield from _partial_filters(held, bits)
-
-    slices = docs.select("text").mapInArrow(fill, "slice int, once binary, twice binary")
-    dealt = slices.repartition(min(bits // SLICE, 4 * spark.sparkContext.defaultParallelism), "slice").sortWithinPartitions("slice")
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in dealt.mapInArrow(_merged, "slice int, bits binary").toLocalIterator():
-        whole[r["slice"] * SLICE // 8 : (r["slice"] + 1) * SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(whole), bits
+    return bloom.twice_seen(docs.select("text"), lambda batch: key_hashes([k for t in utf8(batch.column(0)) for k in line_keys(t)]), bloom.filter_bits(lines))
 
 
 def suspected_lines(docs: DataFrame) -> DataFrame:
     """Each document's distinct line keys that the twice-seen filter knows: doc_id, key, digest."""
-    seen, bits = twice_seen(docs)
+    seen = repeated_keys(docs)
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +60,7 @@ def suspected_lines(docs: DataFrame) -> DataFrame:
                 own = list(line_keys(t))
                 ids.extend([doc_id] * len(own))
                 keys.extend(own)
-            places = bit_positions(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)), bits)
-            known = ((seen.value[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
+            known = bloom.contains(seen.value, key_hashes(keys))
             for i in range(0, len(hits := np.flatnonzero(known)), 20_000):
                 part = hits[i : i + 20_000]
                 chosen = [keys[j] for j in part]

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, compression, jaccard, langid, linededup, nbsvm, tokenfile
+from barloom.llm import bpe, compression, jaccard, langid, linededup, nbsvm, suffix, tokenfile
 from barloom.llm.common import documents
 
 #: Folder of the public vocabulary files, the same on all executors.
@@ -43,6 +43,10 @@ def op8_divide_skip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op5_compression_bands": op5_compression_bands,
@@ -51,9 +55,11 @@ QUERIES = {
     "op4_nbsvm_quality": op4_nbsvm_quality,
     "op10_bitmask_language": op10_bitmask_language,
     "op8_divide_skip_jaccard": op8_divide_skip_jaccard,
+    "op7_suffix_levels": op7_suffix_levels,
 }
 
 ORACLES: dict[str, str] = {
     "op9_bloom_line_dedup": linededup.ORACLE,
     "op8_divide_skip_jaccard": jaccard.ORACLE,
+    "op7_suffix_levels": suffix.ORACLE,
 }
