@@ -94,6 +94,12 @@ def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray
 
 
 def contains(whole: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes the filter knows."""
-    places = bit_positions(h, len(whole) * 8)
-    return ((whole[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
+    """Which hashes the filter knows. Later places are looked up only where the first is set."""
+    out = np.zeros(len(h), bool)
+    left = np.arange(len(h))
+    low, last, step = np.uint64(len(whole) * 8 - 1), np.uint64(7), (h >> np.uint64(32)) | np.uint64(1)
+    for i in range(HASHES):
+        at = (h[left] + np.uint64(i) * step[left]) & low
+        left = left[(whole[at >> np.uint64(3)] >> (last - (at & last)).astype(np.uint8)) & 1 == 1]
+    out[left] = True
+    return out

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, compression, jaccard, langid, linededup, nbsvm, suffix, tokenfile
+from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup, nbsvm, suffix, token_counts, tokenfile
 from barloom.llm.common import documents
 
 #: Folder of the public vocabulary files, the same on all executors.
@@ -47,6 +47,14 @@ def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_report(documents(spark, sf_dir))
 
 
+def op2_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_token_counts(documents(spark, sf_dir), BYTE_BPE)
+
+
+def op3_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op5_compression_bands": op5_compression_bands,
@@ -56,10 +64,13 @@ QUERIES = {
     "op10_bitmask_language": op10_bitmask_language,
     "op8_divide_skip_jaccard": op8_divide_skip_jaccard,
     "op7_suffix_levels": op7_suffix_levels,
+    "op2_section_token_counts": op2_section_token_counts,
+    "op3_minhash_containment": op3_minhash_containment,
 }
 
 ORACLES: dict[str, str] = {
     "op9_bloom_line_dedup": linededup.ORACLE,
     "op8_divide_skip_jaccard": jaccard.ORACLE,
     "op7_suffix_levels": suffix.ORACLE,
+    "op3_minhash_containment": decontam.ORACLE,
 }

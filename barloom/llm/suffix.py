@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -78,17 +79,17 @@ def repeated_anchors(docs: DataFrame) -> Broadcast:
     return bloom.twice_seen(docs.select("text"), anchors, bloom.filter_bits(size // 40))
 
 
-OCCURRENCES = "digest binary, doc_id long, pos long, n long, total long"
+OCCURRENCES = "digest binary, doc_id long, row long, pos long, n long, total long"
 
 
 def occurrences(docs: DataFrame, seen: Broadcast, with_text: bool) -> DataFrame:
-    """Runs with an anchor that may stand elsewhere: digest of the run's text, doc_id, pos, n
+    """Runs with an anchor that may stand elsewhere: digest of the run's text, doc_id, row, pos, n
     strings, and ``total``, the strings up to the end of the run's last direct repeat.  With
     ``with_text`` also the anchor and the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in range(7)]
-        for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+        columns: list[list] = [[] for _ in range(8)]
+        for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
             anchors, starts, counts = runs(text)
             if not len(anchors):
                 continue
@@ -98,17 +99,17 @@ def occurrences(docs: DataFrame, seen: Broadcast, with_text: bool) -> DataFrame:
                 part = text[s : s + c + LENGTH - 1]
                 digest = xxhash.xxh3_128_digest(part)
                 if digest == last and s == end:
-                    columns[4][-1] += c
+                    columns[5][-1] += c
                 else:
-                    for column, x in zip(columns, (digest, doc_id, s, c, c, a, part)):
+                    for column, x in zip(columns, (digest, doc_id, row, s, c, c, a, part)):
                         column.append(x)
                 last, end = digest, s + c
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["digest", "doc_id", "pos", "n", "total", "anchor", "text"]
-        wanted = 7 if with_text else 5
+        types = [pa.binary(), *[pa.int64()] * 6, pa.binary()]
+        names = ["digest", "doc_id", "row", "pos", "n", "total", "anchor", "text"]
+        wanted = 8 if with_text else 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:wanted], types)], names[:wanted])
 
-    return map_batches(docs.select("doc_id", "text"), run, OCCURRENCES + ", anchor long, text binary" * with_text)
+    return map_batches(docs.select("doc_id", "row", "text"), run, OCCURRENCES + ", anchor long, text binary" * with_text)
 
 
 class Levels:
@@ -200,8 +201,8 @@ def repeats_in_classes(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, pos, n, repeats: runs with strings that also start earlier; all of the n strings
-    from ``pos`` on, or those among them that ``repeats`` has a bit for."""
+    """``docs`` (doc_id, row, text) -> doc_id, row, pos, n, repeats: runs with strings that also
+    start earlier; all of the n strings from ``pos`` on, or those that ``repeats`` has a bit for."""
     seen = repeated_anchors(docs)
     place = F.struct("doc_id", "pos")
     # a class's texts are equal, so any of them will do
@@ -212,9 +213,9 @@ def repeated_strings(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     found = occurrences(docs, seen, False).join(verdicts, "digest")
     is_first = place == F.col("first")
     whole = found.filter(~is_first | (F.col("total") > F.col("n"))).select(
-        "doc_id", F.when(is_first, F.col("pos") + F.col("n")).otherwise(F.col("pos")).alias("pos"), F.when(is_first, F.col("total") - F.col("n")).otherwise(F.col("total")).alias("n"), F.lit(None).cast("binary").alias("repeats")
+        "doc_id", "row", F.when(is_first, F.col("pos") + F.col("n")).otherwise(F.col("pos")).alias("pos"), F.when(is_first, F.col("total") - F.col("n")).otherwise(F.col("total")).alias("n"), F.lit(None).cast("binary").alias("repeats")
     )
-    return whole.union(found.filter(is_first & F.col("repeats").isNotNull()).select("doc_id", "pos", "n", "repeats"))
+    return whole.union(found.filter(is_first & F.col("repeats").isNotNull()).select("doc_id", "row", "pos", "n", "repeats"))
 
 
 def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -224,24 +225,23 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     document with a smaller doc_id, or further up in the same one.  Strings are judged on the
     input.  Texts are UTF-8 bytes and may be cut inside a character, so what is kept is binary.
     Null and empty texts, and those shorter than LENGTH, lose nothing.  Rows that share a doc_id
-    must have the same text: they are one document.  Rows without a doc_id lose nothing and count
+    count as one document, none before the other.  Rows without a doc_id lose nothing and count
     nowhere.  Other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    found = repeated_strings(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() else docs.filter("doc_id is not null"), crowded)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "repeats")).alias("found"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    found = repeated_strings(docs.filter("doc_id is not null"), crowded)
+    by_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "n", "repeats")).alias("found"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            found = batch.column(2)
-            fields = found.flatten().flatten()
-            at, ns, bits = fields[0].to_numpy(), fields[1].to_numpy(), fields[2].to_pylist()
-            ends = np.cumsum(np.array([len(x) if x is not None else 0 for x in found.to_pylist()], np.int64)) if len(at) else np.zeros(batch.num_rows, np.int64)
+            found = batch.column(3)
+            at, ns, bits = (x.to_pylist() for x in found.flatten().flatten())
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
             begin = 0
-            for text, end in zip(utf8(batch.column(1)), ends.tolist()):
+            for text, end in zip(utf8(batch.column(2)), ends.tolist()):
                 change = np.zeros(len(text) + 1, np.int64)
-                for p, n, b in zip(at[begin:end].tolist(), ns[begin:end].tolist(), bits[begin:end]):
+                for p, n, b in zip(at[begin:end], ns[begin:end], bits[begin:end]):
                     if b is None:
                         change[p] += 1
                         change[p + n + LENGTH - 1] -= 1
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     small_batches(docs.sparkSession)
-    return docs.join(by_doc, "doc_id", "left").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return docs.join(by_doc, ["doc_id", "row"], "left").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
