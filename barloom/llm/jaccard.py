@@ -2,8 +2,8 @@
 
 The join is a T-occurrence search.  A document that is similar to a query shares at least T of its
 shingles, so it stands in at least T of the query's inverted lists.  Documents first meet through
-the lists of their rarest shingles (any T-sharing pair has one of those in common); then DivideSkip
-counts how often each candidate occurs: the short lists are merged with a heap, the L longest ones
+the lists of their rarest shingles (any T-sharing pair has several of those in common); DivideSkip
+then counts how often each candidate occurs: the short lists are merged with a heap, the L longest ones
 are only probed, by binary search, for candidates with at least T - L occurrences in the short ones.
 
 Equal shingle sets are one class with one representative.  Within a large group of near copies,
@@ -26,6 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm import bloom
 from barloom.llm.common import map_batches, shingle_hashes, small_batches, stored, utf8, word_hashes, words_of
 from barloom.llm.components import components
 
@@ -39,6 +40,9 @@ LONG_LISTS = 1_000_000
 HUB_ROUNDS = 2
 #: Shingles of candidates that one search holds at a time.
 CHUNK = 400_000
+#: Similar sets of n and more share n / SHARED of their rarest shingles, for which each set offers
+#: as many more than it must.
+SHARED = 20
 #: DivideSkip's constant: L = T / (MU * log2(longest list) + 1).
 MU = 0.0085
 
@@ -118,7 +122,7 @@ def long_lists(docs: DataFrame) -> np.ndarray:
 def rarest(s: np.ndarray, keys: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The part of a set through which it meets any set similar to it: its first shingles in the
     order of short lists (by hash), then long ones, the longest last."""
-    n = len(s) - -(-percent * len(s) // 100) + 1
+    n = len(s) - -(-percent * len(s) // 100) + max(1, len(s) // SHARED)
     if not len(keys):
         return s[:n]
     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
@@ -143,8 +147,27 @@ def signatures(docs: DataFrame, long: Broadcast, percent: int = PERCENT) -> Data
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, rare binary")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """``classes`` (rep, n, rare) -> key, rep, n: the lists that have two representatives or more."""
+def shared_only(marks: DataFrame) -> DataFrame:
+    """``marks`` with those of the rare shingles that a twice-seen filter knows: few are left,
+    as most shingles stand in one document alone."""
+    n = marks.select(F.sum(F.length("rare")) / 8).first()[0] or 0
+
+    def joined(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+
+    known = bloom.twice_seen(marks.select("rare"), joined, bloom.filter_bits(int(n) // 2))
+
+    def prune(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+        left = [x[bloom.contains(known.value, x)].tobytes() for x in sets]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(left, pa.binary())], ["doc_id", "n", "digest", "rare"])
+
+    return map_batches(marks.select("doc_id", "n_shingles", "digest", "rare"), prune, "doc_id long, n long, digest binary, rare binary")
+
+
+def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``classes`` (rep, n, rare) -> key, rep, n: the lists, without the representatives that no
+    other in the list has a size near enough to."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,26 +180,29 @@ def postings(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(reps[part]), pa.array(ns[part])], ["key", "rep", "n"])
 
     small_batches(classes.sparkSession)
-    lists = classes.select("rep", "n", "rare").mapInArrow(spread, "key long, rep long, n long")
-    return lists.withColumn("length", F.count("*").over(Window.partitionBy("key"))).filter("length > 1").drop("length")
+    lists = classes.select("rep", "n", "rare").filter("length(rare) > 0").mapInArrow(spread, "key long, rep long, n long")
+    by_size = Window.partitionBy("key").orderBy("n")
+    near = lists.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    return near.filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("key", "rep", "n")
 
 
-def search(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``pairs`` (a, b: a is the query) and ``sets`` (rep, n, shingles) -> the similar a, b.
+def search(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``pairs`` (a, b: a is the query; m shingles of b) and ``texts`` (rep, text) -> the similar
+    a, b.
 
     A query's candidates are dealt into chunks by the size of their sets, and each chunk is
     searched on its own, so a hub with very many candidates isn't one task's work.
     """
-    chunks = pairs.join(sets.select(F.col("rep").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
+    chunks = pairs.groupBy("a").agg(F.ceil(F.sum("m") / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
-    candidates = dealt.join(sets.select(F.col("rep").alias("b"), "shingles"), "b").select("a", "chunk", "b", "shingles")
-    queries = dealt.select("a", "chunk").distinct().join(sets.select(F.col("rep").alias("a"), "shingles"), "a")
-    rows = candidates.unionByName(queries.select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles"))
+    candidates = dealt.join(texts.select(F.col("rep").alias("b"), "text"), "b").select("a", "chunk", "b", "text")
+    queries = dealt.select("a", "chunk").distinct().join(texts.select(F.col("rep").alias("a"), "text"), "a")
+    rows = candidates.unionByName(queries.select("a", "chunk", F.lit(None).cast("long").alias("b"), "text"))
 
     def one(group: pa.Table) -> pa.Table:
-        b, shingles = group.column("b").to_pylist(), [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        query = next(s for x, s in zip(b, shingles) if x is None)
-        others = [(x, s) for x, s in zip(b, shingles) if x is not None]
+        b, sets = group.column("b").to_pylist(), [shingle_set(t) for t in utf8(group.column("text"))]
+        query = next(s for x, s in zip(b, sets) if x is None)
+        others = [(x, s) for x, s in zip(b, sets) if x is not None]
         hits = [x for (x, _), ok in zip(others, divide_skip(query, [s for _, s in others], percent)) if ok]
         return pa.table({"a": pa.array([group.column("a")[0].as_py()] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
@@ -188,8 +214,8 @@ def _fits(n: str, m: str, percent: int) -> F.Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
-def similar_classes(posts: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``posts`` (key, rep, n), ``sets`` (rep, n, shingles) -> rep, component of linked classes."""
+def similar_classes(posts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``posts`` (key, rep, n), ``texts`` (rep, text) -> rep, component of linked classes."""
     spark = posts.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "node long, component long")
@@ -204,14 +230,18 @@ def similar_classes(posts: DataFrame, sets: DataFrame, percent: int = PERCENT) -
             sizes = own.groupBy("key", "component").agg(F.count("*").alias("size"))
             main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
             marked = own.join(main, "key")
-            few = marked.filter("component <> main").select("key", F.col("rep").alias("a"), F.col("n"), F.col("component").alias("own"))
-            rest = marked.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), "component", "main")
-            met = few.join(rest, "key").filter("own <> component and (component = main or a < b)")
-        ordered = met.filter(_fits("n", "m", percent)).select(*(F.col(c) for c in ("a", "b"))).distinct()
+            few = marked.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("own"))
+            rest = marked.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), "component", "main")
+            turned = F.col("x") > F.col("y")
+            pick = lambda one, other: F.when(turned, F.col(other)).otherwise(F.col(one))
+            met = few.join(rest, "key").filter("own <> component and (component = main or x < y)")
+            met = met.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("nx", "ny").alias("n"), pick("ny", "nx").alias("m"))
+        enough = F.greatest(F.lit(1), F.floor(F.least("n", "m") / SHARED))
+        often = met.filter(_fits("n", "m", percent)).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared")).filter(F.col("shared") >= enough)
         known = tested.union(tested.select("b", "a"))
-        pairs = stored(ordered.join(known, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(stored(search(pairs, sets, percent), "links"))
-        tested = tested.union(pairs)
+        pairs = stored(often.join(known, ["a", "b"], "left_anti").select("a", "b", "m"), "pairs")
+        links = links.union(stored(search(pairs, texts, percent), "links"))
+        tested = tested.union(pairs.select("a", "b"))
         found = components(links)
     return found.withColumnRenamed("node", "rep")
 
@@ -233,17 +263,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     long = spark.sparkContext.broadcast((keys[order], len(keys) - order))  # the longest list has the highest rank
     marks = stored(signatures(docs, long, percent), "signatures")
     usable = marks.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "rare")).alias("first")).select("digest", "first.*")
-    posts = stored(postings(classes), "postings")
+    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "rare")).alias("first"))
+    classes = stored(first.select("digest", "first.*"), "classes")
+    posts = stored(postings(classes, percent), "postings")
     wanted = posts.select("rep").distinct()
-
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t) for t in utf8(batch.column(1))]
-        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["rep", "n", "shingles"])
-
-    sets = stored(map_batches(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi"), whole, "rep long, n long, shingles binary").dropDuplicates(["rep"]), "sets")
-    found = similar_classes(posts, sets, percent)
+    texts = stored(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"), "texts")
+    found = similar_classes(posts, texts, percent)
     reached = classes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     joined = marks.withColumn("digest", F.when(~empty, F.col("digest"))).join(reached, "digest", "left")
