@@ -3,18 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import bpe, queries
+from barloom.llm import bpe, compression, decontam, jaccard, linededup, queries
 from barloom.llm.common import documents, stored
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the compression bands keep."""
+    rejected = compression.compression_rules(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many of them share; n_chars is the new length."""
+    cut = linededup.drop_repeated_lines(docs, ("lang", "source"))
+    return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of similar ones."""
+    groups = jaccard.near_duplicates(docs)
+    copies = groups.filter("component_id < doc_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded texts."""
     return bpe.round_trip(docs, queries.WORD_BPE)
 
 
-STAGES = [("tokenize", tokenize)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("tokenize", tokenize),
+]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the compression bands and the encoding; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
