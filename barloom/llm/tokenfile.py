@@ -2,7 +2,7 @@
 
 The corpus, in ascending doc_id order, is cut into shards; each shard is a pair of Arrow files.
 ``<shard>.sequences.arrow`` has record batches with the columns ``ids`` (a fixed-size list of
-unsigned 16- or 32-bit ids) and ``mask`` (a fixed-size list of bytes: 1 for a token, 0 for
+unsigned 16- or 32-bit ids) and ``mask`` (a fixed-size list of bits: set for a token, not for
 padding, which only a shard's last sequence has).  Fixed-size lists have no offsets and batches
 lie uncompressed, so a memory map gives any sequence without a copy or a parse of what precedes.
 ``<shard>.documents.arrow`` has the documents of the shard with their first token's place in it.
@@ -11,6 +11,7 @@ The manifest, a Parquet table, has one row a shard.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm.common import CACHE_ENTRIES, shared_folder, small_batches
+from barloom.llm.common import shared_folder, small_batches
 
 SEQUENCE = 2048
 #: Sequences in one record batch of a file.
@@ -32,6 +33,9 @@ BATCH_SEQUENCES = 64
 #: Documents in one shard, at most; a shard also ends where its partition does.
 SHARD_DOCUMENTS = 50_000
 
+#: Chunks that a worker keeps before it starts anew, about 150 bytes each.
+KEPT_CHUNKS = 800_000
+
 #: Text in which single spaces can be cut without changing what the byte-level pattern finds.
 PLAIN = re.compile("[\x09-\x0d\x20-\x7e¡-¬®-ɏ]*")
 
@@ -40,46 +44,71 @@ class ChunkEncoder:
     """The library's ids for texts, with those of space-delimited chunks kept in a bounded cache.
 
     The byte-level pattern never joins a space to what stands before it, except in runs of white
-    space, so a Latin text without two spaces in a row may be cut before every space.
+    space, so a Latin text without two spaces in a row may be cut before every space.  Chunks that
+    are not in the cache are encoded together, with the vocabulary's special token, at which the
+    library cuts before anything else, between each two.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        self.added = re.compile("|".join(map(re.escape, added)))
+        self.between, self.between_id = next(iter(added.items()))
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.chunks: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # ids of chunks at the start of a text
+        self.chunks: dict[str, bytes] = {}  # ids of chunks with the space that stands before them
+
+    def _learn(self, cache: dict[str, bytes], new: set[str], space: str) -> None:
+        fresh = list(new - cache.keys())
+        groups = [fresh[i : i + 500] for i in range(0, len(fresh), 500)]
+        joined = [self.between.join([space + x for x in g]) for g in groups]
+        for group, e in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            ends = [*(np.flatnonzero(ids == self.between_id) * self.kind.itemsize).tolist(), ids.nbytes]
+            ids, at = ids.tobytes(), 0
+            for x, end in zip(group, ends):
+                cache[x] = ids[at:end]
+                at = end + self.kind.itemsize
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks.clear()
-        rows: list[list[str]] = []
+        for cache in (self.first, self.chunks):
+            if len(cache) > KEPT_CHUNKS:
+                cache.clear()
+        rows: list[list[str] | None] = []
+        heads: set[str] = set()
         new: set[str] = set()
+        whole = []
         for text in texts:
-            if not text:
-                row = []
-            elif "  " in text or not PLAIN.fullmatch(text) or self.added and self.added.search(text):
-                row = [text]
+            if "  " in text or not PLAIN.fullmatch(text) or self.added.search(text):
+                rows.append(None)
+                whole.append(text)
+            else:
+                row = text.split(" ")
+                heads.add(row[0])
+                new.update(row[1:])
+                rows.append(row)
+        self._learn(self.first, heads, "")
+        self._learn(self.chunks, new, " ")
+        encoded = iter(self.library.encode_batch_fast(whole, add_special_tokens=False))
+        out = []
+        for row in rows:
+            if row is None:
+                out.append(np.array(next(encoded).ids, self.kind).tobytes())
             else:
-                first, *rest = text.split(" ")
-                row = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-            new.update(row)
-            rows.append(row)
-        fresh = list(new - self.chunks.keys())
-        for x, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.chunks[x] = np.array(e.ids, self.kind).tobytes()
-        out = [b"".join(map(self.chunks.__getitem__, row)) for row in rows]
-        for x in fresh:
-            if len(x) > 64:
-                del self.chunks[x]
+                out.append(self.first[row[0]] + b"".join(map(self.chunks.__getitem__, row[1:])))
+        for cache, seen in ((self.first, heads), (self.chunks, new)):
+            for x in seen:
+                if len(x) > 64:
+                    cache.pop(x, None)
         return out
 
 
 @lru_cache(maxsize=2)
 def chunk_encoder(path: str) -> ChunkEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     return ChunkEncoder(path)
 
 
@@ -101,7 +130,7 @@ class ShardWriter:
         self.path = f"{folder}/{self.name}"
         self.files.create_dir(folder, recursive=True)
         list_of = lambda t: pa.list_(t, sequence)
-        self.schema = pa.schema([("ids", list_of(pa.from_numpy_dtype(kind))), ("mask", list_of(pa.uint8()))])
+        self.schema = pa.schema([("ids", list_of(pa.from_numpy_dtype(kind))), ("mask", list_of(pa.bool_()))])
         self.sink = self.files.open_output_stream(f"{self.path}.sequences.arrow")
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.waiting, self.held, self.n_tokens = [], 0, 0
@@ -121,11 +150,11 @@ class ShardWriter:
         ids = np.frombuffer(b"".join(self.waiting), self.kind)
         whole = len(ids) // self.sequence * self.sequence
         body, rest = ids[:whole], ids[whole:]
-        mask = np.ones(whole, np.uint8)
+        mask = np.ones(whole, bool)
         if last and len(rest):
             pad = np.zeros(self.sequence - len(rest), self.kind)
             body = np.concatenate([body, rest, pad])
-            mask = np.concatenate([mask, np.ones(len(rest), np.uint8), np.zeros(len(pad), np.uint8)])
+            mask = np.concatenate([mask, np.ones(len(rest), bool), np.zeros(len(pad), bool)])
             rest = rest[:0]
         step = BATCH_SEQUENCES * self.sequence
         for i in range(0, len(body), step):
@@ -187,12 +216,12 @@ def open_shard(uri: str, shard: str) -> tuple[pa.RecordBatchFileReader, pa.Table
     return pa.ipc.open_file(get(f"{folder}/{shard}.sequences.arrow")), documents
 
 
-def sequence_at(reader: pa.RecordBatchFileReader, i: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence_at(reader: pa.RecordBatchFileReader, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of a shard's i-th sequence: views of the mapped file."""
     batch, row = reader.get_batch(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
     ids, mask = batch.column(0), batch.column(1)
     width = ids.type.list_size
-    return tuple(x.values.to_numpy(zero_copy_only=True)[row * width : (row + 1) * width] for x in (ids, mask))
+    return ids.values.to_numpy(zero_copy_only=True)[row * width : (row + 1) * width], mask.values.slice(row * width, width)
 
 
 def read_documents(uri: str, shard: str) -> Iterator[tuple[int, int, np.ndarray]]:
