@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import bloom
-from barloom.llm.common import map_batches, shingle_hashes, small_batches, stored, utf8, word_hashes, words_of
+from barloom.llm.common import free_shuffles, map_batches, shingle_hashes, small_batches, stored, utf8, word_hashes, words_of
 from barloom.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -35,14 +35,16 @@ SHINGLE, PERCENT = 5, 80
 #: order in which shingles count as rare; any order gives the same links.
 LIST_SAMPLE = 8
 #: Lists that come out as long, at most; the table of them is broadcast (8 bytes each).
-LONG_LISTS = 1_000_000
-#: Rounds in which candidates meet through hubs.
-HUB_ROUNDS = 2
+LONG_LISTS = 500_000
+#: Documents of a list against which all others in it are compared in one round; rounds go on
+#: while comparing all that is still apart would make more than REST pairs for each posting and a
+#: WORTH of the pairs link, and for HUB_ROUNDS at most.
+HUBS, REST, WORTH, HUB_ROUNDS = 4, 2, 0.05, 8
 #: Shingles of candidates that one search holds at a time.
 CHUNK = 400_000
 #: Similar sets of n and more share n / SHARED of their rarest shingles, for which each set offers
 #: as many more than it must.
-SHARED = 20
+SHARED = 10
 #: DivideSkip's constant: L = T / (MU * log2(longest list) + 1).
 MU = 0.0085
 
@@ -91,99 +93,104 @@ def long_lists(docs: DataFrame) -> np.ndarray:
     """Shingles of the longest lists, from the longest on, as a sample of the documents shows."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(LIST_SAMPLE)) == 0).select("text")
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        seen: set[bytes] = set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                keep = n > 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].astype(np.int64)), pa.array(n[keep])], ["key", "n"])
-            held.clear()
-            seen.clear()
-
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                s = shingle_set(text)
-                if (digest := xxhash.xxh3_64_digest(s.tobytes())) not in seen:
-                    seen.add(digest)
-                    held.append(s)
-            if sum(map(len, held)) > 2_000_000:
-                yield from flush()
-        yield from flush()
+            sets = {s.tobytes() for s in map(shingle_set, utf8(batch.column(0)))}  # copies count once
+            keys = np.frombuffer(b"".join(sets), np.int64)
+            for i in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000])], ["key"])
 
     small_batches(docs.sparkSession)
-    counted = some.coalesce(max(1, some.sparkSession.sparkContext.defaultParallelism)).mapInArrow(count, "key long, n long")
-    longest = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(LONG_LISTS)
+    counted = some.mapInArrow(spread, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    longest = counted.orderBy(F.desc("n"), "key").limit(LONG_LISTS)
     return np.array([r["key"] for r in longest.select("key").toLocalIterator()], np.int64).astype(np.uint64)
 
 
-def rarest(s: np.ndarray, keys: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The part of a set through which it meets any set similar to it: its first shingles in the
-    order of short lists (by hash), then long ones, the longest last."""
-    n = len(s) - -(-percent * len(s) // 100) + max(1, len(s) // SHARED)
+def rarest(s: np.ndarray, keys: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
+    """The part of a set through which it meets the sets similar to it; how many of the part's
+    shingles are short, the others being long; and how many of the whole set are long, or -1 if
+    the part has not all of the set's short ones.
+
+    The part has the first shingles in the order of short lists (by hash), then long ones, the
+    longest last.  If fewer of the set are long than it must share, long ones alone link it with
+    nothing, and the part does without them.
+    """
+    least = -(-percent * len(s) // 100)
+    n = len(s) - least + max(1, len(s) // SHARED)
     if not len(keys):
-        return s[:n]
+        return s[:n], n, -1
     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
     rank = np.where(keys[at] == s, ranks[at], 0)
-    return s[np.argsort(rank, kind="stable")[:n]]
+    part = np.argsort(rank, kind="stable")[:n]
+    short, long = int((rank[part] == 0).sum()), int((rank > 0).sum())
+    if short < len(s) - long or not long:
+        return s[part], short, -1
+    return s[part[:short] if long < least else part], short, long
 
 
 def signatures(docs: DataFrame, long: Broadcast, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set), rare (the shingles of ``rarest``)."""
+    """doc_id, n_shingles, digest (of the whole set), short and rest (the shingles of ``rarest``),
+    long (how many of the set are, or -1)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, ranks = long.value
         sets = [shingle_set(t) for t in utf8(batch.column(1))]
+        parts = [rarest(s, keys, ranks, percent) if len(s) else (s, 0, -1) for s in sets]
         columns = [
             batch.column(0),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-            pa.array([rarest(s, keys, ranks, percent).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+            pa.array([part[:n].tobytes() for part, n, _ in parts], pa.binary()),
+            pa.array([part[n:].tobytes() for part, n, _ in parts], pa.binary()),
+            pa.array([known for *_, known in parts], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "rare"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "short", "rest", "long"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, rare binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, short binary, rest binary, long long")
 
 
 def shared_only(marks: DataFrame) -> DataFrame:
     """``marks`` with those of the rare shingles that a twice-seen filter knows: few are left,
     as most shingles stand in one document alone."""
-    n = marks.select(F.sum(F.length("rare")) / 8).first()[0] or 0
+    n = marks.select(F.sum(F.length("short") + F.length("rest")) / 8).first()[0] or 0
 
     def joined(batch: pa.RecordBatch) -> np.ndarray:
-        return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        return np.frombuffer(b"".join([*batch.column(0).to_pylist(), *batch.column(1).to_pylist()]), np.uint64)
 
-    known = bloom.twice_seen(marks.select("rare"), joined, bloom.filter_bits(int(n) // 2))
+    known = bloom.twice_seen(marks.select("short", "rest"), joined, bloom.filter_bits(int(n) // 2))
 
     def prune(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-        left = [x[bloom.contains(known.value, x)].tobytes() for x in sets]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(left, pa.binary())], ["doc_id", "n", "digest", "rare"])
+        parts = []
+        for i in (4, 5):
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()]
+            parts.append(pa.array([x[bloom.contains(known.value, x)].tobytes() for x in sets], pa.binary()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], *parts], ["doc_id", "n", "long", "digest", "short", "rest"])
 
-    return map_batches(marks.select("doc_id", "n_shingles", "digest", "rare"), prune, "doc_id long, n long, digest binary, rare binary")
+    columns = marks.select("doc_id", "n_shingles", "long", "digest", "short", "rest")
+    return map_batches(columns, prune, "doc_id long, n long, long long, digest binary, short binary, rest binary")
 
 
 def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``classes`` (rep, n, rare) -> key, rep, n: the lists, without the representatives that no
-    other in the list has a size near enough to."""
+    """``classes`` (rep, n, long, short, rest) -> key, rep, n, long, is_long: the lists, without
+    the representatives that no other in the list has a size near enough to."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rare = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            sizes = [len(x) for x in rare]
-            reps, ns = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1))
-            keys = np.concatenate(rare)
-            for i in range(0, len(keys), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(reps[part]), pa.array(ns[part])], ["key", "rep", "n"])
+            for column, is_long in ((3, False), (4, True)):
+                parts = [np.frombuffer(x, np.int64) for x in batch.column(column).to_pylist()]
+                sizes = [len(x) for x in parts]
+                own = [np.repeat(batch.column(i).to_numpy(), sizes) for i in range(3)]
+                keys = np.concatenate(parts)
+                for i in range(0, len(keys), 100_000):
+                    part = slice(i, i + 100_000)
+                    columns = [pa.array(keys[part]), *(pa.array(x[part]) for x in own), pa.array(np.full(len(keys[part]), is_long))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "long", "is_long"])
 
     small_batches(classes.sparkSession)
-    lists = classes.select("rep", "n", "rare").filter("length(rare) > 0").mapInArrow(spread, "key long, rep long, n long")
+    lists = classes.select("rep", "n", "long", "short", "rest").mapInArrow(spread, "key long, rep long, n long, long long, is_long boolean")
     by_size = Window.partitionBy("key").orderBy("n")
     near = lists.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    return near.filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("key", "rep", "n")
+    return near.filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("key", "rep", "n", "long", "is_long")
 
 
 def search(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -215,34 +222,48 @@ def _fits(n: str, m: str, percent: int) -> F.Column:
 
 
 def similar_classes(posts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``posts`` (key, rep, n), ``texts`` (rep, text) -> rep, component of linked classes."""
+    """``posts`` (key, rep, n, long, is_long), ``texts`` (rep, text) -> rep, component of linked
+    classes.
+
+    A pair goes to the search if its parts share enough.  Where both parts have all short shingles
+    of their sets, as many short ones must be shared as the long ones can't make up for; else the
+    parts share one in SHARED of the smaller set's size.
+    """
     spark = posts.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "node long, component long")
+    found, hubs = spark.createDataFrame([], "node long, component long"), True
     for turn in range(HUB_ROUNDS + 1):
         own = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        own = own.join(apart, "key")
-        if turn < HUB_ROUNDS:  # each list's documents against one of them
-            hub = own.groupBy("key").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
-            met = own.join(hub, "key").filter(F.col("component") != F.col("hub.component")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
-        else:  # in lists of several components, all that is outside the list's largest one against the rest
-            sizes = own.groupBy("key", "component").agg(F.count("*").alias("size"))
-            main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-            marked = own.join(main, "key")
-            few = marked.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("own"))
-            rest = marked.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), "component", "main")
-            turned = F.col("x") > F.col("y")
-            pick = lambda one, other: F.when(turned, F.col(other)).otherwise(F.col(one))
-            met = few.join(rest, "key").filter("own <> component and (component = main or x < y)")
-            met = met.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("nx", "ny").alias("n"), pick("ny", "nx").alias("m"))
-        enough = F.greatest(F.lit(1), F.floor(F.least("n", "m") / SHARED))
-        often = met.filter(_fits("n", "m", percent)).groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared")).filter(F.col("shared") >= enough)
-        known = tested.union(tested.select("b", "a"))
-        pairs = stored(often.join(known, ["a", "b"], "left_anti").select("a", "b", "m"), "pairs")
-        links = links.union(stored(search(pairs, texts, percent), "links"))
+        sizes = own.groupBy("key", "component").agg(F.count("*").alias("size"))
+        lists = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count("*").alias("parts"))
+        lists = stored(lists.filter("parts > 1"), "lists")  # those whose documents are still apart
+        loose = lists.agg(F.sum(F.expr("cast(all - most as double) * all")).alias("pairs"), F.sum("all").alias("rows")).first()
+        last = not hubs or turn == HUB_ROUNDS or (loose["pairs"] or 0) <= REST * (loose["rows"] or 0)
+        own = own.join(lists.select("key", "main"), "key")
+        if not last:  # each list's documents against a few of them
+            place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(turn)), "rep"))
+            few = own.withColumn("place", place).filter(F.col("place") <= HUBS)
+            twice = F.lit(True)
+        else:  # all that is outside the list's largest component against the rest
+            few = own.filter("component <> main")
+            twice = (F.col("component") == F.col("main")) | (F.col("x.rep") < F.col("rep"))
+        document = F.struct("rep", "n", "long")
+        lacking = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent)) - F.least("x.long", "y.long")
+        met = own.withColumn("y", document).join(few.select("key", document.alias("x"), F.col("component").alias("other")), "key")
+        met = met.filter(F.col("component") != F.col("other")).filter(twice).filter(_fits("x.n", "y.n", percent)).filter(~F.col("is_long") | (lacking <= 0))
+        ordered = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "is_long")
+        often = ordered.groupBy("x", "y").agg(F.count("*").alias("shared"), F.count_if(~F.col("is_long")).alias("short"))
+        complete = (F.col("x.long") >= 0) & (F.col("y.long") >= 0)
+        enough = F.when(complete, F.col("short") >= lacking).otherwise(F.col("shared") >= F.floor(F.least("x.n", "y.n") / SHARED))
+        pairs = often.filter(enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("y.n").alias("m"))
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stored(search(pairs, texts, percent), "links")
+        links, gained = links.union(new), new.count() >= WORTH * pairs.count()
         tested = tested.union(pairs.select("a", "b"))
         found = components(links)
+        if last:
+            break
+        hubs = hubs and gained
     return found.withColumnRenamed("node", "rep")
 
 
@@ -263,12 +284,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     long = spark.sparkContext.broadcast((keys[order], len(keys) - order))  # the longest list has the highest rank
     marks = stored(signatures(docs, long, percent), "signatures")
     usable = marks.filter("doc_id is not null and n_shingles > 0")
-    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "rare")).alias("first"))
+    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "long", "short", "rest")).alias("first"))
     classes = stored(first.select("digest", "first.*"), "classes")
+    free_shuffles(spark)
     posts = stored(postings(classes, percent), "postings")
     wanted = posts.select("rep").distinct()
     texts = stored(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"), "texts")
+    free_shuffles(spark)
     found = similar_classes(posts, texts, percent)
+    free_shuffles(spark)
     reached = classes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     joined = marks.withColumn("digest", F.when(~empty, F.col("digest"))).join(reached, "digest", "left")
