@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import bloom
-from barloom.llm.common import map_batches, mix64, small_batches, stored, utf8
+from barloom.llm.common import free_shuffles, map_batches, mix64, small_batches, stored, utf8
 
 LENGTH, GRAM = 100, 24
 #: Strings of one batch of a shard's index, at least (a class is never split).
@@ -158,10 +159,18 @@ def _bits(flags: np.ndarray) -> bytes:
 def repeats_in_classes(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``classes`` (digest, anchor, doc_id, pos, n, text) -> digest, repeats: a bit for each string
     of the class that a class with an earlier first place, or the same doc_id and a smaller pos,
-    has too. Classes that share their anchor with no other have no row."""
-    by_anchor = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
-    shared = classes.join(by_anchor, "anchor")
-    shards = max(1, (classes.select(F.sum(F.length("text"))).first()[0] or 0) // SHARD_BYTES)
+    has too. Most classes that share their anchor with no other have no row."""
+    by_anchor = classes.groupBy("anchor").agg(F.count("*").alias("classes"))
+    hot = by_anchor.filter(F.col("classes") > crowded).select("anchor")
+    any_hot = hot.limit(1).count() > 0
+    size = classes.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).first()
+    several = bloom.twice_seen(classes.select("anchor"), lambda batch: batch.column(0).to_numpy().astype(np.uint64), bloom.filter_bits(size["n"]))
+
+    def known(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(bloom.contains(several.value, batch.column(1).to_numpy().astype(np.uint64))))
+
+    shared = map_batches(classes.select("digest", "anchor", "doc_id", "pos", "n", "text"), known, "digest binary, anchor long, doc_id long, pos long, n long, text binary")
+    shards = max(1, (size["bytes"] or 0) // SHARD_BYTES)
 
     def index(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
@@ -176,15 +185,18 @@ def repeats_in_classes(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
             i = j
         return pa.table({"digest": group.column("digest"), "repeats": pa.array(found, pa.binary())})
 
-    dealt = shared.filter(F.col("classes") <= crowded).withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    rest = shared.join(hot, "anchor", "left_anti") if any_hot else shared
+    dealt = rest.withColumn("shard", F.pmod("anchor", F.lit(shards)))
     indexed = dealt.select("shard", "digest", "doc_id", "pos", "n", "text").groupBy("shard").applyInArrow(index, "digest binary, repeats binary")
+    if not any_hot:
+        return indexed
 
     def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(xxhash.xxh3_128_digest(t[i : i + LENGTH]), d, o, p + i, i, n) for d, o, p, n, t in zip(*(c.to_pylist() for c in batch.columns)) for i in range(n)]
         types = [pa.binary(), pa.binary(), *[pa.int64()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["string", "digest", "doc_id", "pos", "i", "n"])
 
-    many = map_batches(shared.filter(F.col("classes") > crowded).select("digest", "doc_id", "pos", "n", "text"), strings, "string binary, digest binary, doc_id long, pos long, i long, n long")
+    many = map_batches(shared.join(hot, "anchor", "left_semi").select("digest", "doc_id", "pos", "n", "text"), strings, "string binary, digest binary, doc_id long, pos long, i long, n long")
     place = F.struct("doc_id", "pos")
     first = many.groupBy("string").agg(F.min(place).alias("first"))
     later = many.join(first, "string").filter(place != F.col("first")).groupBy("digest").agg(F.collect_list("i").alias("at"), F.max("n").alias("n"))
@@ -201,21 +213,26 @@ def repeats_in_classes(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``docs`` (doc_id, row, text) -> doc_id, row, pos, n, repeats: runs with strings that also
-    start earlier; all of the n strings from ``pos`` on, or those that ``repeats`` has a bit for."""
+    """``docs`` (doc_id, row, text) -> doc_id, row, pos, n, total, is_first, repeats: the runs with
+    strings that also start earlier.
+
+    Of a class's first run (``is_first``) those are the ones that ``repeats`` has a bit for, and
+    all from ``pos + n`` to ``pos + total``; of every later run all from ``pos`` on.
+    """
+    spark = docs.sparkSession
     seen = repeated_anchors(docs)
+    free_shuffles(spark)
     place = F.struct("doc_id", "pos")
     # a class's texts are equal, so any of them will do
-    classes = occurrences(docs, seen, True).groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("anchor", "n", "text")))
-    classes = stored(classes.select("digest", "anchor", "place.doc_id", "place.pos", "n", "times", "text"), "classes")
+    classes = occurrences(docs, seen, True).groupBy("digest").agg(F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("anchor", "n", "text")))
+    classes = stored(classes.select("digest", "anchor", "place.doc_id", "place.pos", "n", "text"), "classes")
+    free_shuffles(spark)
     partly = stored(repeats_in_classes(classes, crowded), "repeats")
-    verdicts = classes.select("digest", F.struct("doc_id", "pos").alias("first"), "times").join(partly, "digest", "left")
-    found = occurrences(docs, seen, False).join(verdicts, "digest")
-    is_first = place == F.col("first")
-    whole = found.filter(~is_first | (F.col("total") > F.col("n"))).select(
-        "doc_id", "row", F.when(is_first, F.col("pos") + F.col("n")).otherwise(F.col("pos")).alias("pos"), F.when(is_first, F.col("total") - F.col("n")).otherwise(F.col("total")).alias("n"), F.lit(None).cast("binary").alias("repeats")
-    )
-    return whole.union(found.filter(is_first & F.col("repeats").isNotNull()).select("doc_id", "row", "pos", "n", "repeats"))
+    free_shuffles(spark)
+    verdicts = classes.select("digest", place.alias("first")).join(partly, "digest", "left")
+    found = occurrences(docs, seen, False).join(verdicts, "digest").withColumn("is_first", place == F.col("first"))
+    wanted = ~F.col("is_first") | (F.col("total") > F.col("n")) | F.col("repeats").isNotNull()
+    return found.filter(wanted).select("doc_id", "row", "pos", "n", "total", "is_first", "repeats")
 
 
 def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -230,25 +247,34 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     found = repeated_strings(docs.filter("doc_id is not null"), crowded)
-    by_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "n", "repeats")).alias("found"))
+    by_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "n", "total", "is_first", "repeats")).alias("found"))
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        compress = zstandard.ZstdCompressor(level=3)
+        packed = pa.array([compress.compress(t) if t else None for t in utf8(batch.column(2))], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], packed], ["doc_id", "row", "packed"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
             found = batch.column(3)
-            at, ns, bits = (x.to_pylist() for x in found.flatten().flatten())
+            fields = [x.to_pylist() for x in found.flatten().flatten()]
             ends = np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
             begin = 0
-            for text, end in zip(utf8(batch.column(2)), ends.tolist()):
+            for packed, end in zip(batch.column(2).to_pylist(), ends.tolist()):
+                text = expand.decompress(packed) if packed else b""
                 change = np.zeros(len(text) + 1, np.int64)
-                for p, n, b in zip(at[begin:end], ns[begin:end], bits[begin:end]):
-                    if b is None:
-                        change[p] += 1
-                        change[p + n + LENGTH - 1] -= 1
-                    else:
-                        starts = p + np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), count=n))
+                for p, n, total, is_first, bits in zip(*(x[begin:end] for x in fields)):
+                    if is_first and bits is not None:
+                        starts = p + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
                         change[starts] += 1
                         change[starts + LENGTH] -= 1
+                    if is_first:
+                        p, total = p + n, total - n
+                    if total:
+                        change[p] += 1
+                        change[p + total + LENGTH - 1] -= 1
                 begin = end
                 gone = np.cumsum(change[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -258,7 +284,9 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     small_batches(docs.sparkSession)
-    return docs.join(by_doc, ["doc_id", "row"], "left").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    # texts are shuffled packed, which zstandard does better than Spark's own codec
+    packed = map_batches(docs, pack, "doc_id long, row long, packed binary")
+    return packed.join(by_doc, ["doc_id", "row"], "left").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
