@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 PLACES = 6
+#: Factors are rounded to so many places before they are ranked: means of equal numbers summed in
+#: another order are then ties in both engines.
+TIE_PLACES = 9
 
 #: Tables that several oracles share.
 SHARED = {
@@ -502,7 +505,7 @@ def dataset_tables(base: str, suffix: str = "") -> dict[str, str]:
           WHERE momentum_20d IS NOT NULL AND low_volatility_20d IS NOT NULL AND turnover_20d IS NOT NULL AND value_factor IS NOT NULL AND exit_price IS NOT NULL QUALIFY count(*) OVER (PARTITION BY f.date) >= 3""",
         "clipped": f"SELECT date, symbol, forward_return, {', '.join(map(clip, factor_names))} FROM {n('complete')} WINDOW d AS (PARTITION BY date)",
         "scored": f"SELECT date, symbol, forward_return, {', '.join(map(z, factor_names))} FROM {n('clipped')} WINDOW d AS (PARTITION BY date)",
-        "dataset": f"SELECT * FROM {n('scored')} WHERE momentum_20d IS NOT NULL AND low_volatility_20d IS NOT NULL AND turnover_20d IS NOT NULL AND value_factor IS NOT NULL",
+        "dataset": f"SELECT date, symbol, forward_return, {', '.join(f'round({c}, {TIE_PLACES}) AS {c}' for c in factor_names)} FROM {n('scored')} WHERE momentum_20d IS NOT NULL AND low_volatility_20d IS NOT NULL AND turnover_20d IS NOT NULL AND value_factor IS NOT NULL",
         "long": " UNION ALL ".join(map(pick, factor_names)),
         "ranks": f"""SELECT *, rank() OVER (PARTITION BY factor, date ORDER BY value) + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0 AS rx,
           rank() OVER (PARTITION BY factor, date ORDER BY forward_return) + (count(*) OVER (PARTITION BY factor, date, forward_return) - 1) / 2.0 AS ry FROM {n('long')}""",
@@ -587,14 +590,14 @@ def _(t):
     return labels.zscore_by_date(returns.simple_return(t("bars"), "r").select("date", "symbol", "r"), ["r"])
 
 
-def _dataset(t):
+def _dataset(t, digits=TIE_PLACES):
     frame = factors.merge_valuation_factor(_factors(t), t("valuation")).drop("value_factor_source")
-    return labels.prepare_factor_dataset(frame, labels.add_forward_return(t("bars"), 5), FACTORS)
+    return labels.prepare_factor_dataset(frame, labels.add_forward_return(t("bars"), 5), FACTORS, digits=digits)
 
 
-@register("prepare_factor_dataset", "SELECT date, symbol, round(forward_return, 6) AS forward_return, " + ", ".join(f"round({c}, 6) AS {c}" for c in FACTORS) + " FROM {dataset}")
+@register("prepare_factor_dataset", "SELECT date, symbol, round(forward_return, 6) AS forward_return, " + ", ".join(f"round({c}, 6) AS {c}" for c in FACTORS) + " FROM {scored} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in FACTORS))
 def _(t):
-    return _dataset(t).select("date", "symbol", "forward_return", *FACTORS)
+    return _dataset(t, None).select("date", "symbol", "forward_return", *FACTORS)
 
 
 # --- evaluation
@@ -712,7 +715,7 @@ _FLOW = _CHAIN | dataset_tables(f"u{len(_STEPS)}", "_w") | _summary_tables("samp
 
 
 def _research(t):
-    return research.factor_research(t("bars"), t("security_master"), t("trade_status"), t("valuation"), research.ResearchConfig(filters=FILTERS))
+    return research.factor_research(t("bars"), t("security_master"), t("trade_status"), t("valuation"), research.ResearchConfig(filters=FILTERS, digits=TIE_PLACES))
 
 
 @register("factor_research_costs", _COSTS + "{costs_w}", _FLOW)

@@ -28,6 +28,7 @@ class ResearchConfig:
     value_window: int = 120
     winsorize_quantile: float = 0.01
     zscore: bool = True
+    digits: int | None = None
     quantiles: int = 5
     transaction_cost_bps: Sequence[int] = (0, 5, 10, 20)
 
@@ -84,7 +85,7 @@ def factor_research(
     chosen = factors.available_factor_columns(frame, factors.factor_columns_from_config(config.windows))
     if not chosen:
         raise ValueError("no configured factor is available")
-    dataset = labels.finish_dataset(frame, chosen, config.winsorize_quantile, config.zscore, config.min_symbols_per_date)
+    dataset = labels.finish_dataset(frame, chosen, config.winsorize_quantile, config.zscore, config.min_symbols_per_date, config.digits)
     ic = evaluation.ic_timeseries(dataset, chosen)
     layers = backtest.layer_returns(dataset, chosen, config.quantiles)
     long_short = backtest.long_short_returns(layers)

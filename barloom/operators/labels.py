@@ -54,24 +54,27 @@ def zscore_by_date(data: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def prepare_factor_dataset(
-    factors: DataFrame, labels: DataFrame, factor_columns: Sequence[str], winsorize_quantile: float = 0.01, zscore: bool = True, min_symbols_per_date: int = 3
+    factors: DataFrame, labels: DataFrame, factor_columns: Sequence[str], winsorize_quantile: float = 0.01, zscore: bool = True, min_symbols_per_date: int = 3, digits: int | None = None
 ) -> DataFrame:
     """Complete rows of factors and forward returns, winsorized and standardised by date.
 
     Dates with fewer than ``min_symbols_per_date`` complete symbols go.  A date on which one
-    factor is constant has no z-scores of it and loses all its rows.
+    factor is constant has no z-scores of it and loses all its rows.  ``digits`` rounds the factors,
+    so that values which differ by the order of their sums alone are ties.
     """
     joined = factors.join(labels.select("date", "symbol", "forward_return"), ["date", "symbol"])
-    return finish_dataset(joined, factor_columns, winsorize_quantile, zscore, min_symbols_per_date)
+    return finish_dataset(joined, factor_columns, winsorize_quantile, zscore, min_symbols_per_date, digits)
 
 
-def finish_dataset(joined: DataFrame, factor_columns: Sequence[str], winsorize_quantile: float = 0.01, zscore: bool = True, min_symbols_per_date: int = 3) -> DataFrame:
+def finish_dataset(joined: DataFrame, factor_columns: Sequence[str], winsorize_quantile: float = 0.01, zscore: bool = True, min_symbols_per_date: int = 3, digits: int | None = None) -> DataFrame:
     """``prepare_factor_dataset`` for rows that already have their forward returns."""
     complete = joined.dropna(subset=[*factor_columns, "forward_return"])
     broad = complete.withColumn("_n", F.count("symbol").over(Window.partitionBy("date"))).filter(F.col("_n") >= min_symbols_per_date).drop("_n")
     out = winsorize_by_date(broad, factor_columns, winsorize_quantile)
     if zscore:
         out = zscore_by_date(out, factor_columns)
+    if digits is not None:
+        out = out.withColumns({c: F.round(c, digits) for c in factor_columns})
     return out.dropna(subset=list(factor_columns))
 
 
