@@ -69,6 +69,25 @@ SCHEMA = (
 )
 
 
+def verdicts(ids: list, texts: list[bytes], level: int = LEVEL) -> list[tuple]:
+    """The rows of ``SCHEMA`` for a batch."""
+    compressor = zstandard.ZstdCompressor(level=level)
+    rows = []
+    for doc_id, text in zip(ids, texts):
+        words = text.split()
+        lines = [x for x in text.split(b"\n") if x.strip(WHITE_SPACE)]
+        repeats = repeated_words(words)
+        failed = len(words) < 10 or 100 * repeats > 20 * len(words)
+        whole, chunks = ratios(text, compressor)
+        rows.append((
+            doc_id, len(words), sum(len(w.decode()) for w in words) if not text.isascii() else sum(map(len, words)),
+            sum(text.count(bytes([s])) for s in SYMBOLS), len(lines) - len(set(lines)), repeats,
+            failed, not failed and in_band(len(text), whole, chunks), whole, len(chunks),
+            sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks),
+        ))
+    return rows
+
+
 def compression_rules(docs: DataFrame, level: int = LEVEL) -> DataFrame:
     """``docs`` (doc_id, text) -> one row a document with its counts, ratios and verdict.
 
@@ -78,22 +97,19 @@ def compression_rules(docs: DataFrame, level: int = LEVEL) -> DataFrame:
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        compressor = zstandard.ZstdCompressor(level=level)
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-            words = text.split()
-            lines = [x for x in text.split(b"\n") if x.strip(WHITE_SPACE)]
-            repeats = repeated_words(words)
-            failed = len(words) < 10 or 100 * repeats > 20 * len(words)
-            whole, chunks = ratios(text, compressor)
-            rows.append((
-                doc_id, len(words), sum(len(w.decode()) for w in words) if not text.isascii() else sum(map(len, words)),
-                sum(text.count(bytes([s])) for s in SYMBOLS), len(lines) - len(set(lines)), repeats,
-                failed, not failed and in_band(len(text), whole, chunks), whole, len(chunks),
-                sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks),
-            ))
+        rows = verdicts(batch.column(0).to_pylist(), utf8(batch.column(1)), level)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return map_batches(docs.select("doc_id", "text"), run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, level: int = LEVEL) -> DataFrame:
+    """The rows of ``docs`` that ``compression_rules`` keeps, all columns as they are; no shuffle."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = verdicts([None] * batch.num_rows, utf8(batch.column("text")), level)
+        return batch.filter(pa.array([r[7] for r in rows], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)

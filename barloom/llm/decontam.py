@@ -23,6 +23,9 @@ PERMUTATIONS = 32
 BLOCK = 8
 #: Odd numbers; multiplying by one of them modulo 2**64 permutes the hashes.
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3) & MASK64 | 1 for i in range(PERMUTATIONS)], np.uint64)
+#: Hashes that one step of a permutation holds.
+LOOKED_AT = 2_000_000
+_SALTS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))[:, None]
 
 
 def size_class(n: int) -> int:
@@ -38,8 +41,7 @@ def size_class(n: int) -> int:
 
 def band_keys(least: np.ndarray, size: int) -> np.ndarray:
     """``least`` (permutations x windows) -> keys of the bands, which differ by class."""
-    salt = np.arange(PERMUTATIONS, dtype=np.uint64)[:, None] * np.uint64(1 << 32) + np.uint64(size)
-    return mix64(mix64(least) + salt * _FACTORS[1])
+    return mix64(least ^ (_SALTS + np.uint64(size << 56)))
 
 
 def item_keys(shingles: np.ndarray) -> np.ndarray:
@@ -49,9 +51,8 @@ def item_keys(shingles: np.ndarray) -> np.ndarray:
 def window_keys(h: np.ndarray, sizes: list[int]) -> np.ndarray:
     """Band keys of all windows of a text, given its shingle hashes in text order."""
     starts = np.arange(0, len(h), BLOCK)
-    least = np.empty((PERMUTATIONS, len(starts)), np.uint64)
-    for i, factor in enumerate(_FACTORS):
-        least[i] = np.minimum.reduceat(h * factor, starts)
+    step = max(1, LOOKED_AT // len(h))  # permutations at a time, so that very long texts take little memory
+    least = np.concatenate([np.minimum.reduceat(h * _FACTORS[i : i + step, None], starts, axis=1) for i in range(0, PERMUTATIONS, step)])
     out = []
     for size in sizes:
         blocks = np.minimum.reduceat(least, np.arange(0, least.shape[1], size), axis=1)

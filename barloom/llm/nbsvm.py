@@ -197,5 +197,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     count again.  Other columns are ignored.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)")
-    labelled = docs.filter(~held_out()).select("doc_id", "text").join(known, "doc_id")
+    # a merge join at every size: labels may be as many as documents
+    labelled = docs.filter(~held_out()).select("doc_id", "text").join(known.hint("merge"), "doc_id")
     return score(docs, fit(labelled)).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -13,8 +13,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the compression bands keep."""
-    rejected = compression.compression_rules(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return compression.keep_good(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
