@@ -16,10 +16,11 @@ from barloom.llm.common import map_batches, utf8
 
 LEVEL = 3
 #: (bytes from, lowest ratio kept, highest ratio kept).  Frame headers alone make short texts
-#: incompressible, so the shortest class has no upper limit.
-BANDS = ((0, 0.25, float("inf")), (128, 0.28, 1.00), (512, 0.25, 0.90), (4096, 0.20, 0.80), (65536, 0.15, 0.75))
+#: incompressible, so the shortest class has no upper limit.  Prose of 2 kB comes to about 0.5,
+#: base-64 text to 0.76.
+BANDS = ((0, 0.25, float("inf")), (128, 0.28, 1.00), (512, 0.25, 0.85), (2048, 0.20, 0.72), (65536, 0.15, 0.65))
 #: Chunks of this many bytes (a shorter rest counts from half of it) have a band of their own.
-CHUNK, CHUNK_BAND = 4096, (0.15, 0.90)
+CHUNK, CHUNK_BAND = 4096, (0.15, 0.72)
 #: A document goes if more than this share of its chunks is outside the band.
 BAD_CHUNKS = 0.25
 

@@ -148,7 +148,8 @@ class ShardWriter:
 
     def _write(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.waiting), self.kind)
-        whole = len(ids) // self.sequence * self.sequence
+        unit = self.sequence if last else BATCH_SEQUENCES * self.sequence  # only the last batch is smaller
+        whole = len(ids) // unit * unit
         body, rest = ids[:whole], ids[whole:]
         mask = np.ones(whole, bool)
         if last and len(rest):
