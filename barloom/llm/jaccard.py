@@ -160,19 +160,21 @@ def shared_only(marks: DataFrame) -> DataFrame:
     known = bloom.twice_seen(marks.select("short", "rest"), joined, bloom.filter_bits(int(n) // 2))
 
     def prune(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = []
-        for i in (4, 5):
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()]
-            parts.append(pa.array([x[bloom.contains(known.value, x)].tobytes() for x in sets], pa.binary()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], *parts], ["doc_id", "n", "long", "digest", "short", "rest"])
+        short, rest = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (4, 5))
+        kept = [bloom.contains(known.value, x) for x in rest]
+        # long shingles of the set from each one on, in the order of list lengths
+        after = [(n - np.arange(len(x))).astype(np.int64) for n, x in zip(batch.column(2).to_pylist(), rest)]
+        parts = [[x[bloom.contains(known.value, x)] for x in short], [x[k] for x, k in zip(rest, kept)], [x[k] for x, k in zip(after, kept)]]
+        columns = [pa.array([x.tobytes() for x in part], pa.binary()) for part in parts]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["doc_id", "n", "long", "digest", "short", "rest", "after"])
 
     columns = marks.select("doc_id", "n_shingles", "long", "digest", "short", "rest")
-    return map_batches(columns, prune, "doc_id long, n long, long long, digest binary, short binary, rest binary")
+    return map_batches(columns, prune, "doc_id long, n long, long long, digest binary, short binary, rest binary, after binary")
 
 
 def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``classes`` (rep, n, long, short, rest) -> key, rep, n, long, is_long: the lists, without
-    the representatives that no other in the list has a size near enough to."""
+    """``classes`` (rep, n, long, short, rest, after) -> key, rep, n, long, after, is_long: the
+    lists, without the representatives that no other in the list has a size near enough to."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,16 +183,17 @@ def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
                 sizes = [len(x) for x in parts]
                 own = [np.repeat(batch.column(i).to_numpy(), sizes) for i in range(3)]
                 keys = np.concatenate(parts)
+                own.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64) if is_long else np.zeros(len(keys), np.int64))
                 for i in range(0, len(keys), 100_000):
                     part = slice(i, i + 100_000)
                     columns = [pa.array(keys[part]), *(pa.array(x[part]) for x in own), pa.array(np.full(len(keys[part]), is_long))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "long", "is_long"])
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "long", "after", "is_long"])
 
     small_batches(classes.sparkSession)
-    lists = classes.select("rep", "n", "long", "short", "rest").mapInArrow(spread, "key long, rep long, n long, long long, is_long boolean")
+    lists = classes.select("rep", "n", "long", "short", "rest", "after").mapInArrow(spread, "key long, rep long, n long, long long, after long, is_long boolean")
     by_size = Window.partitionBy("key").orderBy("n")
     near = lists.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    return near.filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("key", "rep", "n", "long", "is_long")
+    return near.filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("key", "rep", "n", "long", "after", "is_long")
 
 
 def search(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -222,12 +225,14 @@ def _fits(n: str, m: str, percent: int) -> F.Column:
 
 
 def similar_classes(posts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``posts`` (key, rep, n, long, is_long), ``texts`` (rep, text) -> rep, component of linked
+    """``posts`` (key, rep, n, long, after, is_long), ``texts`` (rep, text) -> rep, component of linked
     classes.
 
     A pair goes to the search if its parts share enough.  Where both parts have all short shingles
     of their sets, as many short ones must be shared as the long ones can't make up for; else the
-    parts share one in SHARED of the smaller set's size.
+    parts share one in SHARED of the smaller set's size.  Where two sets share no short shingle,
+    all that they share lies from their first common long one on: a long list brings a pair
+    together only if both have enough left there.
     """
     spark = posts.sparkSession
     links = tested = spark.createDataFrame([], "a long, b long")
@@ -248,9 +253,10 @@ def similar_classes(posts: DataFrame, texts: DataFrame, percent: int = PERCENT)
             few = own.filter("component <> main")
             twice = (F.col("component") == F.col("main")) | (F.col("x.rep") < F.col("rep"))
         document = F.struct("rep", "n", "long")
-        lacking = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent)) - F.least("x.long", "y.long")
-        met = own.withColumn("y", document).join(few.select("key", document.alias("x"), F.col("component").alias("other")), "key")
-        met = met.filter(F.col("component") != F.col("other")).filter(twice).filter(_fits("x.n", "y.n", percent)).filter(~F.col("is_long") | (lacking <= 0))
+        needed = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+        lacking = needed - F.least("x.long", "y.long")
+        met = own.withColumn("y", document).join(few.select("key", document.alias("x"), F.col("component").alias("other"), F.col("after").alias("left")), "key")
+        met = met.filter(F.col("component") != F.col("other")).filter(twice).filter(_fits("x.n", "y.n", percent)).filter(~F.col("is_long") | (F.least("after", "left") >= needed))
         ordered = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "is_long")
         often = ordered.groupBy("x", "y").agg(F.count("*").alias("shared"), F.count_if(~F.col("is_long")).alias("short"))
         complete = (F.col("x.long") >= 0) & (F.col("y.long") >= 0)
@@ -284,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     long = spark.sparkContext.broadcast((keys[order], len(keys) - order))  # the longest list has the highest rank
     marks = stored(signatures(docs, long, percent), "signatures")
     usable = marks.filter("doc_id is not null and n_shingles > 0")
-    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "long", "short", "rest")).alias("first"))
+    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "long", "short", "rest", "after")).alias("first"))
     classes = stored(first.select("digest", "first.*"), "classes")
     free_shuffles(spark)
     posts = stored(postings(classes, percent), "postings")
