@@ -130,6 +130,21 @@ def test_bands_reject_noise_and_repetition(spark):
     assert compression.compression_rules(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size", [200, 400, 600, 1000, 2000])
+def test_bands_of_short_texts(docs, size):
+    rng = np.random.default_rng(size)
+    for width in (w for w in (8, 12, 16, 20, 40) if 10 * (w + 1) <= size):
+        noise = [base64.b64encode(rng.bytes(size)) for _ in range(50)]
+        noise = [b" ".join(b[i : i + width] for i in range(0, size, width))[:size] for b in noise]
+        got = compression.verdicts([None] * 50, noise)
+        assert not any(r[6] or r[7] for r in got)  # rejected by the bands, not by the base rules
+    texts = [r["text"].encode() for r in docs.filter(F.octet_length("text") >= size).select("text").collect()]
+    prose = [t[:size].decode(errors="ignore").encode() for t in texts]
+    got = [r for r in compression.verdicts([None] * len(prose), prose) if not r[6]]
+    assert sum(r[7] for r in got) > 20
+    assert not [r for r in got if not r[7] and r[8] > 0.5]
+
+
 def test_language_filters(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
