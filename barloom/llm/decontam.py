@@ -5,6 +5,9 @@ partitions by size: items fall into size classes, and for each class documents a
 overlapping windows of twice the class's size.  Wherever an item stands, one window holds it and
 little else, and their MinHash values often agree.  Each value is a band of its own: items and
 windows that share one are candidates, which exact containment of word shingles verifies.
+
+Items of few shingles agree too rarely with a window.  They are looked up by shingles of their own,
+so many that a document without any of them has too few of the item; none of them is missed.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ PERCENT = 80
 PERMUTATIONS = 32
 #: Windows are made of blocks of this many shingles.
 BLOCK = 8
+#: Items of up to so many shingles are looked up exactly.
+EXACT = BLOCK
 #: Odd numbers; multiplying by one of them modulo 2**64 permutes the hashes.
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3) & MASK64 | 1 for i in range(PERMUTATIONS)], np.uint64)
 #: Hashes that one step of a permutation holds.
@@ -29,8 +34,7 @@ _SALTS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))[:, None]
 
 
 def size_class(n: int) -> int:
-    """Blocks that hold n shingles, rounded up to 1, 2, 3, 4, 6, 8, 12, 16, ...: an item fills
-    more than two thirds of its class, the smallest one apart."""
+    """Blocks that hold n shingles, rounded up to 1, 2, 3, 4, 6, 8, 12, 16, ..."""
     blocks, low = -(-n // BLOCK), 1
     while True:
         for size in (low, low * 3 // 2):
@@ -44,12 +48,24 @@ def band_keys(least: np.ndarray, size: int) -> np.ndarray:
     return mix64(least ^ (_SALTS + np.uint64(size << 56)))
 
 
-def item_keys(shingles: np.ndarray) -> np.ndarray:
+def shingle_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of single shingles, apart from those of bands."""
+    return mix64(h ^ _FACTORS[0])
+
+
+def item_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of an item, given its distinct shingles: a document that shares ``percent`` of a short
+    one has at least one of them."""
+    n = len(shingles)
+    if n <= EXACT:
+        return shingle_keys(shingles[: n + 1 - max(1, -(-percent * n // 100))])
     return band_keys((shingles[None, :] * _FACTORS[:, None]).min(axis=1, keepdims=True), size_class(len(shingles))).ravel()
 
 
 def window_keys(h: np.ndarray, sizes: list[int]) -> np.ndarray:
     """Band keys of all windows of a text, given its shingle hashes in text order."""
+    if not sizes:
+        return h[:0]
     starts = np.arange(0, len(h), BLOCK)
     step = max(1, LOOKED_AT // len(h))  # permutations at a time, so that very long texts take little memory
     least = np.concatenate([np.minimum.reduceat(h * _FACTORS[i : i + step, None], starts, axis=1) for i in range(0, PERMUTATIONS, step)])
@@ -61,7 +77,7 @@ def window_keys(h: np.ndarray, sizes: list[int]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def benchmark_sets(benchmark: DataFrame) -> DataFrame:
+def benchmark_sets(benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``benchmark`` (item_id, text) -> item_id, n_item, item (shingles), keys; items with words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -70,7 +86,7 @@ def benchmark_sets(benchmark: DataFrame) -> DataFrame:
             batch.column(0),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([s.tobytes() for s in sets], pa.binary()),
-            pa.array([item_keys(s).astype(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            pa.array([item_keys(s, percent).astype(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["item_id", "n_item", "item", "keys"])
 
@@ -86,12 +102,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     with different ids each have their own.  Rows without an id are left out, and so are other
     columns.
 
-    The filter of the items' band keys, of bounded size, is all that is broadcast.  Documents that
-    share no band with any item end there; the others send their keys and shingles on.
+    The filter of the items' keys, of bounded size, is all that is broadcast.  Documents that
+    share no key with any item end there; the others send their keys and shingles on.
     """
-    items = stored(benchmark_sets(benchmark.filter("item_id is not null")).dropDuplicates(["item_id", "item"]), "items")
-    sizes = sorted({size_class(r["n_item"]) for r in items.select("n_item").distinct().collect()})
-    if not sizes:
+    items = stored(benchmark_sets(benchmark.filter("item_id is not null"), percent).dropDuplicates(["item_id", "item"]), "items")
+    lengths = [r["n_item"] for r in items.select("n_item").distinct().collect()]
+    sizes, short = sorted({size_class(n) for n in lengths if n > EXACT}), any(n <= EXACT for n in lengths)
+    if not lengths:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long")
     keys = items.select("item_id", F.explode("keys").alias("key"))
     # each key is given twice, so that the twice-seen filter holds all of them
@@ -103,6 +120,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
             h = shingle_hashes(word_hashes(words_of(text)))
             if len(h):
                 found = window_keys(h, sizes)
+                if short:
+                    found = np.concatenate([found, shingle_keys(h)])
                 found = found[bloom.contains(known.value, found)]
                 if len(found):
                     ids.append(doc_id)

@@ -349,6 +349,20 @@ def test_contained_items(spark, docs, rows):
     assert decontam.contained_items(empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("only_short", [True, False])
+def test_short_items_are_never_missed(spark, only_short):
+    words = lambda i, n: [f"i{i}w{j}" for j in range(n)]
+    items = [(i, " ".join(words(i, 1 + i % 12))) for i in range(2400)] + [(9000, " ".join(words(9000, 30)))] * (not only_short)
+    filler = lambda d: [f"d{d}f{j}" for j in range(150)]
+    docs = [(i, " ".join(filler(i) + words(i, 1 + i % 12) + filler(-i))) for i in range(2400) if i % 12 > 3] + [(i, " ".join(words(i, 1 + i % 12))) for i in range(2400) if i % 12 <= 3]
+    # one of eight shingles is lost, then one of five, then two of six, which is too much
+    broken = [(5000, words(11, 12)[:11]), (5001, words(8, 9)[1:]), (5002, words(9, 10)[:8])]
+    docs += [(d, " ".join(filler(d) + w)) for d, w in broken]
+    got = {tuple(r) for r in decontam.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    n = lambda i: max(1, i % 12 - 3)
+    assert got == {(i, i, n(i), n(i)) for i in range(2400)} | {(5000, 11, 8, 7), (5001, 8, 5, 4)}
+
+
 # --- pipeline
 
 
