@@ -45,7 +45,7 @@ def size_class(n: int) -> int:
 
 def band_keys(least: np.ndarray, size: int) -> np.ndarray:
     """``least`` (permutations x windows) -> keys of the bands, which differ by class."""
-    return mix64(least ^ (_SALTS + np.uint64(size << 56)))
+    return mix64(least ^ (_SALTS + np.uint64(size * 0xD6E8FEB86659FD93 & MASK64)))
 
 
 def shingle_keys(h: np.ndarray) -> np.ndarray:

@@ -363,6 +363,14 @@ def test_short_items_are_never_missed(spark, only_short):
     assert got == {(i, i, n(i), n(i)) for i in range(2400)} | {(5000, 11, 8, 7), (5001, 8, 5, 4)}
 
 
+def test_very_long_items(spark):
+    text = lambda a, n: " ".join(f"w{a + j}" for j in range(n))
+    items = [(1, text(0, 3000)), (2, text(100_000, 20_000)), (3, text(900_000, 4000))]
+    docs = [(10, text(500_000, 5000) + " " + text(0, 3000) + " " + text(600_000, 5000)), (11, text(100_000, 17_000)), (12, text(0, 2000)), (13, text(900_000, 3990))]
+    got = {tuple(r) for r in decontam.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(10, 1, 2996, 2996), (11, 2, 19_996, 16_996), (13, 3, 3996, 3986)}
+
+
 # --- pipeline
 
 
