@@ -211,9 +211,10 @@ def search(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
 
     def one(group: pa.Table) -> pa.Table:
         b, sets = group.column("b").to_pylist(), [shingle_set(t) for t in utf8(group.column("text"))]
-        query = next(s for x, s in zip(b, sets) if x is None)
+        queries = [s for x, s in zip(b, sets) if x is None]  # several where a doc_id has several texts
         others = [(x, s) for x, s in zip(b, sets) if x is not None]
-        hits = [x for (x, _), ok in zip(others, divide_skip(query, [s for _, s in others], percent)) if ok]
+        found = [divide_skip(query, [s for _, s in others], percent) for query in queries]
+        hits = [x for (x, _), *ok in zip(others, *found) if any(ok)]
         return pa.table({"a": pa.array([group.column("a")[0].as_py()] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
     return rows.groupBy("a", "chunk").applyInArrow(one, "a long, b long")

@@ -277,6 +277,13 @@ def test_near_duplicates_by_other_routes(spark, monkeypatch, hubs, sample):
     assert jaccard.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_a_doc_id_with_two_texts(spark):
+    text = lambda name, last: " ".join([f"{name}{i}" for i in range(60)] + [last])
+    rows = [(1, text("a", "x")), (1, text("b", "x")), (2, text("a", "y")), (3, text("b", "y")), (4, text("c", "x"))]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(3)
     for _ in range(50):
