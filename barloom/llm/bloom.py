@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import small_batches
+from barloom.llm.common import pieces
 
 #: Bits for each hash, and the most bits of a filter.  The largest twice-seen filter, the only
 #: thing broadcast, is therefore 128 MB whatever the input; fuller filters only name more hashes.
@@ -74,11 +74,10 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Broadcast:
     """The twice-seen filter of all hashes that ``hashes_of`` makes from the batches of ``rows``."""
     spark = rows.sparkSession
-    small_batches(spark)
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for batch in batches:
+        for batch in pieces(batches):
             held.append(hashes_of(batch))
             if sum(map(len, held)) > HELD:
                 yield _partial(np.concatenate(held), bits)

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows in one Arrow batch: a few MB of text, so that a batch with very long documents still fits.
+#: Rows that are worked on together; Spark itself bounds an Arrow batch to 64 MB
+#: (spark.sql.execution.arrow.maxBytesPerBatch), so very long texts come in batches of few rows.
 BATCH_ROWS = 1000
 #: Entries that a worker keeps in a word cache before it starts a new one.
 CACHE_ENTRIES = 300_000
@@ -26,9 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows; Spark's default of 10,000 long documents may be gigabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of BATCH_ROWS rows at most, without a copy."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(i, BATCH_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,6 +56,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that nothing reads any more."""
+    for df in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished phases now, not whenever the driver
     happens to collect its garbage."""
@@ -64,11 +75,10 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     """``mapInArrow`` for functions that turn each batch into one batch (or none)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
+        for batch in pieces(batches):
+            if (out := fn(batch)) is not None and out.num_rows:
                 yield out
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,10 +22,26 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if total == before or total is None:
+            discard(edges)
             return labels
         before = total
         seen = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
         nearer = labels.join(seen, "node").select("node", F.least("component", "near").alias("component"))
         own = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
         jumped = nearer.join(own, "component", "left").select("node", F.least("component", "jump").alias("component"))
-        labels = stored(jumped, "labels")
+        nearer = stored(jumped, "labels")
+        discard(labels)
+        labels = nearer
+
+
+def grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) with the components that further ``links`` (a, b) join."""
+    ends = links
+    for end in ("a", "b"):
+        own = found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce(f"{end}_component", end)).drop(f"{end}_component")
+    joined = components(ends.filter("a <> b"))
+    known = found.join(joined.toDF("component", "reached"), "component", "left").select("node", F.coalesce("reached", "component").alias("component"))
+    out = stored(known.union(joined.join(found, "node", "left_anti")), "components")
+    discard(joined)
+    return out

@@ -7,7 +7,8 @@ little else, and their MinHash values often agree.  Each value is a band of its
 windows that share one are candidates, which exact containment of word shingles verifies.
 
 Items of few shingles agree too rarely with a window.  They are looked up by shingles of their own,
-so many that a document without any of them has too few of the item; none of them is missed.
+so many that a document without any of them has too few of the item; none of them is missed.  With
+``exact`` all items are looked up so, and the search as a whole misses nothing.
 """
 
 from __future__ import annotations
@@ -53,11 +54,11 @@ def shingle_keys(h: np.ndarray) -> np.ndarray:
     return mix64(h ^ _FACTORS[0])
 
 
-def item_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of an item, given its distinct shingles: a document that shares ``percent`` of a short
-    one has at least one of them."""
+def item_keys(shingles: np.ndarray, percent: int = PERCENT, exact: int = EXACT) -> np.ndarray:
+    """Keys of an item, given its distinct shingles: a document that shares ``percent`` of one of
+    up to ``exact`` shingles has at least one of them."""
     n = len(shingles)
-    if n <= EXACT:
+    if n <= exact:
         return shingle_keys(shingles[: n + 1 - max(1, -(-percent * n // 100))])
     return band_keys((shingles[None, :] * _FACTORS[:, None]).min(axis=1, keepdims=True), size_class(len(shingles))).ravel()
 
@@ -77,7 +78,7 @@ def window_keys(h: np.ndarray, sizes: list[int]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def benchmark_sets(benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+def benchmark_sets(benchmark: DataFrame, percent: int = PERCENT, exact: int = EXACT) -> DataFrame:
     """``benchmark`` (item_id, text) -> item_id, n_item, item (shingles), keys; items with words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -86,33 +87,42 @@ def benchmark_sets(benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
             batch.column(0),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([s.tobytes() for s in sets], pa.binary()),
-            pa.array([item_keys(s, percent).astype(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            pa.array([item_keys(s, percent, exact).astype(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["item_id", "n_item", "item", "keys"])
 
     return map_batches(benchmark.select("item_id", "text"), run, "item_id long, n_item long, item binary, keys array<long>").filter("n_item > 0")
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """``docs`` (doc_id, text), ``benchmark`` (item_id, text) -> doc_id, item_id, n_item, n_shared:
     the pairs in which the document has at least ``percent`` of the item's five-word shingles.
 
+    The pairs are always verified; ``exact`` also rules out that the search misses any.  Without
+    it, items of more than EXACT shingles are found by MinHash: with all of an item in one window
+    the chance of a miss is below 0.001, more if its shingles are spread over a long text.
+
     A text of fewer than five words is one shingle; a null text or one without words contains
-    nothing and is contained nowhere.  Repeated rows of either table give one result; equal items
-    with different ids each have their own.  Rows without an id are left out, and so are other
-    columns.
+    nothing and is contained nowhere.  Texts may be of any length: a task holds one of them with a
+    few numbers for each word.  Repeated rows of either table give one result; equal items with
+    different ids each have their own.  Rows without an id are left out, and so are other columns.
 
-    The filter of the items' keys, of bounded size, is all that is broadcast.  Documents that
-    share no key with any item end there; the others send their keys and shingles on.
+    All that is broadcast are filters, of bounded size, of the items' keys and of their shingles.
+    Documents that share no key with any item end there; the others send on their keys and those
+    of their shingles that items may have: no other can count.
     """
-    items = stored(benchmark_sets(benchmark.filter("item_id is not null"), percent).dropDuplicates(["item_id", "item"]), "items")
+    n_exact = MASK64 if exact else EXACT
+    items = stored(benchmark_sets(benchmark.filter("item_id is not null"), percent, n_exact).dropDuplicates(["item_id", "item"]), "items")
     lengths = [r["n_item"] for r in items.select("n_item").distinct().collect()]
-    sizes, short = sorted({size_class(n) for n in lengths if n > EXACT}), any(n <= EXACT for n in lengths)
+    sizes, short = sorted({size_class(n) for n in lengths if n > n_exact}), any(n <= n_exact for n in lengths)
     if not lengths:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long")
     keys = items.select("item_id", F.explode("keys").alias("key"))
-    # each key is given twice, so that the twice-seen filter holds all of them
-    known = bloom.twice_seen(keys.select("key"), lambda batch: np.repeat(batch.column(0).to_numpy().astype(np.uint64), 2), bloom.filter_bits(4 * keys.count()))
+    totals = items.agg(F.sum(F.size("keys")), F.sum("n_item")).first()
+
+    # everything is given twice, so that the twice-seen filters hold all of it
+    known = bloom.twice_seen(keys.select("key"), lambda batch: np.repeat(batch.column(0).to_numpy().astype(np.uint64), 2), bloom.filter_bits(4 * totals[0]))
+    wanted = bloom.twice_seen(items.select("item"), lambda batch: np.repeat(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), 2), bloom.filter_bits(4 * totals[1]))
 
     def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, hits, sets = [], [], []
@@ -123,10 +133,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
                 if short:
                     found = np.concatenate([found, shingle_keys(h)])
                 found = found[bloom.contains(known.value, found)]
-                if len(found):
+                own = h[bloom.contains(wanted.value, h)] if len(found) else found
+                if len(own):
                     ids.append(doc_id)
                     hits.append(np.unique(found).astype(np.int64))
-                    sets.append(np.unique(h).tobytes())
+                    sets.append(np.unique(own).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "keys", "shingles"])
 
     near = stored(map_batches(docs.select("doc_id", "text").filter("doc_id is not null"), probe, "doc_id long, keys array<long>, shingles binary"), "near")
@@ -142,7 +153,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item, all columns kept."""
+    """``docs`` without the documents that contain a benchmark item, all columns and rows kept, also
+    those of null or empty text and those without a doc_id."""
     hit = contained_items(docs, benchmark, percent).select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,14 +1,20 @@
 """Similarity join of documents by the Jaccard similarity of their word shingles.
 
 The join is a T-occurrence search.  A document that is similar to a query shares at least T of its
-shingles, so it stands in at least T of the query's inverted lists.  Documents first meet through
-the lists of their rarest shingles (any T-sharing pair has several of those in common); DivideSkip
-then counts how often each candidate occurs: the short lists are merged with a heap, the L longest ones
-are only probed, by binary search, for candidates with at least T - L occurrences in the short ones.
-
-Equal shingle sets are one class with one representative.  Within a large group of near copies,
-candidates meet first through a few hubs, and only classes that are still apart after that are
-compared with the rest of their lists; so no group has all its pairs made, and no link is lost.
+shingles, so it stands in at least T of the query's inverted lists.  DivideSkip does the search on
+two scales, each time with the lists split into short ones, which are merged, and L long ones:
+
+* over the corpus L is T - 1.  The n - T + 1 shortest lists of a query are merged, as a join of
+  the lists' entries; whatever shares T shingles is in one of them.  The long lists are never
+  shuffled, and a list brings two documents together only if both have T - 1 shingles after it;
+* over the candidates so found, a bounded number at a time, L follows from T and the longest list:
+  short lists are merged with a heap, and the long ones are probed, by binary search, for those
+  with T - L occurrences so far.
+
+Equal shingle sets are one class with one representative.  Large groups of near copies first meet
+through hubs: each list compares its documents with one of them.  Only documents that are then in
+different components are compared with the rest of their lists, so most pairs of a group are never
+made, and no link that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import bloom
-from barloom.llm.common import free_shuffles, map_batches, shingle_hashes, small_batches, stored, utf8, word_hashes, words_of
-from barloom.llm.components import components
+from barloom.llm.common import discard, free_shuffles, map_batches, pieces, shingle_hashes, stored, utf8, word_hashes, words_of
+from barloom.llm.components import grown
 
 SHINGLE, PERCENT = 5, 80
 #: One document in LIST_SAMPLE, picked by its id, tells which lists are long.  This sets only the
@@ -36,15 +42,12 @@ SHINGLE, PERCENT = 5, 80
 LIST_SAMPLE = 8
 #: Lists that come out as long, at most; the table of them is broadcast (8 bytes each).
 LONG_LISTS = 500_000
-#: Documents of a list against which all others in it are compared in one round; rounds go on
-#: while comparing all that is still apart would make more than REST pairs for each posting and a
-#: WORTH of the pairs link, and for HUB_ROUNDS at most.
-HUBS, REST, WORTH, HUB_ROUNDS = 4, 2, 0.05, 8
-#: Shingles of candidates that one search holds at a time.
-CHUNK = 400_000
-#: Similar sets of n and more share n / SHARED of their rarest shingles, for which each set offers
-#: as many more than it must.
-SHARED = 10
+#: Rounds with hubs go on while a WORTH of the pairs that they test link, and for HUB_ROUNDS at most.
+WORTH, HUB_ROUNDS = 0.1, 6
+#: Candidates that one search holds at a time, and their shingles, about.
+CANDIDATES, CHUNK = 100, 400_000
+#: Up to so many representatives are looked up by a broadcast of their ids (8 bytes each).
+FEW = 1_000_000
 #: DivideSkip's constant: L = T / (MU * log2(longest list) + 1).
 MU = 0.0085
 
@@ -59,27 +62,38 @@ def required(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int = PERCENT, mu: float = MU) -> list[bool]:
-    """Which candidates (sorted sets) share as many shingles with the query set as they must."""
-    if not len(query) or not candidates:
-        return [False] * len(candidates)
-    values = np.concatenate(candidates)
-    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    at = np.minimum(np.searchsorted(query, values), len(query) - 1)
-    hit = query[at] == values
-    at, owner = at[hit], owner[hit]
-    order = np.argsort(at, kind="stable")  # within a list, candidates stay in ascending order
-    lists = [x.tolist() for x in np.split(owner[order], np.flatnonzero(np.diff(at[order])) + 1)] if len(at) else []
-    lists.sort(key=len)
-    needed = [required(len(query), len(c), percent) for c in candidates]
+class Lists:
+    """Inverted lists of some sorted shingle sets: ascending numbers of the sets that have a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = [len(x) for x in sets]
+        values = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(values, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.keys, self.starts = np.unique(values[order], return_index=True)
+        self.ends = np.append(self.starts, len(values))[1:]
+
+    def of(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of the query's shingles that are not empty, the shortest first."""
+        if not len(self.keys):
+            return []
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
+        at = at[np.argsort(self.ends[at] - self.starts[at], kind="stable")]
+        return [self.owners[i:j].tolist() for i, j in zip(self.starts[at], self.ends[at])]
+
+
+def divide_skip(query: np.ndarray, candidates: Lists, percent: int = PERCENT, mu: float = MU) -> list[bool]:
+    """Which candidates share as many shingles with the query, a sorted set, as they must."""
+    lists, out = candidates.of(query), [False] * len(candidates.sizes)
+    if not lists:
+        return out
+    needed = [required(len(query), n, percent) for n in candidates.sizes]
     least = min(needed)
-    n_long = min(len(lists), max(0, least - 1), int(least / (mu * math.log2(max(2, len(lists[-1]) if lists else 2)) + 1)))
+    n_long = min(len(lists), max(0, least - 1), int(least / (mu * math.log2(max(2, len(lists[-1]))) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    out = [False] * len(candidates)
     for c, run in groupby(heapq.merge(*short)):
         found = sum(1 for _ in run)
-        if found < needed[c] - n_long:
-            continue
         for left, probed in zip(range(n_long, 0, -1), long):
             if found >= needed[c] or found + left < needed[c]:
                 break
@@ -94,184 +108,168 @@ def long_lists(docs: DataFrame) -> np.ndarray:
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(LIST_SAMPLE)) == 0).select("text")
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = {s.tobytes() for s in map(shingle_set, utf8(batch.column(0)))}  # copies count once
             keys = np.frombuffer(b"".join(sets), np.int64)
             for i in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000])], ["key"])
 
-    small_batches(docs.sparkSession)
     counted = some.mapInArrow(spread, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     longest = counted.orderBy(F.desc("n"), "key").limit(LONG_LISTS)
     return np.array([r["key"] for r in longest.select("key").toLocalIterator()], np.int64).astype(np.uint64)
 
 
-def rarest(s: np.ndarray, keys: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
-    """The part of a set through which it meets the sets similar to it; how many of the part's
-    shingles are short, the others being long; and how many of the whole set are long, or -1 if
-    the part has not all of the set's short ones.
-
-    The part has the first shingles in the order of short lists (by hash), then long ones, the
-    longest last.  If fewer of the set are long than it must share, long ones alone link it with
-    nothing, and the part does without them.
-    """
-    least = -(-percent * len(s) // 100)
-    n = len(s) - least + max(1, len(s) // SHARED)
+def rarest(s: np.ndarray, keys: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shortest lists of a set, of which every similar set is in one: short ones in the order
+    of their hashes, then long ones, the longest last."""
+    n = len(s) - -(-percent * len(s) // 100) + 1
     if not len(keys):
-        return s[:n], n, -1
+        return s[:n]
     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-    rank = np.where(keys[at] == s, ranks[at], 0)
-    part = np.argsort(rank, kind="stable")[:n]
-    short, long = int((rank[part] == 0).sum()), int((rank > 0).sum())
-    if short < len(s) - long or not long:
-        return s[part], short, -1
-    return s[part[:short] if long < least else part], short, long
+    return s[np.argsort(np.where(keys[at] == s, ranks[at], 0), kind="stable")[:n]]
 
 
 def signatures(docs: DataFrame, long: Broadcast, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set), short and rest (the shingles of ``rarest``),
-    long (how many of the set are, or -1)."""
+    """doc_id, n_shingles, digest (of the whole set), part (the shingles of ``rarest``)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, ranks = long.value
         sets = [shingle_set(t) for t in utf8(batch.column(1))]
-        parts = [rarest(s, keys, ranks, percent) if len(s) else (s, 0, -1) for s in sets]
         columns = [
             batch.column(0),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-            pa.array([part[:n].tobytes() for part, n, _ in parts], pa.binary()),
-            pa.array([part[n:].tobytes() for part, n, _ in parts], pa.binary()),
-            pa.array([known for *_, known in parts], pa.int64()),
+            pa.array([rarest(s, keys, ranks, percent).tobytes() if len(s) else b"" for s in sets], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "short", "rest", "long"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "part"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, short binary, rest binary, long long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, part binary")
 
 
 def shared_only(marks: DataFrame) -> DataFrame:
-    """``marks`` with those of the rare shingles that a twice-seen filter knows: few are left,
-    as most shingles stand in one document alone."""
-    n = marks.select(F.sum(F.length("short") + F.length("rest")) / 8).first()[0] or 0
+    """``marks`` with those shingles of their parts that a twice-seen filter knows (few are left, as most
+    shingles stand in one document alone), their places in the part, and how many are lost."""
+    n = marks.select(F.sum(F.length("part")) / 8).first()[0] or 0
+    known = bloom.twice_seen(marks.select("part"), lambda batch: np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), bloom.filter_bits(int(n) // 2))
 
-    def joined(batch: pa.RecordBatch) -> np.ndarray:
-        return np.frombuffer(b"".join([*batch.column(0).to_pylist(), *batch.column(1).to_pylist()]), np.uint64)
+    def prune(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+        kept = [np.flatnonzero(bloom.contains(known.value, x)) for x in parts]
+        columns = [
+            pa.array([len(x) - len(k) for x, k in zip(parts, kept)], pa.int64()),
+            pa.array([x[k].tobytes() for x, k in zip(parts, kept)], pa.binary()),
+            pa.array([k.astype("<i4").tobytes() for k in kept], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "n", "digest", "lost", "keys", "places"])
 
-    known = bloom.twice_seen(marks.select("short", "rest"), joined, bloom.filter_bits(int(n) // 2))
+    return map_batches(marks.select("doc_id", "n_shingles", "digest", "part"), prune, "doc_id long, n long, digest binary, lost long, keys binary, places binary")
 
-    def prune(batch: pa.RecordBatch) -> pa.RecordBatch:
-        short, rest = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (4, 5))
-        kept = [bloom.contains(known.value, x) for x in rest]
-        # long shingles of the set from each one on, in the order of list lengths
-        after = [(n - np.arange(len(x))).astype(np.int64) for n, x in zip(batch.column(2).to_pylist(), rest)]
-        parts = [[x[bloom.contains(known.value, x)] for x in short], [x[k] for x, k in zip(rest, kept)], [x[k] for x, k in zip(after, kept)]]
-        columns = [pa.array([x.tobytes() for x in part], pa.binary()) for part in parts]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["doc_id", "n", "long", "digest", "short", "rest", "after"])
 
-    columns = marks.select("doc_id", "n_shingles", "long", "digest", "short", "rest")
-    return map_batches(columns, prune, "doc_id long, n long, long long, digest binary, short binary, rest binary, after binary")
+def _required(n: F.Column, m: F.Column, percent: int) -> F.Column:
+    return F.ceil(percent * (n + m) / (100 + percent))
 
 
 def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``classes`` (rep, n, long, short, rest, after) -> key, rep, n, long, after, is_long: the
-    lists, without the representatives that no other in the list has a size near enough to."""
+    """``classes`` (rep, n, lost, keys, places) -> key, rep, n, lost, place: the lists, without the
+    representatives that can't be similar to any other in the list, by its size or its place."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for column, is_long in ((3, False), (4, True)):
-                parts = [np.frombuffer(x, np.int64) for x in batch.column(column).to_pylist()]
-                sizes = [len(x) for x in parts]
-                own = [np.repeat(batch.column(i).to_numpy(), sizes) for i in range(3)]
-                keys = np.concatenate(parts)
-                own.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64) if is_long else np.zeros(len(keys), np.int64))
-                for i in range(0, len(keys), 100_000):
-                    part = slice(i, i + 100_000)
-                    columns = [pa.array(keys[part]), *(pa.array(x[part]) for x in own), pa.array(np.full(len(keys[part]), is_long))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "long", "after", "is_long"])
-
-    small_batches(classes.sparkSession)
-    lists = classes.select("rep", "n", "long", "short", "rest", "after").mapInArrow(spread, "key long, rep long, n long, long long, after long, is_long boolean")
+        for batch in pieces(batches):
+            parts = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            keys, places = np.concatenate(parts), np.frombuffer(b"".join(batch.column(4).to_pylist()), "<i4").astype(np.int64)
+            own = [np.repeat(batch.column(i).to_numpy(), [len(x) for x in parts]) for i in range(3)]
+            for i in range(0, len(keys), 100_000):
+                columns = [pa.array(x[i : i + 100_000]) for x in (keys, *own, places)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "rep", "n", "lost", "place"])
+
+    lists = classes.select("rep", "n", "lost", "keys", "places").mapInArrow(spread, "key long, rep long, n long, lost long, place long")
     by_size = Window.partitionBy("key").orderBy("n")
-    near = lists.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    return near.filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("key", "rep", "n", "long", "after", "is_long")
+    near = lists.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size), "least": F.min("n").over(by_size)})
+    near = near.filter((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more")))
+    smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))  # similar set in the list
+    return near.filter(F.col("place") <= F.col("n") - _required(F.col("n"), smallest, percent)).select("key", "rep", "n", "lost", "place")
 
 
 def search(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``pairs`` (a, b: a is the query; m shingles of b) and ``texts`` (rep, text) -> the similar
     a, b.
 
-    A query's candidates are dealt into chunks by the size of their sets, and each chunk is
-    searched on its own, so a hub with very many candidates isn't one task's work.
+    A query's candidates are dealt into chunks of about CANDIDATES and CHUNK shingles, and each
+    chunk is searched on its own, so a hub with very many candidates isn't one task's work.
     """
-    chunks = pairs.groupBy("a").agg(F.ceil(F.sum("m") / CHUNK).alias("chunks"))
+    chunks = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / CANDIDATES, F.sum("m") / CHUNK)).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
-    candidates = dealt.join(texts.select(F.col("rep").alias("b"), "text"), "b").select("a", "chunk", "b", "text")
-    queries = dealt.select("a", "chunk").distinct().join(texts.select(F.col("rep").alias("a"), "text"), "a")
-    rows = candidates.unionByName(queries.select("a", "chunk", F.lit(None).cast("long").alias("b"), "text"))
+    own = dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("rep"), F.lit(True).alias("is_query"))
+    wanted = dealt.select("a", "chunk", F.col("b").alias("rep"), F.lit(False).alias("is_query")).union(own)
+    ids = wanted.select("rep").distinct()
+    if pairs.count() <= FEW // 2:
+        texts = texts.join(F.broadcast(ids), "rep", "left_semi")
+    rows = wanted.join(texts, "rep").select("a", "chunk", "rep", "is_query", "text")
 
     def one(group: pa.Table) -> pa.Table:
-        b, sets = group.column("b").to_pylist(), [shingle_set(t) for t in utf8(group.column("text"))]
-        queries = [s for x, s in zip(b, sets) if x is None]  # several where a doc_id has several texts
-        others = [(x, s) for x, s in zip(b, sets) if x is not None]
-        found = [divide_skip(query, [s for _, s in others], percent) for query in queries]
-        hits = [x for (x, _), *ok in zip(others, *found) if any(ok)]
+        rows = list(zip(group.column("rep").to_pylist(), group.column("is_query").to_pylist(), map(shingle_set, utf8(group.column("text")))))
+        others = [(b, s) for b, is_query, s in rows if not is_query]
+        lists = Lists([s for _, s in others])
+        # a doc_id with several texts has several queries
+        found = [divide_skip(s, lists, percent) for _, is_query, s in rows if is_query]
+        hits = [b for (b, _), *ok in zip(others, *found) if any(ok)]
         return pa.table({"a": pa.array([group.column("a")[0].as_py()] * len(hits), pa.int64()), "b": pa.array(hits, pa.int64())})
 
     return rows.groupBy("a", "chunk").applyInArrow(one, "a long, b long")
 
 
-def _fits(n: str, m: str, percent: int) -> F.Column:
-    """Sets of these sizes can be similar at all."""
-    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+def apart(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists with documents of several components, with these: key, rep, n, lost, place, component."""
+    own = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    return own.join(mixed.select("key"), "key", "left_semi")
+
+
+def meet(few: DataFrame, lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs of one of ``few`` (x) and another document in its list (y) that lie in different
+    components and have enough shingles left, after the list, to be similar."""
+    x, y = few.alias("x"), lists.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    needed = _required(n, m, percent)
+    both = x.join(y, F.col("x.key") == F.col("y.key")).filter(F.col("x.component") != F.col("y.component"))
+    return both.filter((F.col("x.place") <= n - needed) & (F.col("y.place") <= m - needed))  # sizes too far apart fail here too
 
 
 def similar_classes(posts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``posts`` (key, rep, n, long, after, is_long), ``texts`` (rep, text) -> rep, component of linked
-    classes.
-
-    A pair goes to the search if its parts share enough.  Where both parts have all short shingles
-    of their sets, as many short ones must be shared as the long ones can't make up for; else the
-    parts share one in SHARED of the smaller set's size.  Where two sets share no short shingle,
-    all that they share lies from their first common long one on: a long list brings a pair
-    together only if both have enough left there.
+    """``posts`` (key, rep, n, lost, place), ``texts`` (rep, text) -> node, component of linked classes.
+
+    The first hub of a list is the document that has lost least of its part, as what it shares
+    with others makes it likely to be in the midst of a group; later hubs are picked by a hash.
     """
     spark = posts.sparkSession
-    links = tested = spark.createDataFrame([], "a long, b long")
-    found, hubs = spark.createDataFrame([], "node long, component long"), True
+    found, tables = spark.createDataFrame([], "node long, component long"), []
+    tested, hubs = spark.createDataFrame([], "low long, high long"), True
     for turn in range(HUB_ROUNDS + 1):
-        own = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        sizes = own.groupBy("key", "component").agg(F.count("*").alias("size"))
-        lists = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count("*").alias("parts"))
-        lists = stored(lists.filter("parts > 1"), "lists")  # those whose documents are still apart
-        loose = lists.agg(F.sum(F.expr("cast(all - most as double) * all")).alias("pairs"), F.sum("all").alias("rows")).first()
-        last = not hubs or turn == HUB_ROUNDS or (loose["pairs"] or 0) <= REST * (loose["rows"] or 0)
-        own = own.join(lists.select("key", "main"), "key")
-        if not last:  # each list's documents against a few of them
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(turn)), "rep"))
-            few = own.withColumn("place", place).filter(F.col("place") <= HUBS)
-            twice = F.lit(True)
+        lists = stored(apart(posts, found), "lists")
+        posts = lists.drop("component")
+        last = not hubs or turn == HUB_ROUNDS
+        if not last:
+            order = F.struct(F.col("lost") if turn == 0 else F.lit(0), F.xxhash64("rep", F.lit(turn)))
+            few = lists.groupBy("key").agg(F.min_by(F.struct("rep", "n", "place", "component"), order).alias("hub")).select("key", "hub.*")
+            met = meet(few, lists, percent)
         else:  # all that is outside the list's largest component against the rest
-            few = own.filter("component <> main")
-            twice = (F.col("component") == F.col("main")) | (F.col("x.rep") < F.col("rep"))
-        document = F.struct("rep", "n", "long")
-        needed = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-        lacking = needed - F.least("x.long", "y.long")
-        met = own.withColumn("y", document).join(few.select("key", document.alias("x"), F.col("component").alias("other"), F.col("after").alias("left")), "key")
-        met = met.filter(F.col("component") != F.col("other")).filter(twice).filter(_fits("x.n", "y.n", percent)).filter(~F.col("is_long") | (F.least("after", "left") >= needed))
-        ordered = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "is_long")
-        often = ordered.groupBy("x", "y").agg(F.count("*").alias("shared"), F.count_if(~F.col("is_long")).alias("short"))
-        complete = (F.col("x.long") >= 0) & (F.col("y.long") >= 0)
-        enough = F.when(complete, F.col("short") >= lacking).otherwise(F.col("shared") >= F.floor(F.least("x.n", "y.n") / SHARED))
-        pairs = often.filter(enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("y.n").alias("m"))
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = stored(search(pairs, texts, percent), "links")
-        links, gained = links.union(new), new.count() >= WORTH * pairs.count()
-        tested = tested.union(pairs.select("a", "b"))
-        found = components(links)
+            sizes = lists.groupBy("key", "component").agg(F.count("*").alias("size"))
+            main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+            few = lists.join(main, "key").filter("component <> main")
+            met = meet(few, lists, percent).filter((F.col("y.component") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep")))
+        low, high = F.least("x.rep", "y.rep").alias("low"), F.greatest("x.rep", "y.rep").alias("high")
+        pairs = met.groupBy(low, high).agg(F.min(F.struct(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("y.n").alias("m"))).alias("pair"))
+        pairs = stored(pairs.join(tested, ["low", "high"], "left_anti").select("low", "high", "pair.*"), "pairs")
+        links = stored(search(pairs, texts, percent), "links")
+        hubs = links.count() >= max(1, WORTH * pairs.count())
+        tables.append(found)
+        found = grown(found, links)
+        tested = tested.union(pairs.select("low", "high"))
+        tables += [lists, pairs, links]
         if last:
             break
-        hubs = hubs and gained
-    return found.withColumnRenamed("node", "rep")
+    discard(*tables)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -280,9 +278,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A document's set has its distinct shingles of five words; with fewer words, the whole
     sequence; without words, or with a null text, nothing, and it links with nothing.  Two
     documents link at a Jaccard similarity of ``percent``; ``component_id`` is the smallest
-    doc_id that links reach.  Rows that share a doc_id and set are one document; a doc_id with
-    different texts links them all.  Rows without a doc_id get their n_shingles and no component.
-    Other columns are ignored; no documents give no rows.
+    doc_id that links reach.  Texts may be of any length: a task holds one of them with a few
+    numbers for each word.  Rows that share a doc_id and set are one document, and each of them
+    has its row in the result; a doc_id with different texts links them all.  Rows without a
+    doc_id get their n_shingles and no component.  Other columns are ignored; no documents give
+    no rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -290,19 +290,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = np.argsort(keys)
     long = spark.sparkContext.broadcast((keys[order], len(keys) - order))  # the longest list has the highest rank
     marks = stored(signatures(docs, long, percent), "signatures")
+    own = stored(marks.drop("part"), "digests")
     usable = marks.filter("doc_id is not null and n_shingles > 0")
-    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "long", "short", "rest", "after")).alias("first"))
+    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "lost", "keys", "places")).alias("first"))
     classes = stored(first.select("digest", "first.*"), "classes")
+    discard(marks)
     free_shuffles(spark)
     posts = stored(postings(classes, percent), "postings")
-    wanted = posts.select("rep").distinct()
-    texts = stored(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"), "texts")
+    reps = stored(classes.select("digest", "rep"), "representatives")
+    discard(classes)
+    texts = stored(docs.withColumnRenamed("doc_id", "rep").join(posts.select("rep").distinct(), "rep", "left_semi"), "texts")
     free_shuffles(spark)
     found = similar_classes(posts, texts, percent)
+    discard(posts, texts)
     free_shuffles(spark)
-    reached = classes.select("digest", "rep").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
+    reached = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    joined = marks.withColumn("digest", F.when(~empty, F.col("digest"))).join(reached, "digest", "left")
+    joined = own.withColumn("digest", F.when(~empty, F.col("digest"))).join(reached, "digest", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"))
 
 

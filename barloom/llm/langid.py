@@ -17,7 +17,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import held_out, mix64, small_batches
+from barloom.llm.common import held_out, mix64, pieces
 
 #: Share of a language's trigrams that a trigram must make up.  At most 1 / MIN_SHARE trigrams of
 #: a language can, which bounds the filters whatever the corpus.
@@ -75,7 +75,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n[i : i + 50_000])], ["lang", "gram", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in pieces(batches):
             by_lang: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(trigrams(text))
@@ -89,7 +89,6 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
                 size = 0
         yield from flush()
 
-    small_batches(docs.sparkSession)
     counts = docs.select("text", "lang").filter("lang is not null and text is not null").mapInArrow(count, "lang string, gram long, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -152,7 +151,7 @@ def predict(docs: DataFrame, filters: Broadcast) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Filters = filters.value
-        for batch in batches:
+        for batch in pieces(batches):
             grams = [trigrams(t) for t in batch.column(1).to_pylist()]
             n = np.array([len(g) for g in grams], np.int64)
             some = np.flatnonzero(n)
@@ -167,7 +166,6 @@ def predict(docs: DataFrame, filters: Broadcast) -> DataFrame:
                     names[i] = f.languages[b]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import bloom
-from barloom.llm.common import utf8
+from barloom.llm.common import pieces, utf8
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
@@ -54,7 +54,7 @@ def suspected_lines(docs: DataFrame) -> DataFrame:
     seen = repeated_keys(docs)
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, keys = [], []
             for doc_id, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 own = list(line_keys(t))
@@ -100,7 +100,7 @@ def drop_repeated_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFra
     schema = ", ".join(["doc_id long, text string, n_lines long, n_dropped long", *(f"{n} {fields[n].dataType.simpleString()}" for n in names)])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, lines, gone = [], [], []
             for t, lost in zip(utf8(batch.column("text")), batch.column("dropped").to_pylist()):
                 every = t.split(b"\n")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import held_out, map_batches, mix64, small_batches, utf8, word_hashes
+from barloom.llm.common import held_out, map_batches, mix64, pieces, utf8, word_hashes
 
 #: Hashed n-grams; with the constant, the model is a vector of this size plus one.
 FEATURES = 1 << 18
@@ -58,7 +58,7 @@ def class_counts(labelled: DataFrame) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, FEATURES + SLICE), np.float32)
-        for batch in batches:
+        for batch in pieces(batches):
             for text, quality in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 held[quality, features(text)] += 1
                 held[quality, FEATURES] += 1
@@ -75,8 +75,6 @@ def class_counts(labelled: DataFrame) -> np.ndarray:
         for i, part in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
-    spark = labelled.sparkSession
-    small_batches(spark)
     parts = labelled.select("text", "quality").mapInArrow(count, "slice int, counts binary").repartition(8, "slice")
     out = np.zeros((2, FEATURES + SLICE))
     for r in parts.mapInArrow(add, "slice int, counts binary").toLocalIterator():

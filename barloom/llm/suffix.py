@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import bloom
-from barloom.llm.common import free_shuffles, map_batches, mix64, small_batches, stored, utf8
+from barloom.llm.common import free_shuffles, map_batches, mix64, pieces, stored, utf8
 
 LENGTH, GRAM = 100, 24
 #: Strings of one batch of a shard's index, at least (a class is never split).
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             found = batch.column(3)
             fields = [x.to_pylist() for x in found.flatten().flatten()]
@@ -283,7 +283,6 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), *[pa.int64()] * 3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    small_batches(docs.sparkSession)
     # texts are shuffled packed, which zstandard does better than Spark's own codec
     packed = map_batches(docs, pack, "doc_id long, row long, packed binary")
     return packed.join(by_doc, ["doc_id", "row"], "left").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm.common import shared_folder, small_batches
+from barloom.llm.common import pieces, shared_folder
 
 SEQUENCE = 2048
 #: Sequences in one record batch of a file.
@@ -190,7 +190,7 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str, end_id: int, s
         encoder = chunk_encoder(vocabulary)
         end = np.array([end_id], encoder.kind).tobytes()
         writer, done = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts)):
                 writer = writer or ShardWriter(uri, encoder.kind, sequence)
@@ -203,7 +203,6 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str, end_id: int, s
             yield pa.RecordBatch.from_pylist(done, pa.schema([("shard", pa.string()), ("first_doc_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     spark = docs.sparkSession
-    small_batches(spark)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{uri}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")

@@ -246,13 +246,13 @@ def brute_groups(rows):
     return {d: (len(sets[d]), root(d)) for d in sets}
 
 
-def near_copies(n, words=60, seed=0):
+def near_copies(n, words=60, seed=0, edits=3):
     rng = np.random.default_rng(seed)
     base = [f"w{i}" for i in range(words)]
     out = []
     for i in range(n):
         copy = list(base)
-        for at in rng.integers(0, words, rng.integers(0, 3)):
+        for at in rng.integers(0, words, rng.integers(0, edits)):
             copy[at] = f"edit{i}x{at}"
         out.append((30_000 + i, " ".join(copy)))
     return out
@@ -266,12 +266,13 @@ def test_near_duplicates(spark, docs, rows):
     assert got == want
 
 
-@pytest.mark.parametrize("hubs,sample", [(0, 8), (1, 1)])
-def test_near_duplicates_by_other_routes(spark, monkeypatch, hubs, sample):
+@pytest.mark.parametrize("hubs,sample,edits", [(0, 8, 3), (1, 1, 3), (6, 1, 5), (2, 2, 5)])
+def test_near_duplicates_by_other_routes(spark, monkeypatch, hubs, sample, edits):
     monkeypatch.setattr(jaccard, "HUB_ROUNDS", hubs)
     monkeypatch.setattr(jaccard, "LIST_SAMPLE", sample)
     monkeypatch.setattr(jaccard, "CHUNK", 500)
-    rows = near_copies(50, 40, 1) + [(i, t) for i, t in enumerate([None, "", "a b", "A B", "a b c"])]
+    monkeypatch.setattr(jaccard, "CANDIDATES", 7)
+    rows = near_copies(50, 40 if edits == 3 else 120, hubs, edits) + [(i, t) for i, t in enumerate([None, "", "a b", "A B", "a b c"])]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_groups([(d, t or "") for d, t in rows])
     assert jaccard.near_duplicates(empty(spark)).count() == 0
@@ -290,7 +291,7 @@ def test_divide_skip_equals_counting():
         query = np.unique(rng.integers(0, 60, 40)).astype(np.uint64)
         others = [np.unique(np.concatenate([rng.choice(query, 30), rng.integers(0, 80, 4).astype(np.uint64)])) for _ in range(12)]
         want = [180 * len(set(query) & set(o)) >= 80 * (len(query) + len(o)) for o in others]
-        assert jaccard.divide_skip(query, others) == want
+        assert jaccard.divide_skip(query, jaccard.Lists(others)) == want
 
 
 def test_components(spark):
