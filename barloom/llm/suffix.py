@@ -1,22 +1,26 @@
 """Removal of repeated 100-byte strings with a logarithmic family of suffix arrays.
 
-A string's anchor is the least of the hashes of its 24-byte substrings, so equal strings have
+A string's anchor is the least of the hashes of its GRAM-byte substrings, so equal strings have
 equal anchors wherever they stand.  Successive strings of a text with one anchor place form a run.
 A twice-seen filter over all anchors leaves the runs whose strings may stand elsewhere.  Equal runs
-are one class, with its first place; every later run of a class is a repeat as a whole.  What
-remains is where classes with one anchor overlap in part, the ends of copied passages and the
-places of edits.  Those classes go, in order of their first places, in batches into an index:
+are one class, with its first place, so that a text with thousands of copies is indexed once.
+Classes that share their anchor with others go, in order of their first places, in batches into an
+index:
 
-* a batch gets a suffix array of its strings, in which equal neighbours are repeats;
+* a batch gets a suffix array of its text, in which equal neighbours are repeats;
 * it is merge-scanned against each level of the index: a match of full length is a repeat;
 * it becomes a level; levels of about equal size merge, so n batches lie in about log n levels.
 
-The index is dealt by anchor into shards, and each shard's index is built in one task.
+The index is dealt by anchor into shards, and each shard's index is built in one task; the strings
+of an anchor with very many classes are dealt among shards by their own hashes.  Texts are never
+shuffled as a whole for this: runs travel as digests, and only classes that the index needs send
+their text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,211 +32,312 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import bloom
-from barloom.llm.common import free_shuffles, map_batches, mix64, pieces, stored, utf8
+from barloom.llm.common import discard, free_shuffles, map_batches, mix64, pieces, stored, utf8
 
 LENGTH, GRAM = 100, 24
+#: Strings whose anchors are found at a time; their places must fit into 16 bits.
+BLOCK = 1 << 15
 #: Strings of one batch of a shard's index, at least (a class is never split).
 BATCH = 16_384
 #: Bytes of class texts in one shard, about.
 SHARD_BYTES = 1_000_000
-#: Anchors with more classes than this are compared string by string across tasks.
+#: The strings of an anchor with more classes than this are dealt among shards one by one.
 CROWDED = 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = [pow(int(_BASE), 1 << i, 1 << 64) for i in range(5)]
 
 
-def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of a text: their anchors, first strings and numbers of strings.
-
-    An anchor is 48 bits of a hash; of equal ones in a string the leftmost counts, so a run never
-    holds the same string twice.
-    """
-    none = np.zeros(0, np.uint64)
-    n = len(text) - GRAM + 1
-    width = LENGTH - GRAM + 1
-    if len(text) < LENGTH:
-        return none, none.astype(np.int64), none.astype(np.int64)
-    h = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-    for i in range(4):  # hashes of 2, 4, 8 and 16 bytes
-        if i == 3:
-            eight = h
-        h = h[: -(1 << i)] * np.uint64(_POWERS[i]) + h[1 << i :]
-    h = h[:n] * np.uint64(_POWERS[3]) + eight[16 : 16 + n]
-    least = (mix64(h) & ~np.uint64(0xFFFF)) | (np.arange(n, dtype=np.uint64) & np.uint64(0xFFFF))
-    size = 1
-    while 2 * size <= width:
-        least = np.minimum(least[:-size], least[size:])
+def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
+    """Hashes of the k-byte substrings of some bytes, put together from those of powers of two."""
+    n = len(data) - k + 1
+    part, size, out, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        power = np.uint64(pow(int(_BASE), size, 1 << 64))
+        if k & size:
+            out = part[:n] if out is None else out * power + part[done : done + n]
+            done += size
+        if done == k:
+            return out
+        part = part[:-size] * power + part[size:]
         size *= 2
-    least = np.minimum(least[: len(text) - LENGTH + 1], least[width - size :])
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    counts = np.diff(np.append(starts, len(least)))
-    return mix64(least[starts] >> np.uint64(16)), starts, counts
+
+
+class Runs(NamedTuple):
+    """Runs of some texts: number of the text, anchor, first string and number of strings."""
+
+    text: np.ndarray
+    anchor: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+
+
+def runs(texts: list[bytes]) -> Runs:
+    """The runs of each text.  Of equal grams in a string the leftmost counts, so a run never holds
+    the same string twice.  An anchor is 48 bits of a hash."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    begins = ends - [len(t) for t in texts]
+    total, width, low = len(data) - LENGTH + 1, LENGTH - GRAM + 1, np.uint64(0xFFFF)
+    found: list[list[np.ndarray]] = [[], [], []]
+    for b in range(0, max(0, total), BLOCK):
+        h = mix64(gram_hashes(data[b : b + BLOCK + LENGTH - 1]))
+        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        size = 1
+        while 2 * size <= width:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        n = len(h) - width + 1
+        least = np.minimum(least[:n], least[width - size : width - size + n])
+        at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        for part, x in zip(found, (b + at, least[at] >> np.uint64(16), b + (least[at] & low).astype(np.int64))):
+            part.append(x)
+    if not found[0]:
+        none = np.zeros(0, np.int64)
+        return Runs(none, none.astype(np.uint64), none, none)
+    starts, hashes, places = map(np.concatenate, found)
+    new = np.concatenate([[True], places[1:] != places[:-1]])  # a run may go on in the next block
+    starts, hashes = starts[new], hashes[new]
+    cuts = np.union1d(starts, begins[begins < total])
+    text = np.searchsorted(ends, cuts, "right")
+    count = np.minimum(np.append(cuts[1:], total), ends[text] - LENGTH + 1) - cuts
+    cuts, text, count = (x[count > 0] for x in (cuts, text, count))
+    return Runs(text, mix64(hashes[np.searchsorted(starts, cuts, "right") - 1]), cuts - begins[text], count)
 
 
 def repeated_anchors(docs: DataFrame) -> Broadcast:
     """The twice-seen filter over the anchors of all runs."""
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    return bloom.twice_seen(docs.select("text"), lambda batch: runs(utf8(batch.column(0))).anchor, bloom.filter_bits(2 * size // (LENGTH - GRAM + 2)))
 
-    def anchors(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([runs(t)[0] for t in utf8(batch.column(0))])
 
-    return bloom.twice_seen(docs.select("text"), anchors, bloom.filter_bits(size // 40))
+def known_runs(texts: list[bytes], seen: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """The runs with an anchor that may stand elsewhere: text, anchor, start, count, bytes."""
+    found = runs(texts)
+    known = bloom.contains(seen, found.anchor)
+    for i, a, s, c in zip(*(x[known].tolist() for x in (found.text, found.anchor.astype(np.int64), found.start, found.count))):
+        yield i, a, s, c, texts[i][s : s + c + LENGTH - 1]
 
 
-OCCURRENCES = "digest binary, doc_id long, row long, pos long, n long, total long"
+def occurrences(docs: DataFrame, seen: Broadcast) -> DataFrame:
+    """The known runs of ``docs`` (doc_id, row, text): digest of the run's bytes, anchor, doc_id,
+    row, pos, n strings, and ``total``, the strings up to the end of the run's last direct repeat."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        columns: list[list] = [[] for _ in range(7)]
+        last = end = None
+        for i, a, s, c, part in known_runs(utf8(batch.column(2)), seen.value):
+            digest = xxhash.xxh3_128_digest(part)
+            if digest == last and (i, s) == end:
+                columns[6][-1] += c
+            else:
+                for column, x in zip(columns, (digest, a, ids[i], rows[i], s, c, c)):
+                    column.append(x)
+            last, end = digest, (i, s + c)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), *[pa.int64()] * 6))], ["digest", "anchor", "doc_id", "row", "pos", "n", "total"])
 
-def occurrences(docs: DataFrame, seen: Broadcast, with_text: bool) -> DataFrame:
-    """Runs with an anchor that may stand elsewhere: digest of the run's text, doc_id, row, pos, n
-    strings, and ``total``, the strings up to the end of the run's last direct repeat.  With
-    ``with_text`` also the anchor and the text."""
+    return map_batches(docs.select("doc_id", "row", "text"), run, "digest binary, anchor long, doc_id long, row long, pos long, n long, total long")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in range(8)]
-        for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
-            anchors, starts, counts = runs(text)
-            if not len(anchors):
-                continue
-            known = np.flatnonzero(bloom.contains(seen.value, anchors))
-            last, end = None, -1
-            for a, s, c in zip(anchors[known].astype(np.int64).tolist(), starts[known].tolist(), counts[known].tolist()):
-                part = text[s : s + c + LENGTH - 1]
-                digest = xxhash.xxh3_128_digest(part)
-                if digest == last and s == end:
-                    columns[5][-1] += c
-                else:
-                    for column, x in zip(columns, (digest, doc_id, row, s, c, c, a, part)):
-                        column.append(x)
-                last, end = digest, s + c
-        types = [pa.binary(), *[pa.int64()] * 6, pa.binary()]
-        names = ["digest", "doc_id", "row", "pos", "n", "total", "anchor", "text"]
-        wanted = 8 if with_text else 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:wanted], types)], names[:wanted])
-
-    return map_batches(docs.select("doc_id", "row", "text"), run, OCCURRENCES + ", anchor long, text binary" * with_text)
 
+def place_hashes(digests: list[bytes], ids: list[int], places: list[int]) -> np.ndarray:
+    h = np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
+    return mix64(mix64(h + np.array(ids, np.int64).astype(np.uint64)) + np.array(places, np.int64).astype(np.uint64))
 
-class Levels:
-    """Suffix arrays of batches, merged so that each level has at least twice the next one's size.
 
-    A level is its strings in sorted order.  Only the fact that a string has come before counts,
-    so equal strings are kept once.
+def shared_classes(classes: DataFrame) -> DataFrame:
+    """``classes`` (digest, anchor, doc_id, pos, n) without most that share their anchor with no other."""
+    several = bloom.twice_seen(classes.select("anchor"), lambda batch: batch.column(0).to_numpy().astype(np.uint64), bloom.filter_bits(classes.count()))
+
+    def known(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(bloom.contains(several.value, batch.column(1).to_numpy().astype(np.uint64))))
+
+    return map_batches(classes, known, classes.schema)
+
+
+def class_texts(docs: DataFrame, seen: Broadcast, classes: DataFrame) -> DataFrame:
+    """digest, anchor, doc_id, pos, n, text of ``classes`` (digest, doc_id, pos), of each at its first place.
+
+    A filter of the first places goes to the documents, so that no more is shuffled; the few other
+    places that it lets through come after a class's first one and are dropped by the index.
     """
+    n = classes.count()
+    # every place is given twice, so that the twice-seen filter holds all of them
+    wanted = bloom.twice_seen(classes.select("digest", "doc_id", "pos"), lambda batch: np.repeat(place_hashes(*(c.to_pylist() for c in batch.columns)), 2), bloom.filter_bits(2 * n))
 
-    def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(0).to_pylist()
+        found = [(xxhash.xxh3_128_digest(part), a, ids[i], s, c, part) for i, a, s, c, part in known_runs(utf8(batch.column(1)), seen.value)]
+        columns = [list(c) for c in zip(*found)] or [[] for _ in range(6)]
+        kept = pa.array(bloom.contains(wanted.value, place_hashes(columns[0], columns[2], columns[3])))
+        types = (pa.binary(), *[pa.int64()] * 4, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["digest", "anchor", "doc_id", "pos", "n", "text"]).filter(kept)
 
-    def add(self, strings: np.ndarray) -> np.ndarray:
-        """Index a batch; which of its strings have come before, in it or in an earlier batch."""
-        array = np.argsort(strings, kind="stable")  # equal strings stay in text order
-        ordered = strings[array]
-        again = np.zeros(len(ordered), bool)
-        again[1:] = ordered[1:] == ordered[:-1]
-        new = ~again
-        fresh = ordered[new]
-        for level in self.levels:
-            at = np.minimum(np.searchsorted(level, fresh), len(level) - 1)
-            again[np.flatnonzero(new)[level[at] == fresh]] = True
-        out = np.empty(len(ordered), bool)
-        out[array] = again
-        merged = ordered[~again]
-        while self.levels and len(self.levels[-1]) < 2 * len(merged):
-            merged = np.sort(np.concatenate([self.levels.pop(), merged]), kind="stable")
-        if len(merged):
-            self.levels.append(merged)
-        return out
+    return map_batches(docs.select("doc_id", "text"), run, "digest binary, anchor long, doc_id long, pos long, n long, text binary")
 
 
-def strings_of(texts: list[bytes], counts: list[int]) -> np.ndarray:
-    """The first ``count`` strings of LENGTH bytes of each text."""
-    joined = np.frombuffer(b"".join(texts), np.uint8)
-    starts = np.cumsum([0, *map(len, texts[:-1])])
-    at = np.repeat(starts - np.cumsum([0, *counts[:-1]]), counts) + np.arange(sum(counts))
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(joined, LENGTH)[at]).view(f"S{LENGTH}").ravel()
+class SuffixArray(NamedTuple):
+    """Places in a text, in the order of the LENGTH-byte strings that start there."""
 
+    text: np.ndarray
+    places: np.ndarray
 
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
+    def strings(self) -> np.ndarray:
+        """The strings in their order, for one comparison."""
+        return np.lib.stride_tricks.sliding_window_view(self.text, LENGTH)[self.places].view(f"S{LENGTH}").ravel()
 
 
-def repeats_in_classes(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``classes`` (digest, anchor, doc_id, pos, n, text) -> digest, repeats: a bit for each string
-    of the class that a class with an earlier first place, or the same doc_id and a smaller pos,
-    has too. Most classes that share their anchor with no other have no row."""
-    by_anchor = classes.groupBy("anchor").agg(F.count("*").alias("classes"))
-    hot = by_anchor.filter(F.col("classes") > crowded).select("anchor")
-    any_hot = hot.limit(1).count() > 0
-    size = classes.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes")).first()
-    several = bloom.twice_seen(classes.select("anchor"), lambda batch: batch.column(0).to_numpy().astype(np.uint64), bloom.filter_bits(size["n"]))
+def suffix_array(text: np.ndarray, places: np.ndarray) -> tuple[SuffixArray, np.ndarray]:
+    """The suffix array of some places of a text, and which of its strings equal the one before.
 
-    def known(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(bloom.contains(several.value, batch.column(1).to_numpy().astype(np.uint64))))
+    Ranks of prefixes double in length until those of LENGTH bytes are known.  Equal strings stay
+    in the order of their places.
+    """
+    n = len(text) - LENGTH + 1
+    pairs, size = text.astype(np.uint64), 1
+    while size < 8:  # the first eight bytes are a number themselves
+        pairs, size = pairs[:-size] << np.uint64(8 * size) | pairs[size:], 2 * size
+    rank = np.unique(pairs, return_inverse=True)[1]
+    while size < LENGTH:
+        step = min(size, LENGTH - size)  # two ranks may overlap
+        pairs = rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:]
+        rank, size = np.unique(pairs, return_inverse=True)[1], size + step
+    own = rank[:n][places]
+    order = np.argsort(own, kind="stable")
+    equal = np.concatenate([[False], own[order][1:] == own[order][:-1]])
+    return SuffixArray(text, places[order]), equal
 
-    shared = map_batches(classes.select("digest", "anchor", "doc_id", "pos", "n", "text"), known, "digest binary, anchor long, doc_id long, pos long, n long, text binary")
-    shards = max(1, (size["bytes"] or 0) // SHARD_BYTES)
-
-    def index(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
-        texts, counts = group.column("text").to_pylist(), group.column("n").to_pylist()
-        levels, found, i = Levels(), [], 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and size < BATCH:
-                size, j = size + counts[j], j + 1
-            again = levels.add(strings_of(texts[i:j], counts[i:j]))
-            found.extend(_bits(x) for x in np.split(again, np.cumsum(counts[i:j])[:-1]))
-            i = j
-        return pa.table({"digest": group.column("digest"), "repeats": pa.array(found, pa.binary())})
-
-    rest = shared.join(hot, "anchor", "left_anti") if any_hot else shared
-    dealt = rest.withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    indexed = dealt.select("shard", "digest", "doc_id", "pos", "n", "text").groupBy("shard").applyInArrow(index, "digest binary, repeats binary")
-    if not any_hot:
-        return indexed
-
-    def strings(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(xxhash.xxh3_128_digest(t[i : i + LENGTH]), d, o, p + i, i, n) for d, o, p, n, t in zip(*(c.to_pylist() for c in batch.columns)) for i in range(n)]
-        types = [pa.binary(), pa.binary(), *[pa.int64()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["string", "digest", "doc_id", "pos", "i", "n"])
-
-    many = map_batches(shared.join(hot, "anchor", "left_semi").select("digest", "doc_id", "pos", "n", "text"), strings, "string binary, digest binary, doc_id long, pos long, i long, n long")
-    place = F.struct("doc_id", "pos")
-    first = many.groupBy("string").agg(F.min(place).alias("first"))
-    later = many.join(first, "string").filter(place != F.col("first")).groupBy("digest").agg(F.collect_list("i").alias("at"), F.max("n").alias("n"))
 
-    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for at, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            flags = np.zeros(n, bool)
-            flags[at] = True
-            out.append(_bits(flags))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["digest", "repeats"])
+class Levels:
+    """Suffix arrays of batches, merged so that each level has at least twice the next one's size.
 
-    return indexed.union(map_batches(later, packed, "digest binary, repeats binary"))
+    Only the fact that a string has come before counts, so a level has equal strings once.
+    """
+
+    def __init__(self) -> None:
+        self.levels: list[SuffixArray] = []
+
+    def add(self, text: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Index a batch; which of its strings have come before, in it or in an earlier batch."""
+        array, again = suffix_array(text, places)
+        out = np.zeros(len(text), bool)
+        out[array.places[again]] = True
+        fresh = SuffixArray(text, array.places[~again])
+        for level in self.levels:
+            known = self.scan(level, fresh)
+            out[fresh.places[known]] = True
+            fresh = SuffixArray(text, fresh.places[~known])
+        while self.levels and len(self.levels[-1].places) < 2 * len(fresh.places):
+            fresh = self.merged(self.levels.pop(), fresh)
+        if len(fresh.places):
+            self.levels.append(fresh)
+        return out[places]
+
+    @staticmethod
+    def merge_order(a: SuffixArray, b: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """Both arrays' strings in order, and the order; a stable sort merges two sorted runs in one scan."""
+        both = np.concatenate([a.strings(), b.strings()])
+        order = np.argsort(both, kind="stable")
+        return both[order], order
+
+    @classmethod
+    def scan(cls, level: SuffixArray, batch: SuffixArray) -> np.ndarray:
+        """Which strings of the batch's array match one of the level's in full length."""
+        strings, order = cls.merge_order(level, batch)
+        match = np.flatnonzero(strings[1:] == strings[:-1]) + 1  # the level's comes first
+        known = np.zeros(len(batch.places), bool)
+        known[order[match] - len(level.places)] = True
+        return known
+
+    @classmethod
+    def merged(cls, a: SuffixArray, b: SuffixArray) -> SuffixArray:
+        """One array of two without a common string, over both texts."""
+        places = np.concatenate([a.places, b.places + len(a.text)])
+        return SuffixArray(np.concatenate([a.text, b.text]), places[cls.merge_order(a, b)[1]])
+
+
+REPEATS = "digest binary, first int, n int, repeats binary"
+
+
+def index_shard(shard: pa.Table) -> pa.Table:
+    """Index the classes of a shard (digest, doc_id, pos, first, n, text: n strings from the class's
+    first-th on) in order of their places -> digest, first, n, repeats: a bit for each string that
+    has come before; only classes that have some."""
+    rows = zip(*(shard.sort_by([("doc_id", "ascending"), ("pos", "ascending"), ("first", "ascending")]).column(c).to_pylist() for c in ("digest", "first", "n", "text")))
+    levels, found, seen, batch, size = Levels(), [], set(), [], 0
+
+    def add() -> None:
+        starts = np.cumsum([0, *(len(t) for *_, t in batch)])
+        places = np.concatenate([np.arange(s, s + n) for s, (*_, n, _) in zip(starts, batch)])
+        again = levels.add(np.frombuffer(b"".join(t for *_, t in batch), np.uint8), places)
+        for (digest, first, n, _), flags in zip(batch, np.split(again, np.cumsum([n for *_, n, _ in batch])[:-1])):
+            if flags.any():
+                found.append((digest, first, n, np.packbits(flags).tobytes()))
+
+    for digest, first, n, text in rows:
+        if (digest, first) in seen:  # a later place of the class
+            continue
+        seen.add((digest, first))
+        batch.append((digest, first, n, text))
+        size += n
+        if size >= BATCH:
+            add()
+            batch, size = [], 0
+    if batch:
+        add()
+    columns = [list(c) for c in zip(*found)] or [[], [], [], []]
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(("digest", "first", "n", "repeats"), columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary()))})
+
+
+def repeats_in_classes(docs: DataFrame, seen: Broadcast, classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """``classes`` (digest, anchor, doc_id, pos, n) -> digest, parts (first, n, repeats): the strings
+    of the class that a class with an earlier first place, or the same doc_id and a smaller pos,
+    has too."""
+    hot = stored(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter(F.col("classes") > crowded).select("anchor"), "hot")
+    shards = max(1, (classes.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0) // SHARD_BYTES)
+    texts = class_texts(docs, seen, shared_classes(classes)).withColumn("first", F.lit(0))
+    whole = texts
+    if any_hot := hot.limit(1).count() > 0:
+        texts = stored(texts, "texts")
+        whole = texts.join(hot, "anchor", "left_anti")
+    columns = ["digest", "doc_id", "pos", "first", "n", "text"]
+    dealt = whole.select(F.pmod("anchor", F.lit(shards)).alias("shard"), *columns)
+    if any_hot:
+
+        def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                rows = [(d, o, p + i, i, 1, t[i : i + LENGTH]) for d, o, p, _, n, t in zip(*(c.to_pylist() for c in batch.columns)) for i in range(n)]
+                types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
+
+        single = texts.join(hot, "anchor", "left_semi").select(*columns).mapInArrow(strings, "digest binary, doc_id long, pos long, first int, n long, text binary")
+        shards_of = F.lit(shards) + F.pmod(F.xxhash64("text"), F.lit(LENGTH * shards))
+        dealt = dealt.union(single.select(shards_of.alias("shard"), *columns))
+    indexed = dealt.groupBy("shard").applyInArrow(lambda t: index_shard(t), REPEATS)
+    return indexed.groupBy("digest").agg(F.collect_list(F.struct("first", "n", "repeats")).alias("parts"))
 
 
 def repeated_strings(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``docs`` (doc_id, row, text) -> doc_id, row, pos, n, total, is_first, repeats: the runs with
+    """``docs`` (doc_id, row, text) -> doc_id, row, pos, n, total, is_first, parts: the runs with
     strings that also start earlier.
 
-    Of a class's first run (``is_first``) those are the ones that ``repeats`` has a bit for, and
+    Of a class's first run (``is_first``) those are the ones that ``parts`` has a bit for, and
     all from ``pos + n`` to ``pos + total``; of every later run all from ``pos`` on.
     """
     spark = docs.sparkSession
     seen = repeated_anchors(docs)
     free_shuffles(spark)
     place = F.struct("doc_id", "pos")
-    # a class's texts are equal, so any of them will do
-    classes = occurrences(docs, seen, True).groupBy("digest").agg(F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("anchor", "n", "text")))
-    classes = stored(classes.select("digest", "anchor", "place.doc_id", "place.pos", "n", "text"), "classes")
+    every = stored(occurrences(docs, seen), "runs")
+    classes = every.groupBy("digest").agg(F.min(place).alias("place"), F.first("anchor").alias("anchor"), F.first("n").alias("n"))
+    classes = stored(classes.select("digest", "anchor", "place.doc_id", "place.pos", "n"), "classes")
     free_shuffles(spark)
-    partly = stored(repeats_in_classes(classes, crowded), "repeats")
+    partly = stored(repeats_in_classes(docs, seen, classes, crowded), "repeats")
     free_shuffles(spark)
-    verdicts = classes.select("digest", place.alias("first")).join(partly, "digest", "left")
-    found = occurrences(docs, seen, False).join(verdicts, "digest").withColumn("is_first", place == F.col("first"))
-    wanted = ~F.col("is_first") | (F.col("total") > F.col("n")) | F.col("repeats").isNotNull()
-    return found.filter(wanted).select("doc_id", "row", "pos", "n", "total", "is_first", "repeats")
+    verdicts = stored(classes.select("digest", place.alias("first")).join(partly, "digest", "left"), "verdicts")
+    discard(classes, partly)
+    found = every.drop("anchor").join(verdicts, "digest").withColumn("is_first", place == F.col("first"))
+    wanted = ~F.col("is_first") | (F.col("total") > F.col("n")) | F.col("parts").isNotNull()
+    return found.filter(wanted).select("doc_id", "row", "pos", "n", "total", "is_first", F.when(F.col("is_first"), F.col("parts")).alias("parts"))
 
 
 def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -243,45 +348,50 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     input.  Texts are UTF-8 bytes and may be cut inside a character, so what is kept is binary.
     Null and empty texts, and those shorter than LENGTH, lose nothing.  Rows that share a doc_id
     count as one document, none before the other.  Rows without a doc_id lose nothing and count
-    nowhere.  Other columns are ignored.
+    nowhere.  Texts may be of any length.  Other columns are ignored; no documents give no rows.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     found = repeated_strings(docs.filter("doc_id is not null"), crowded)
-    by_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "n", "total", "is_first", "repeats")).alias("found"))
+    by_doc = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "n", "total", "is_first", "parts")).alias("found"))
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         compress = zstandard.ZstdCompressor(level=3)
         packed = pa.array([compress.compress(t) if t else None for t in utf8(batch.column(2))], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns[:2], packed], ["doc_id", "row", "packed"])
 
+    def gone(size: int, spans: list[dict]) -> np.ndarray:
+        """Which bytes of a text of that size go."""
+        change = np.zeros(size + 1, np.int64)
+
+        def drop(starts: np.ndarray, count: int) -> None:
+            change[starts] += 1
+            change[starts + count + LENGTH - 1] -= 1
+
+        for x in spans:
+            p, n, total = x["pos"], x["n"], x["total"]
+            for part in x["parts"] or ():
+                flags = np.unpackbits(np.frombuffer(part["repeats"], np.uint8), count=part["n"])
+                drop(p + part["first"] + np.flatnonzero(flags), 1)
+            if x["is_first"]:
+                p, total = p + n, total - n
+            if total:
+                drop(np.array([p]), total)
+        return np.cumsum(change[:-1]) > 0
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in pieces(batches):
             rows = []
-            found = batch.column(3)
-            fields = [x.to_pylist() for x in found.flatten().flatten()]
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
-            begin = 0
-            for packed, end in zip(batch.column(2).to_pylist(), ends.tolist()):
+            for packed, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 text = expand.decompress(packed) if packed else b""
-                change = np.zeros(len(text) + 1, np.int64)
-                for p, n, total, is_first, bits in zip(*(x[begin:end] for x in fields)):
-                    if is_first and bits is not None:
-                        starts = p + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
-                        change[starts] += 1
-                        change[starts + LENGTH] -= 1
-                    if is_first:
-                        p, total = p + n, total - n
-                    if total:
-                        change[p] += 1
-                        change[p + total + LENGTH - 1] -= 1
-                begin = end
-                gone = np.cumsum(change[:-1]) > 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                rows.append((kept, len(text), len(text) - len(kept), spans))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), *[pa.int64()] * 3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                if not spans:
+                    rows.append((text, len(text), 0, 0))
+                    continue
+                out = gone(len(text), spans)
+                kept = np.frombuffer(text, np.uint8)[~out].tobytes()
+                rows.append((kept, len(text), len(text) - len(kept), int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.large_binary(), *[pa.int64()] * 3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), columns[0].cast(pa.binary()), *columns[1:]], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     # texts are shuffled packed, which zstandard does better than Spark's own codec
     packed = map_batches(docs, pack, "doc_id long, row long, packed binary")

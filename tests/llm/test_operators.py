@@ -336,12 +336,36 @@ def test_levels_stay_few():
     levels, rng = suffix.Levels(), np.random.default_rng(0)
     seen = set()
     for _ in range(40):
-        batch = np.array([b"%0100d" % x for x in rng.integers(0, 3000, 100)], "S100")
-        flags = levels.add(batch)
-        for s, again in zip(batch.tolist(), flags):
+        words = [b"%0100d" % x for x in rng.integers(0, 3000, 100)]
+        flags = levels.add(np.frombuffer(b"".join(words), np.uint8), np.arange(0, 10_000, 100))
+        for s, again in zip(words, flags):
             assert again == (s in seen)
             seen.add(s)
     assert len(levels.levels) <= 8
+    for level in levels.levels:
+        assert level.strings().tolist() == sorted(level.strings().tolist())
+
+
+def test_suffix_array_is_in_order():
+    rng = np.random.default_rng(1)
+    text = np.concatenate([rng.integers(97, 99, 300), np.zeros(150, np.int64), rng.integers(97, 99, 300)]).astype(np.uint8)
+    text[400:600] = text[100:300]
+    places = np.arange(len(text) - 99)
+    array, equal = suffix.suffix_array(text, places)
+    strings = [text[p : p + 100].tobytes() for p in array.places]
+    assert strings == sorted(strings) and sorted(array.places) == places.tolist()
+    assert equal.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
+
+
+@pytest.mark.parametrize("before", [65_480, 32_700, 200_000])
+def test_repeats_in_very_long_texts(spark, before):
+    rng = np.random.default_rng(before)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    one = noise(before) + "=-" * 70 + noise(300)
+    many = noise(40_000) + one[before - 500 : before + 300] + "é" * 200 + noise(70_000) + one[100:400] + "z" * 66_000
+    rows = [(1, one), (2, many), (3, "=-" * 60)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(rows)
 
 
 def test_contained_items(spark, docs, rows):
