@@ -1,129 +1,107 @@
 """Token counts of sections, by offset-mapped attribution.
 
-A document is encoded once, as a whole; its tokens' character spans are then joined with the
-spans of its sections.  Encoding sections apart would count other tokens, because merges and
-leading spaces cross their edges.  A token that crosses an edge is allocated by an explicit rule.
+A document is encoded once, as a whole; its tokens' spans are then joined with the spans of its
+sections.  Encoding sections apart would count other tokens, because merges and leading spaces
+cross their edges.  A token that crosses an edge is allocated by an explicit rule.
+
+Byte-level tokens cover a text without gaps, so the number of bytes that each id stands for maps
+ids to offsets: a running sum gives every token's span.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from barloom.llm.common import CACHE_ENTRIES, map_batches
-from barloom.llm.tokenfile import PLAIN
+from barloom.llm.common import map_batches, utf8
+from barloom.llm.tokenfile import chunk_encoder
 
 #: What happens to a token that crosses the edge of two sections: it counts where it starts, where
 #: it ends, or where most of its characters are (the earlier section, if as many are in each).
 RULES = ("start", "end", "majority")
 
 
-class SpanEncoder:
-    """Token spans of whole texts, in characters, with those of space-delimited chunks cached.
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> np.ndarray:
+    """The number of bytes that each id of a byte-level vocabulary stands for.
 
-    Latin texts without two spaces in a row may be cut before every space (see ``tokenfile``).
+    Such a vocabulary writes a token with one character for each byte; added tokens stand as they are.
     """
+    library = Tokenizer.from_file(path)
+    out = np.zeros(max(library.get_vocab().values()) + 1, np.int64)
+    for token, i in library.get_vocab(with_added_tokens=False).items():
+        out[i] = len(token)
+    for i, token in library.get_added_tokens_decoder().items():
+        out[i] = len(token.content.encode())
+    return out
 
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts, self.ends = [], []  # of each chunk's tokens, from the chunk's start
-
-    def _row(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if "  " in text or not PLAIN.fullmatch(text) or self.added and self.added.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *[" " + x for x in rest]]
-
-    def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Starts and ends of the tokens of each text."""
-        if len(self.number) > CACHE_ENTRIES // 2:
-            self.reset()
-        rows = [self._row(t) for t in texts]
-        new = list({x for row in rows for x in row} - self.number.keys())
-        for x, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.number[x] = len(self.starts)
-            offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
-            self.starts.append(offsets[:, 0])
-            self.ends.append(offsets[:, 1])
-        out = []
-        for row in rows:
-            chunks = list(map(self.number.__getitem__, row))
-            if not chunks:
-                out.append((np.zeros(0, np.int64),) * 2)
-                continue
-            starts = [self.starts[i] for i in chunks]
-            base = np.repeat(np.cumsum([0, *map(len, row[:-1])]), list(map(len, starts)))
-            out.append((base + np.concatenate(starts), base + np.concatenate([self.ends[i] for i in chunks])))
-        for x in new:
-            if len(x) > 256:  # whole texts are encoded once and not kept
-                i = self.number.pop(x)
-                self.starts[i] = self.ends[i] = None
-        return out
 
+def characters(part: bytes) -> int:
+    """Characters of which a piece of UTF-8 has at least one byte."""
+    return sum(b & 0xC0 != 0x80 for b in part) + (part[0] & 0xC0 == 0x80)
 
-@lru_cache(maxsize=2)
-def span_encoder(path: str) -> SpanEncoder:
-    return SpanEncoder(path)
-
-
-def sections(text: str) -> np.ndarray:
-    """Edges of a text's sections, its lines with their newlines: 0, ..., len(text)."""
-    edges, at = [0], text.find("\n")
-    while at >= 0:
-        edges.append(at + 1)
-        at = text.find("\n", at + 1)
-    if edges[-1] < len(text) or len(edges) == 1:
-        edges.append(len(text))
-    return np.array(edges, np.int64)
-
-
-def allocate(starts: np.ndarray, ends: np.ndarray, edges: np.ndarray, rule: str = "majority") -> tuple[np.ndarray, int]:
-    """Interval join of token spans with the sections between ``edges``: tokens of each section,
-    and how many tokens crossed an edge. Each token counts once."""
-    n = len(edges) - 1
-    first = np.clip(np.searchsorted(edges, starts, "right") - 1, 0, n - 1)
-    last = np.clip(np.searchsorted(edges, np.maximum(ends - 1, starts), "right") - 1, 0, n - 1)
+
+def majority(data: bytes, start: int, end: int) -> int:
+    """Which of the lines that the bytes from start to end touch has most of their characters."""
+    parts = data[start:end].split(b"\n")
+    sizes = [characters(p + b"\n") for p in parts[:-1]] + ([characters(parts[-1])] if parts[-1] else [])
+    return sizes.index(max(sizes))
+
+
+def allocate(texts: list[bytes], ids: list[np.ndarray], lengths: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interval join of the token spans of a batch of texts with the spans of their lines: where
+    each text's sections begin in the third array (and, last, its end), how many tokens of each
+    text cross an edge, and the tokens of each section.  Each token counts once.
+    """
+    data = b"".join(texts)
+    n_tokens = np.array([len(x) for x in ids], np.int64)
+    ends = np.cumsum(lengths[np.concatenate([*ids, np.zeros(0, np.uint16)])])
+    starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    newlines = np.frombuffer(data, np.uint8) == 10
+    before = np.concatenate([[0], np.cumsum(newlines)])  # newlines before each byte
+    at = np.array([0, *accumulate(map(len, texts))], np.int64)
+    lines = np.diff(before[at])
+    n_sections = np.maximum(1, lines + np.array([not t.endswith(b"\n") for t in texts], np.int64))
+    base = np.concatenate([[0], np.cumsum(n_sections)])
+    text = np.repeat(np.arange(len(texts)), n_tokens)
+    shift = (base[:-1] - before[at[:-1]])[text]
+    first, last = before[starts] + shift, before[ends - 1] + shift
     crossing = np.flatnonzero(last > first)
-    owner = last.copy() if rule == "end" else first.copy()
+    owner = last if rule == "end" else first
     if rule == "majority":
         for i in crossing:
-            part = np.minimum(edges[first[i] + 1 : last[i] + 2], ends[i]) - np.maximum(edges[first[i] : last[i] + 1], starts[i])
-            owner[i] = first[i] + part.argmax()
-    return np.bincount(owner, minlength=n), len(crossing)
+            owner[i] += majority(data, starts[i], ends[i])
+    return base, np.bincount(text[crossing], minlength=len(texts)), np.bincount(owner, minlength=base[-1])
 
 
 def section_token_counts(docs: DataFrame, vocabulary: str, rule: str = "majority") -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_tokens, n_sections, n_crossing, section_tokens.
 
     Sections are lines, each with its newline; ``section_tokens`` has the tokens of each in order
-    and adds up to ``n_tokens``.  A null or empty text is one section without tokens.  Repeated
-    rows give repeated results; other columns are ignored.  No shuffle; a task holds one batch.
+    and adds up to ``n_tokens``.  A null or empty text is one section without tokens.  Texts may
+    be of any length.  Repeated rows give repeated results; other columns are ignored; no
+    documents give no rows.  The vocabulary must be byte-level.  No shuffle; a task holds one
+    batch.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        rows = []
-        for text, (starts, ends) in zip(texts, span_encoder(vocabulary).spans(texts)):
-            counts, crossing = allocate(starts, ends, sections(text), rule)
-            rows.append((len(starts), len(counts), crossing, counts))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 3, pa.list_(pa.int64())))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
+        encoder, texts = chunk_encoder(vocabulary), utf8(batch.column(1))
+        ids = [np.frombuffer(x, encoder.kind) for x in encoder.encode_batch([t.decode() for t in texts])]
+        base, crossing, counts = allocate(texts, ids, token_bytes(vocabulary), rule)
+        columns = [
+            batch.column(0),
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array(np.diff(base), pa.int64()),
+            pa.array(crossing, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(base, pa.int32()), pa.array(counts, pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<long>")
