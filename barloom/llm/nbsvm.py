@@ -1,9 +1,11 @@
 """Quality classifier: a linear support vector machine over Naive Bayes features.
 
-Indicators of word n-grams are scaled by their log-count ratios between the two classes, which
-come from all labelled rows; a linear hinge-loss model is then fitted on a bounded sample of them
-by dual coordinate descent, and its margin is turned into a probability by a logistic fit on
-labelled rows that the machine did not see.
+Indicators of word n-grams are scaled by their log-count ratios between the two classes; a linear
+hinge-loss model is then fitted by dual coordinate descent, and its margin is turned into a
+probability by a logistic fit.  The machine is fitted on a bounded sample of the labelled rows, a
+part of which serves the logistic fit alone; the ratios come from all other labelled rows.  Sample
+and part follow from a hash of the doc_id, so the same rows give the same model however they are
+partitioned and ordered.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ FEATURES = 1 << 18
 SMOOTHING = 1.0
 #: Labelled rows, at most, on which the machine and its calibration are fitted.
 SAMPLE = 12_000
-#: Of the sample, every CALIBRATION-th row serves the logistic fit alone.
+#: Of the sample, one row in CALIBRATION serves the logistic fit alone.
 CALIBRATION = 4
 COST, EPOCHS = 1.0, 15
+PLACES = 1 << 20
 THRESHOLD = 0.7
 SLICE = 1 << 14
 
@@ -53,17 +56,16 @@ def features(text: bytes) -> np.ndarray:
 
 
 def class_counts(labelled: DataFrame) -> np.ndarray:
-    """``labelled`` (text, quality) -> for each class the documents with each feature; the last
-    column counts all. Tasks send their sums in slices, which Spark adds up."""
+    """``labelled`` (text, quality) -> for each class the documents with each feature. Tasks send
+    their sums in slices, which Spark adds up."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, FEATURES + SLICE), np.float32)
+        held = np.zeros((2, FEATURES), np.float64)
         for batch in pieces(batches):
             for text, quality in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 held[quality, features(text)] += 1
-                held[quality, FEATURES] += 1
-        for i in range(0, FEATURES + SLICE, SLICE):
-            part = held[:, i : i + SLICE]
+        for i in range(0, FEATURES, SLICE):
+            part = held[:, i : i + SLICE].astype(np.float32)
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
@@ -76,14 +78,14 @@ def class_counts(labelled: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
 
     parts = labelled.select("text", "quality").mapInArrow(count, "slice int, counts binary").repartition(8, "slice")
-    out = np.zeros((2, FEATURES + SLICE))
+    out = np.zeros((2, FEATURES))
     for r in parts.mapInArrow(add, "slice int, counts binary").toLocalIterator():
         out[:, r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"]).reshape(2, SLICE)
-    return out[:, : FEATURES + 1]
+    return out
 
 
 def log_count_ratios(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    p = counts[:, :FEATURES] + smoothing
+    p = counts + smoothing
     p /= p.sum(axis=1, keepdims=True)
     return np.log(p[1] / p[0])
 
@@ -142,29 +144,34 @@ def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of ``labelled`` (doc_id, text, quality 0 or 1).
 
-    Ratios come from all rows, weights and calibration from at most ``sample``.  One class alone, or no row at all, gives the
-    model that says which class there is (without rows: 0.5).
+    Weights and calibration come from at most ``sample`` rows, ratios from all that are not used
+    for the calibration.  Where either part of the sample would lack a class, no rows are set aside
+    and the calibration has those of the fit.  One class alone, or no row at all, gives the model
+    that says which class there is (without rows: 0.5).
     """
-    counts = class_counts(labelled)
-    n0, n1 = counts[:, FEATURES]
+    sizes = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return Model(np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0, 5.0 * float(np.sign(n1 - n0)))
-    ratios = log_count_ratios(counts)
+    # some less than the bound, as the hash does not deal out exactly
+    share = min(1.0, 0.97 * sample / (n0 + n1)) if n0 + n1 > sample else 1.0
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    aside = (place < int(share * PLACES)) & (F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(CALIBRATION)) == 0)
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [batch.column(1), pa.array([features(t).tobytes() for t in utf8(batch.column(0))], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["quality", "features"])
+        columns = [*(batch.column(i) for i in range(4)), pa.array([features(t).tobytes() for t in utf8(batch.column(4))], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "aside", "quality", "features"])
 
-    # rows by a hash of the doc_id, no more than the bound
-    share = min(1.0, 0.97 * sample / (n0 + n1)) if n0 + n1 > sample else 1.0
-    few = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = map_batches(few.select("text", "quality"), found, "quality int, features binary").limit(sample).collect()
-    data = [np.frombuffer(r["features"], np.int32) for r in rows]
-    data = [(f, vector(f, ratios)) for f in data]
+    few = labelled.filter(place < int(share * PLACES)).select("doc_id", place.alias("place"), aside.alias("aside"), "quality", "text")
+    few = map_batches(few, found, "doc_id long, place long, aside boolean, quality int, features binary")
+    rows = few.orderBy("place", "doc_id", "quality", "features").limit(sample).collect()
     y = np.array([1.0 if r["quality"] else -1.0 for r in rows])
-    fold = np.arange(len(y)) % CALIBRATION == 0
+    fold = np.array([r["aside"] for r in rows])
     if not all(len(set(y[part])) == 2 for part in (fold, ~fold)):
         fold[:] = False
+    ratios = log_count_ratios(class_counts(labelled.filter(~aside) if fold.any() else labelled))
+    data = [np.frombuffer(r["features"], np.int32) for r in rows]
+    data = [(f, vector(f, ratios)) for f in data]
     w = dual_coordinate_descent([d for d, f in zip(data, fold) if not f], y[~fold])
     seen = np.flatnonzero(fold) if fold.any() else np.arange(len(y))
     slope, offset = logistic(np.array([w[data[i][0]] @ data[i][1] + w[-1] for i in seen]), y[seen])
@@ -191,8 +198,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labelled rows that are not held out and score all of ``docs``:
     doc_id, held_out, score, predicted.
 
-    Rows of ``labels`` (doc_id, quality) without a quality of 0 or 1 teach nothing; repeated ones
-    count again.  Other columns are ignored.
+    Rows of ``labels`` (doc_id, quality) without a quality of 0 or 1 or without a doc_id teach
+    nothing; repeated ones count again.  A null text is scored, and learned, as an empty one, whose
+    score is that of the constant alone.  Texts may be of any length.  Repeated documents have a
+    row each, with equal scores for equal texts; no documents give no rows.  Labels of held-out rows
+    are never read.  Other columns are ignored.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)")
     # a merge join at every size: labels may be as many as documents
