@@ -24,7 +24,7 @@ BANDS = (
     (384, 0.28, 0.81), (512, 0.25, 0.785), (640, 0.25, 0.775), (768, 0.25, 0.76), (1024, 0.25, 0.745), (1536, 0.25, 0.735),
     (2048, 0.20, 0.72), (65536, 0.15, 0.65),
 )
-#: Chunks of this many bytes (a shorter rest counts from half of it) have a band of their own.
+#: Chunks of this many bytes (a rest of under half of it belongs to the one before) have a band of their own.
 CHUNK, CHUNK_BAND = 4096, (0.15, 0.72)
 #: A document goes if more than this share of its chunks is outside the band.
 BAD_CHUNKS = 0.25
@@ -56,7 +56,7 @@ def ratios(text: bytes, compressor: zstandard.ZstdCompressor, chunk: int = CHUNK
         return None, []
     parts = [text[i : i + chunk] for i in range(0, len(text), chunk)]
     if len(parts) > 1 and 2 * len(parts[-1]) < chunk:
-        parts.pop()
+        parts[-2:] = [parts[-2] + parts[-1]]
     whole = len(compressor.compress(text)) / len(text)
     return whole, [len(compressor.compress(p)) / len(p) for p in parts] if len(parts) > 1 else []
 
@@ -112,7 +112,10 @@ def compression_rules(docs: DataFrame, level: int = LEVEL) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, level: int = LEVEL) -> DataFrame:
-    """The rows of ``docs`` that ``compression_rules`` keeps, all columns as they are; no shuffle."""
+    """The rows of ``docs`` that ``compression_rules`` keeps, all columns as they are; no shuffle.
+
+    A null or empty text fails the base rules, so its row goes; each of equal rows has the same verdict.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = verdicts([None] * batch.num_rows, utf8(batch.column("text")), level)

@@ -74,11 +74,8 @@ def dropped_keys(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFra
     """doc_id, dropped: digests of the line keys that each document loses."""
     suspects = suspected_lines(docs.filter("doc_id is not null"))
     # rows of one doc_id are one document, however often it is repeated
-    first, last = F.min("doc_id"), F.max("doc_id")
-    repeats = suspects.groupBy("key").agg(F.first("digest").alias("digest"), last.alias("keeper"), first.alias("least"), F.count("*").alias("n"))
-    repeats = repeats.filter((F.col("n") >= min_documents) & (F.col("least") < F.col("keeper")))
-    if min_documents > 2 and docs.select("doc_id").distinct().count() < docs.count():
-        repeats = repeats.drop("n", "least").join(suspects.select("key", "doc_id").distinct().groupBy("key").count().filter(F.col("count") >= min_documents).select("key"), "key")
+    own = suspects.groupBy("key", "doc_id").agg(F.first("digest").alias("digest"))
+    repeats = own.groupBy("key").agg(F.first("digest").alias("digest"), F.max("doc_id").alias("keeper"), F.count("*").alias("n")).filter(F.col("n") >= min_documents)
     losers = suspects.select("doc_id", "digest").join(repeats.select("digest", "keeper"), "digest").filter("doc_id < keeper")
     return losers.groupBy("doc_id").agg(F.collect_set("digest").alias("dropped"))
 
