@@ -22,7 +22,7 @@ BITS_PER_HASH, MOST_BITS = 16, 1 << 30
 HASHES = 2
 SLICE = 1 << 20
 #: Hashes that a task holds before it sends its partial filters on.
-HELD = 1_000_000
+HELD = 500_000
 
 SLICES = "slice int, once binary, twice binary"
 

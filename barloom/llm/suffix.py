@@ -40,7 +40,7 @@ BLOCK = 1 << 15
 #: Strings of one batch of a shard's index, at least (a class is never split).
 BATCH = 16_384
 #: Bytes of class texts in one shard, about.
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 500_000
 #: The strings of an anchor with more classes than this are dealt among shards one by one.
 CROWDED = 4096
 
