@@ -1,10 +1,13 @@
-"""Distribution functions that Spark lacks, as vectorized functions for summary-sized tables."""
+"""Distribution functions that Spark lacks: of Student's t as a vectorized function for tables of one
+row a series, of the normal distribution as column expressions."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -70,20 +73,18 @@ AS241 = (
 )
 
 
-def inverse_normal(p: np.ndarray) -> np.ndarray:
-    """Quantiles of the standard normal distribution (AS 241)."""
-    ratio = lambda k, r: np.polyval(AS241[k][0][::-1], r) / np.polyval(AS241[k][1][::-1], r)
-    q = p - 0.5
-    with np.errstate(all="ignore"):
-        centre = q * ratio(0, 0.180625 - q * q)
-        r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
-        tail = np.where(r <= 5, ratio(1, r - 1.6), ratio(2, r - 5)) * np.sign(q)
-    return np.where(abs(q) <= 0.425, centre, tail)
+def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    """The polynomial with these coefficients, the constant first."""
+    return reduce(lambda sum_, c: sum_ * x + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
 
 
-@pandas_udf(DoubleType())
-def inverse_normal_udf(p: pd.Series) -> pd.Series:
-    return pd.Series(inverse_normal(p.to_numpy(float)), index=p.index)
+def with_inverse_normal(df: DataFrame, p: str, name: str) -> DataFrame:
+    """Adds the quantile of the standard normal distribution at a column of probabilities (AS 241)."""
+    ratio = lambda k, x: polynomial(AS241[k][0], x) / polynomial(AS241[k][1], x)
+    q, c, r = F.col("_q"), F.col("_c"), F.col("_r")
+    parts = df.withColumns({"_q": F.col(p) - 0.5, "_r": F.sqrt(-F.log(F.least(F.col(p), 1 - F.col(p))))}).withColumn("_c", 0.180625 - q * q)
+    tail = F.signum(q) * F.when(r <= 5, ratio(1, r - 1.6)).otherwise(ratio(2, r - 5))
+    return parts.withColumn(name, F.when(F.abs(q) <= 0.425, q * ratio(0, c)).otherwise(tail)).drop("_q", "_c", "_r")
 
 
 def t_test(mean: Column, sd: Column, n: Column, popmean: float = 0.0) -> tuple[Column, Column]:

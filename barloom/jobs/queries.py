@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import index_market_symbol, pad_symbol, to_market_symbol
+from barloom.functions.distributions import AS241
 from barloom.jobs import research
 from barloom.jobs.fixtures import table, with_tables
 from barloom.operators import backtest, evaluation, facts, factors, ingest, labels, matrix, returns, stats, universe
+from barloom.sources.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,10 +125,9 @@ SHARED["ranked_source"] = "SELECT *, CASE source WHEN 'tencent' THEN 0 WHEN 'sin
 SHARED["one_source"] = "SELECT * EXCLUDE (k) FROM (SELECT *, min(k) OVER (PARTITION BY symbol) AS best FROM {ranked_source}) WHERE k = best"
 
 
-@register("select_source_by_priority", "SELECT symbol, source, count(*) AS n_rows, round(sum(close), 2) AS sum_close FROM {one_source} GROUP BY symbol, source")
+@register("select_source_by_priority", "SELECT symbol, date, ingest_order, source, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM {one_source}")
 def _(t):
-    chosen = ingest.select_source_by_priority(ingest.normalize_columns(t("raw_quotes"), keep=("source",)))
-    return chosen.groupBy("symbol", "source").agg(F.count("*").alias("n_rows"), F.round(F.sum("close"), 2).alias("sum_close"))
+    return ingest.select_source_by_priority(ingest.normalize_columns(t("raw_quotes"), keep=("ingest_order", "source")))
 
 
 @register("filter_date_range", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS date FROM {lineitem} WHERE l_shipdate BETWEEN DATE '1995-03-01' AND DATE '1996-02-28'")
@@ -145,16 +146,16 @@ def _(t):
 
 @register(
     "union_panels",
-    "SELECT symbol, date, round(close, 6) AS close, round(volume, 6) AS volume FROM {bars} WHERE symbol <= '000005' UNION ALL SELECT symbol, date, round(close, 6), NULL FROM {bars} WHERE symbol <= '000003'",
+    "SELECT symbol, date, round(close, 6) AS close, round(volume, 6) AS volume, NULL AS pb FROM {bars} UNION ALL SELECT symbol, date, NULL, NULL, round(pb, 6) FROM {valuation}",
 )
 def _(t):
-    bars = t("bars").select("symbol", "date", "close", "volume")
-    return ingest.union_panels(bars.filter("symbol <= '000005'"), bars.filter("symbol <= '000003'").drop("volume"))
+    return ingest.union_panels(t("bars").select("symbol", "date", "close", "volume"), t("valuation").select("pb", "date", "symbol"))
 
 
-@register("tag_index_name", "SELECT symbol, date, round(close, 6) AS close, CASE symbol WHEN '000001' THEN 'first' ELSE 'third' END AS index_name FROM {bars} WHERE symbol IN ('000001', '000003')")
+@register("tag_index_name", "SELECT b.symbol, date, round(close, 6) AS close, industry AS index_name FROM {bars} b JOIN {security_master} m ON b.symbol = m.symbol")
 def _(t):
-    return ingest.tag_index_name(t("bars").select("symbol", "date", "close"), {"000001": "first", "000003": "third"})
+    names = t("security_master").select("symbol", F.col("industry").alias("index_name"))
+    return ingest.tag_index_name(t("bars").select("symbol", "date", "close"), names)
 
 
 # --- universe
@@ -167,7 +168,7 @@ def _keys(df: DataFrame) -> DataFrame:
 _KEYS = "SELECT b.symbol, b.date, round(b.close, 6) AS close FROM {bars} b"
 _MASTER = _KEYS + " LEFT JOIN {security_master} m ON b.symbol = m.symbol"
 _STATUS = _KEYS + " LEFT JOIN {trade_status} s ON b.symbol = s.symbol AND b.date = s.date"
-INDUSTRIES = ("CHINA", "FRANCE", "INDIA", "JAPAN", "GERMANY", "BRAZIL")
+INDUSTRIES = ("NATION_1", "NATION_4", "NATION_7", "NATION_12", "NATION_18", "NATION_23")
 _LIST = ", ".join(f"'{i}'" for i in INDUSTRIES)
 
 
@@ -265,14 +266,14 @@ def _(t):
     return _keys(universe.filter_universe(t("bars"), ["1", "2", "3", "4", "5", "6"], 285))
 
 
-FILTERS = {"exclude_new_stock_days": 60, "industry_exclude": ["CHINA", "FRANCE"], "min_float_market_cap": -500, "max_float_market_cap": 9500}
+FILTERS = {"exclude_new_stock_days": 60, "industry_exclude": ["NATION_3", "NATION_9"], "min_float_market_cap": -500, "max_float_market_cap": 9500}
 _STEPS = (
     ("min_history_days", "QUALIFY count(date) OVER (PARTITION BY symbol) >= 80", "applied", "min_history_days=80"),
     ("exclude_suspended", "WHERE NOT coalesce(is_suspended, false)", "applied", ""),
     ("exclude_limit_up_down", "WHERE NOT coalesce(is_limit_up, false) AND NOT coalesce(is_limit_down, false)", "applied", ""),
     ("exclude_st", "WHERE NOT coalesce(is_st, false)", "applied", ""),
     ("exclude_new_stock_days", "WHERE date - list_date >= 60", "applied", ""),
-    ("industry_exclude", "WHERE coalesce(industry NOT IN ('CHINA', 'FRANCE'), true)", "applied", ""),
+    ("industry_exclude", "WHERE coalesce(industry NOT IN ('NATION_3', 'NATION_9'), true)", "applied", ""),
     ("min_float_market_cap", "WHERE float_market_cap >= -500", "applied", ""),
     ("max_float_market_cap", "WHERE float_market_cap <= 9500", "applied", ""),
     ("min_symbols_per_date", "QUALIFY count(symbol) OVER (PARTITION BY date) >= 3", "applied", "min_symbols_per_date=3"),
@@ -313,7 +314,12 @@ _BARE = _chain("v", "SELECT * FROM {bars}", _BARE_STEPS)
 
 
 def _universe(t):
-    return universe.apply_universe_filters(t("bars"), filters=FILTERS, security_master=t("security_master"), trade_status=t("trade_status"))
+    """With two rows for each key of the metadata, of which the later counts."""
+    master = t("security_master").withColumn("k", F.lit(2))
+    old = t("security_master").withColumns({"k": F.lit(1), "is_st": ~F.col("is_st"), "industry": F.lit("NATION_3"), "list_date": F.lit(None).cast("date")})
+    status = t("trade_status").withColumn("k", F.lit(2))
+    open_ = t("trade_status").withColumns({"k": F.lit(1), **{c: ~F.col(c) for c in ("is_suspended", "is_limit_up", "is_limit_down")}})
+    return universe.apply_universe_filters(t("bars"), filters=FILTERS, security_master=old.unionByName(master), trade_status=open_.unionByName(status), master_order="k", status_order="k")
 
 
 @register("apply_universe_filters", f"SELECT symbol, date, round(close, 6) AS close FROM {{u{len(_STEPS)}}}", _CHAIN)
@@ -421,9 +427,10 @@ def _(t):
     return matrix.return_matrix(t("bars"))
 
 
-@register("wide_return_matrix", "SELECT date, round(max(r) FILTER (symbol = '000001'), 6) AS \"000001\", round(max(r) FILTER (symbol = '000002'), 6) AS \"000002\" FROM {ret} GROUP BY date")
+@register("wide_return_matrix", 'SELECT * FROM (PIVOT (SELECT date, symbol, round(r, 6) + 0 AS r FROM {ret}) ON symbol USING max(r) GROUP BY date)')
 def _(t):
-    return matrix.wide_return_matrix(matrix.return_matrix(t("bars")), ["000001", "000002"])
+    symbols = sorted(r["symbol"] for r in t("bars").select("symbol").distinct().collect())  # the names of the result's columns
+    return matrix.wide_return_matrix(matrix.return_matrix(t("bars")), symbols)
 
 
 @register("cov_matrix", "SELECT symbol_i, symbol_j, round(covar_samp(x, y), 6) AS cov FROM {pairs} GROUP BY symbol_i, symbol_j", _PAIRS)
@@ -510,7 +517,7 @@ def dataset_tables(base: str, suffix: str = "") -> dict[str, str]:
         "ranks": f"""SELECT *, rank() OVER (PARTITION BY factor, date ORDER BY value) + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0 AS rx,
           rank() OVER (PARTITION BY factor, date ORDER BY forward_return) + (count(*) OVER (PARTITION BY factor, date, forward_return) - 1) / 2.0 AS ry FROM {n('long')}""",
         "ic": f"""SELECT date, factor, CASE WHEN ok THEN ic END AS ic, CASE WHEN ok THEN rank_ic END AS rank_ic, n_symbols FROM
-          (SELECT date, factor, corr(value, forward_return) AS ic, corr(rx, ry) AS rank_ic, count(*) AS n_symbols, count(*) >= 3 AND count(DISTINCT value) >= 2 AND count(DISTINCT forward_return) >= 2 AS ok FROM {n('ranks')} GROUP BY date, factor)""",
+          (SELECT date, factor, corr(value, forward_return) AS ic, (count(*) * sum(rx * ry) - sum(rx) * sum(ry)) / nullif(sqrt((count(*) * sum(rx * rx) - sum(rx) * sum(rx)) * (count(*) * sum(ry * ry) - sum(ry) * sum(ry))), 0) AS rank_ic, count(*) AS n_symbols, count(*) >= 3 AND count(DISTINCT value) >= 2 AND count(DISTINCT forward_return) >= 2 AS ok FROM {n('ranks')} GROUP BY date, factor)""",
         "sampled": f"SELECT * FROM {n('ic')} QUALIFY (row_number() OVER (PARTITION BY factor ORDER BY date) - 1) % 5 = 0",
         "buckets": f"""SELECT date, symbol, forward_return, factor, value, CASE WHEN n >= 2 THEN greatest(1, ((r - 1) * least(5, n) + n - 2) // (n - 1)) END AS quantile FROM
           (SELECT *, row_number() OVER (PARTITION BY factor, date ORDER BY value, symbol) AS r, count(*) OVER (PARTITION BY factor, date) AS n FROM {n('long')})""",
@@ -561,7 +568,7 @@ def _(t):
     return factors.merge_valuation_factor(_factors(t).select("date", "symbol", "momentum_20d"), t("valuation"))
 
 
-@register("available_factor_columns", "SELECT unnest(['momentum_20d', 'low_volatility_20d', 'turnover_20d']) AS factor, count(*) AS n_rows FROM {factors}")
+@register("available_factor_columns", " UNION ALL ".join(f"SELECT '{c}' AS factor, count(*) AS n_rows FROM {{with_no_value}} HAVING count({c}) > 0" for c in ("momentum_20d", "low_volatility_20d", "turnover_20d", "value_factor")), {"with_no_value": "SELECT *, CAST(NULL AS DOUBLE) AS value_factor FROM {factors}"})
 def _(t):
     frame = _factors(t).withColumn("value_factor", F.lit(None).cast("double"))
     chosen = factors.available_factor_columns(frame, factors.factor_columns_from_config(research.ResearchConfig().windows))
@@ -695,8 +702,8 @@ _COSTS = """SELECT factor, bps AS transaction_cost_bps, round(mean_net, 6) AS me
 
 @register("cost_sensitivity", _COSTS + "{costs}")
 def _(t):
-    data = _dataset(t)
-    return backtest.cost_sensitivity(backtest.long_short_returns(backtest.layer_returns(data, FACTORS)), backtest.long_short_turnover(data, FACTORS))
+    bucketed = stored(backtest.assign_quantiles(factors.unpivot_factors(_dataset(t), FACTORS, ["forward_return"])), "buckets")
+    return backtest.cost_sensitivity(backtest.long_short_returns(backtest.layer_means(bucketed)), backtest.leg_turnover(bucketed))
 
 
 @register(
@@ -769,11 +776,30 @@ def _(t):
     return facts.return_kde(returns.simple_return(t("bars")))
 
 
-@register("qq_points", None)
+def _horner(coefficients, x: str) -> str:
+    sql = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        sql = f"({sql} * {x} + {c!r})"
+    return sql
+
+
+def _ratio(k: int, x: str) -> str:
+    return f"{_horner(AS241[k][0], x)} / {_horner(AS241[k][1], x)}"
+
+
+_QQ = {
+    "placed": """SELECT symbol, rank, r AS ordered, CASE WHEN rank = n THEN pow(0.5, 1.0 / n) WHEN rank = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (rank - 0.3175) / (n + 0.365) END AS p FROM
+      (SELECT symbol, CAST(r AS DOUBLE) AS r, row_number() OVER (PARTITION BY symbol ORDER BY r) AS rank, count(*) OVER (PARTITION BY symbol) AS n FROM {ret} WHERE r IS NOT NULL)""",
+    "tails": "SELECT *, CAST(p AS DOUBLE) - 0.5 AS q, 0.180625 - (CAST(p AS DOUBLE) - 0.5) * (CAST(p AS DOUBLE) - 0.5) AS c, sqrt(-ln(least(p, 1 - p))) AS t FROM {placed}",
+    "quantiles": f"SELECT symbol, rank, ordered, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(0, 'c')} WHEN t <= 5 THEN sign(q) * {_ratio(1, '(t - 1.6)')} ELSE sign(q) * {_ratio(2, '(t - 5)')} END AS theoretical FROM {{tails}}",
+}
+
+
+@register("qq_points", "SELECT symbol, CAST(rank AS INT) AS rank, round(theoretical, 6) AS theoretical, round(ordered, 6) AS ordered FROM {quantiles}", _QQ)
 def _(t):
     return facts.qq_points(returns.simple_return(t("bars")))
 
 
-@register("qq_fit", None)
+@register("qq_fit", "SELECT symbol, round(regr_slope(ordered, theoretical), 6) AS slope, round(regr_intercept(ordered, theoretical), 6) AS intercept, round(corr(ordered, theoretical), 6) AS r FROM {quantiles} GROUP BY symbol", _QQ)
 def _(t):
     return facts.qq_fit(facts.qq_points(returns.simple_return(t("bars"))))

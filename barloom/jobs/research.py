@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest, evaluation, factors, ingest, labels, returns, stats, universe
+from barloom.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -77,19 +78,25 @@ def price_features(bars: DataFrame, config: ResearchConfig) -> DataFrame:
 def factor_research(
     bars: DataFrame, security_master: DataFrame | None = None, trade_status: DataFrame | None = None, valuation: DataFrame | None = None, config: ResearchConfig = ResearchConfig()
 ) -> FactorResearch:
-    """Universe -> factors and labels -> dataset -> coefficients, layers, turnover and costs."""
+    """Universe -> factors and labels -> dataset -> coefficients, layers, turnover and costs.
+
+    The frame, the dataset and its buckets are written to the shared folder once each, as several
+    results start from them.
+    """
     rows, audit = universe.apply_universe_filters(
         bars, config.symbols, config.min_history_days, config.min_symbols_per_date, DEFAULT_FILTERS if config.filters is None else config.filters, security_master, trade_status
     )
-    frame = factors.merge_valuation_factor(price_features(rows, config), valuation)
+    frame = stored(factors.merge_valuation_factor(price_features(rows, config), valuation), "frame")
     chosen = factors.available_factor_columns(frame, factors.factor_columns_from_config(config.windows))
     if not chosen:
         raise ValueError("no configured factor is available")
-    dataset = labels.finish_dataset(frame, chosen, config.winsorize_quantile, config.zscore, config.min_symbols_per_date, config.digits)
+    dataset = stored(labels.finish_dataset(frame, chosen, config.winsorize_quantile, config.zscore, config.min_symbols_per_date, config.digits), "dataset")
+    long = factors.unpivot_factors(dataset, chosen, ["forward_return"])  # complete in factors and returns
+    bucketed = stored(backtest.assign_quantiles(long, config.quantiles), "buckets")
     ic = evaluation.ic_timeseries(dataset, chosen)
-    layers = backtest.layer_returns(dataset, chosen, config.quantiles)
+    layers = backtest.layer_means(bucketed)
     long_short = backtest.long_short_returns(layers)
-    turnover = backtest.long_short_turnover(dataset, chosen, config.quantiles)
+    turnover = backtest.leg_turnover(bucketed)
     return FactorResearch(
         audit, dataset, chosen, ic, evaluation.ic_summary(ic, config.horizon, config.non_overlapping_ic), layers, long_short, turnover,
         backtest.cost_sensitivity(long_short, turnover, config.transaction_cost_bps),

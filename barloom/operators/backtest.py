@@ -26,8 +26,12 @@ def assign_quantiles(long: DataFrame, quantiles: int = 5) -> DataFrame:
 def layer_returns(data: DataFrame, factor_columns: Sequence[str], quantiles: int = 5) -> DataFrame:
     """date, factor, quantile, mean_forward_return over rows with factor and return."""
     long = unpivot_factors(data, factor_columns, ["forward_return"]).filter("value is not null and forward_return is not null")
-    bucketed = assign_quantiles(long, quantiles).filter("quantile is not null")
-    return bucketed.groupBy("date", "factor", "quantile").agg(F.avg("forward_return").alias("mean_forward_return"))
+    return layer_means(assign_quantiles(long, quantiles))
+
+
+def layer_means(bucketed: DataFrame) -> DataFrame:
+    """``layer_returns`` of rows that have their ``quantile``."""
+    return bucketed.filter("quantile is not null").groupBy("date", "factor", "quantile").agg(F.avg("forward_return").alias("mean_forward_return"))
 
 
 def long_short_returns(layers: DataFrame) -> DataFrame:
@@ -47,15 +51,19 @@ def long_only_returns(long_short: DataFrame) -> DataFrame:
 
 def long_short_turnover(data: DataFrame, factor_columns: Sequence[str], quantiles: int = 5) -> DataFrame:
     """date, factor, long_turnover, short_turnover, gross_turnover: half the sum of weight changes
-    of equally weighted legs, the date's highest and lowest bucket.
+    of equally weighted legs, the date's highest and lowest bucket."""
+    return leg_turnover(assign_quantiles(unpivot_factors(data, factor_columns).filter("value is not null"), quantiles))
+
+
+def leg_turnover(bucketed: DataFrame) -> DataFrame:
+    """``long_short_turnover`` of rows that have their ``quantile``.
 
     Dates with fewer than two names are skipped and keep the book.  Names that stay in a leg are
     counted by their previous index among the factor's dates, so no date is joined with the one
     before: with n names now, m of them also before, and k names before, the turnover is
     (m |1/n - 1/k| + (n - m)/n + (k - m)/k) / 2.
     """
-    long = unpivot_factors(data, factor_columns).filter("value is not null")
-    bucketed = assign_quantiles(long, quantiles).filter("quantile is not null")
+    bucketed = bucketed.filter("quantile is not null")
     cell = Window.partitionBy("factor", "date")
     ends = bucketed.withColumns({"_hi": F.max("quantile").over(cell), "_lo": F.min("quantile").over(cell)})
     in_leg = lambda leg, end: F.when(F.col("quantile") == F.col(end), F.lit(leg))

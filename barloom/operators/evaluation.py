@@ -19,6 +19,13 @@ def _average_rank(column: str) -> Column:
     return F.rank().over(cell.orderBy(column)) + (tied - 1) / 2
 
 
+def _rank_correlation(x: str, y: str) -> Column:
+    """Correlation of ranks from their sums, which are exact: without a relation it is 0, not almost 0."""
+    n = F.count(x).cast("double")
+    both = lambda a, b: n * F.sum(F.col(a) * F.col(b)) - F.sum(a) * F.sum(b)
+    return F.try_divide(both(x, y), F.sqrt(both(x, x) * both(y, y)))
+
+
 def ic_timeseries(data: DataFrame, factor_columns: Sequence[str]) -> DataFrame:
     """date, factor, ic, rank_ic, n_symbols: Pearson's and Spearman's correlation of each factor
     with the forward return, across the date's symbols.
@@ -33,7 +40,7 @@ def ic_timeseries(data: DataFrame, factor_columns: Sequence[str]) -> DataFrame:
     varies = lambda c: F.min(F.when(F.col("_pair"), F.col(c))) < F.max(F.when(F.col("_pair"), F.col(c)))
     enough = (F.count_if("_pair") >= 3) & varies("value") & varies("forward_return")
     return ranked.groupBy("date", "factor").agg(
-        F.when(enough, correlation("value", "forward_return")).alias("ic"), F.when(enough, correlation("_x", "_y")).alias("rank_ic"), F.count_distinct("symbol").alias("n_symbols")
+        F.when(enough, correlation("value", "forward_return")).alias("ic"), F.when(enough, _rank_correlation("_x", "_y")).alias("rank_ic"), F.count_distinct("symbol").alias("n_symbols")
     )
 
 
@@ -45,24 +52,28 @@ def ic_spearman(data: DataFrame, factor_columns: Sequence[str]) -> DataFrame:
     return ic_timeseries(data, factor_columns).select("date", "factor", "rank_ic", "n_symbols")
 
 
+def _numbered(ic_ts: DataFrame) -> DataFrame:
+    """With the number of each of a factor's dates, of which there is one row each."""
+    return ic_ts.withColumn("_k", F.row_number().over(Window.partitionBy("factor").orderBy("date")))
+
+
 def ic_non_overlapping_sample(ic_ts: DataFrame, horizon: int) -> DataFrame:
     """Every ``horizon``-th of each factor's dates, from the first; null coefficients count."""
     if horizon <= 1:
         return ic_ts
-    place = F.row_number().over(Window.partitionBy("factor").orderBy("date"))  # one row a date
-    return ic_ts.withColumn("_k", place).filter((F.col("_k") - 1) % horizon == 0).drop("_k")
+    return _numbered(ic_ts).filter((F.col("_k") - 1) % horizon == 0).drop("_k")
 
 
 def ic_summary(ic_ts: DataFrame, horizon: int = 1, non_overlapping: bool = True, periods_per_year: int = TRADING_DAYS) -> DataFrame:
     """One row a factor: mean, deviation, information ratio, share of positive values and t test
     of both coefficients over the sampled dates."""
     sampled = non_overlapping and horizon > 1
-    total = ic_ts.groupBy("factor").agg(F.count("*").alias("n_dates"))
-    sample = ic_non_overlapping_sample(ic_ts, horizon if non_overlapping else 1)
-    stats = {"effective_n_dates": F.count("*")}
+    numbered = _numbered(ic_ts).withColumn("_in", (F.col("_k") - 1) % (horizon if sampled else 1) == 0)
+    stats = {"n_dates": F.count("*"), "effective_n_dates": F.count_if("_in")}
     for name in ("ic", "rank_ic"):
-        stats |= {f"_n_{name}": F.count(name), f"mean_{name}": F.avg(name), f"std_{name}": F.stddev_samp(name), f"{name}_positive_ratio": F.avg((F.col(name) > 0).cast("double"))}
-    rows = sample.groupBy("factor").agg(*(c.alias(n) for n, c in stats.items())).join(total, "factor").withColumn("sample_mode", F.lit("non_overlapping" if sampled else "daily"))
+        x = F.when(F.col("_in"), F.col(name))
+        stats |= {f"_n_{name}": F.count(x), f"mean_{name}": F.avg(x), f"std_{name}": F.stddev_samp(x), f"{name}_positive_ratio": F.avg((x > 0).cast("double"))}
+    rows = numbered.groupBy("factor").agg(*(c.alias(n) for n, c in stats.items())).withColumn("sample_mode", F.lit("non_overlapping" if sampled else "daily"))
     for name, adjusted in (("ic", "overlap_adjusted"), ("rank_ic", "rank_ic_overlap_adjusted")):
         mean, sd, n = F.col(f"mean_{name}"), F.col(f"std_{name}"), F.col(f"_n_{name}")
         t, p = t_test(mean, sd, n)

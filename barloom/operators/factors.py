@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import as_date, as_double, by_symbol, filled_close, pad_symbol, require
 
-#: Valuation columns in the order in which they are chosen, and the source they are called.
+#: Valuation columns in the order in which they are chosen, and the source they are called.
 VALUE_SOURCES = (("pb", "book_to_price"), ("pe", "earnings_yield"), ("ps", "sales_yield"), ("dividend_yield", "dividend_yield"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import correlation
-from barloom.functions.distributions import inverse_normal_udf
+from barloom.functions.distributions import with_inverse_normal
 
 
 def factor_report_facts(data: DataFrame, ic_summary: DataFrame, costs: DataFrame, audit: DataFrame) -> DataFrame:
@@ -41,7 +41,9 @@ def return_kde(returns: DataFrame, points: int = 200) -> DataFrame:
     """symbol, point (from 0), x, density: a Gaussian kernel estimate with Scott's bandwidth on a
     grid that ends three bandwidths beyond the data. Series without variance have none.
 
-    Each return meets the grid's points, a fixed number, and adds to their sums map-side.
+    Each return meets the grid's points, a fixed number, and adds to their sums before the shuffle,
+    which moves one row for each point and symbol of a task. Binning first would be faster, but
+    would give other densities.
     """
     seen = returns.filter("return is not null").select("symbol", "return")
     shape = seen.groupBy("symbol").agg(F.min("return").alias("lo"), F.max("return").alias("hi"), F.count("*").alias("n"), F.stddev_samp("return").alias("sd")).filter("sd > 0")
@@ -60,7 +62,8 @@ def qq_points(returns: DataFrame) -> DataFrame:
     ranked = returns.filter("return is not null").select("symbol", "return", F.row_number().over(w.orderBy("return")).alias("rank"), F.count("*").over(w).alias("n"))
     end = F.pow(F.lit(0.5), 1 / F.col("n"))
     place = F.when(F.col("rank") == F.col("n"), end).when(F.col("rank") == 1, 1 - end).otherwise((F.col("rank") - 0.3175) / (F.col("n") + 0.365))
-    return ranked.select("symbol", "rank", inverse_normal_udf(place).alias("theoretical"), F.col("return").alias("ordered"))
+    placed = with_inverse_normal(ranked.withColumn("_place", place), "_place", "theoretical")
+    return placed.select("symbol", "rank", "theoretical", F.col("return").alias("ordered"))
 
 
 def qq_fit(points: DataFrame) -> DataFrame:

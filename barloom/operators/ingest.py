@@ -15,6 +15,7 @@ NUMBERS = (*PRICES, "volume", "amount", "turnover", "pct_change", "change", "amp
 
 #: vendors' names of the standard columns, in the order in which they count.
 VENDOR_NAMES = {
+    "symbol": ("股票代码", "symbol"),
     "date": ("日期", "date"),
     "open": ("开盘", "开盘价", "open"),
     "high": ("最高", "最高价", "high"),
@@ -41,9 +42,10 @@ def normalize_columns(raw: DataFrame, symbol: str | None = None, keep: tuple[str
     quoted = {target: [n for n in names if n in raw.columns] for target, names in VENDOR_NAMES.items()}
     if not quoted["date"]:
         raise ValueError(f"no date column; there are {raw.columns}")
-    if symbol is None:
-        require(raw, "symbol")
-    columns = [F.coalesce(*map(as_date, quoted.pop("date"))).alias("date"), pad_symbol(F.col("symbol") if symbol is None else F.lit(symbol)).alias("symbol")]
+    codes = [F.col(n).cast("string") for n in quoted.pop("symbol")] if symbol is None else [F.lit(symbol)]
+    if not codes:
+        raise ValueError(f"no symbol column; there are {raw.columns}")
+    columns = [F.coalesce(*map(as_date, quoted.pop("date"))).alias("date"), pad_symbol(F.coalesce(*codes)).alias("symbol")]
     columns += [F.coalesce(*map(as_double, names)).alias(target) for target, names in quoted.items() if names]
     return raw.select(*columns, *keep)
 
@@ -80,7 +82,9 @@ def union_panels(*panels: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), panels)
 
 
-def tag_index_name(bars: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Bars of the named index codes with ``index_name``; the names are a few parameters."""
-    table = bars.sparkSession.createDataFrame(list(names.items()), "symbol string, index_name string")
-    return bars.join(F.broadcast(table), "symbol")
+def tag_index_name(bars: DataFrame, names: DataFrame | dict[str, str]) -> DataFrame:
+    """Bars of the named index codes with ``index_name``; ``names`` is a table (symbol, index_name)
+    or, for a few, a dictionary."""
+    if isinstance(names, dict):
+        names = bars.sparkSession.createDataFrame(list(names.items()), "symbol string, index_name string")
+    return bars.join(names.select("symbol", "index_name"), "symbol")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import as_date, as_double, by_symbol, pad_symbol, require
 from barloom.operators.factors import unpivot_factors
 
+#: Names of the label timings.
 TIMINGS = ("next_open_to_horizon_open", "next_open_to_horizon_close", "close_to_close")
 
 

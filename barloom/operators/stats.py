@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import TRADING_DAYS
@@ -27,13 +27,20 @@ def t_test_mean_return(returns: DataFrame, popmean: float = 0.0) -> DataFrame:
     return tested.select("symbol", "mean_return", "t_stat", "p_value", F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("is_mean_significant"))
 
 
+def _jb_stat() -> Column:
+    n, s, k = F.count("return"), F.skewness("return"), F.kurtosis("return")
+    return F.when((n >= 2) & (F.var_pop("return") > 0), n / 6 * (s * s + k * k / 4)).alias("jb_stat")
+
+
+def _with_jb_test(rows: DataFrame) -> DataFrame:
+    tested = rows.withColumn("jb_p_value", F.exp(-F.col("jb_stat") / 2))
+    return tested.withColumn("is_normal", F.coalesce(F.col("jb_p_value") > 0.05, F.lit(False)))
+
+
 def jarque_bera(returns: DataFrame) -> DataFrame:
     """symbol, jb_stat, jb_p_value, is_normal (p > 0.05); null and false below two values or
     without variance."""
-    n, s, k = F.count("return"), F.skewness("return"), F.kurtosis("return")
-    stat = F.when((n >= 2) & (F.var_pop("return") > 0), n / 6 * (s * s + k * k / 4))
-    tested = returns.groupBy("symbol").agg(stat.alias("jb_stat")).withColumn("jb_p_value", F.exp(-F.col("jb_stat") / 2))
-    return tested.withColumn("is_normal", F.coalesce(F.col("jb_p_value") > 0.05, F.lit(False)))
+    return _with_jb_test(returns.groupBy("symbol").agg(_jb_stat()))
 
 
 def normality_test(returns: DataFrame) -> DataFrame:
@@ -42,16 +49,24 @@ def normality_test(returns: DataFrame) -> DataFrame:
 
 
 def distribution_test_summary(returns: DataFrame, sigma: float = 3.0) -> DataFrame:
-    """One row a symbol: dates, observations, volatility, outliers, t test and Jarque-Bera test."""
-    seen = returns.filter("return is not null")
-    base = seen.groupBy("symbol").agg(
+    """One row a symbol: dates, observations, volatility, outliers, t test and Jarque-Bera test.
+
+    All moments come from one aggregate; returns then meet their symbol's, to count the outliers.
+    """
+    seen = returns.filter("return is not null").select("symbol", "date", "return")
+    moments = seen.groupBy("symbol").agg(
         F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("n_return_days"),
-        (F.stddev_samp("return") * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("annual_volatility"),
+        F.avg("return").alias("mean_return"), F.stddev_samp("return").alias("_sd"), _jb_stat(),
+    )
+    off = F.abs(F.try_divide(F.col("return") - F.col("mean_return"), F.col("_sd"))) > sigma
+    outliers = seen.join(moments.select("symbol", "mean_return", "_sd"), "symbol").groupBy("symbol").agg(F.count_if(off).alias("three_sigma_outlier_count"))
+    t, p = t_test(F.col("mean_return"), F.col("_sd"), F.col("n_return_days"))
+    tested = _with_jb_test(moments.join(outliers, "symbol").withColumns({"t_stat": t, "p_value": p}))
+    return tested.select(
+        "symbol", "start_date", "end_date", "n_return_days", (F.col("_sd") * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("annual_volatility"), "mean_return", "t_stat", "p_value",
+        F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("is_mean_significant"), "jb_stat", "jb_p_value", "is_normal", "three_sigma_outlier_count",
+        F.try_divide("three_sigma_outlier_count", "n_return_days").alias("three_sigma_outlier_ratio"),
     )
-    outliers = three_sigma_outliers(seen, sigma).groupBy("symbol").agg(F.count("*").alias("_outliers"))
-    joined = base.join(outliers, "symbol", "left").join(t_test_mean_return(seen), "symbol").join(jarque_bera(seen), "symbol")
-    counted = joined.withColumn("three_sigma_outlier_count", F.coalesce("_outliers", F.lit(0)))
-    return counted.withColumn("three_sigma_outlier_ratio", F.try_divide("three_sigma_outlier_count", "n_return_days")).drop("_outliers")
 
 
 def distribution_conclusion(summary: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ INFERRED_LIMIT = "trade_status missing; inferred limit rows from pct_change or c
 NO_MASTER = "security_master missing; permissive mode kept rows"
 MASTER_FILTERS = ("exclude_st", "exclude_new_stock_days", "industry_include", "industry_exclude", "min_float_market_cap", "max_float_market_cap")
 
+#: The numeric columns of a price frame.
 _PRICE_NUMBERS = ("open", "high", "low", "close", "volume", "amount", "turnover", "pct_change")
 
 
@@ -184,6 +185,10 @@ def _plan(columns: Sequence[str], master: DataFrame | None, status: DataFrame |
     return steps
 
 
+def _unless_empty(table: DataFrame | None) -> DataFrame | None:
+    return None if table is None or table.isEmpty() else table
+
+
 def apply_universe_filters(
     prices: DataFrame,
     symbols: Sequence[str] | None = None,
@@ -192,25 +197,30 @@ def apply_universe_filters(
     filters: Mapping | None = None,
     security_master: DataFrame | None = None,
     trade_status: DataFrame | None = None,
+    master_order: str | None = None,
+    status_order: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """All filters in order; the rows that pass, and the audit with one row a filter.
 
     Every row gets one flag for each filter, whether it passed that and all before, so rows and
-    audit come from the same pass and the audit is one aggregate.  Bars are unique by symbol and
-    date.  An empty metadata table counts as a missing one only if it is passed as None.
+    audit come from the same pass; the audit first adds up each symbol's flags and then one row a
+    symbol.  Bars are unique by symbol and date.  An empty metadata table counts as a missing one.
+    Of several metadata rows with one key the last by ``master_order`` or ``status_order`` counts;
+    without an order any of them may.
     """
     filters = filters or {}
     if filters.get("missing_metadata_policy", "permissive") != "permissive":
         raise ValueError("only the permissive policy for missing metadata is supported")
+    security_master, trade_status = _unless_empty(security_master), _unless_empty(trade_status)
     bars = normalize_price_frame(prices)
     columns = bars.columns
     marked = bars
     if trade_status is not None:
-        flags = [c for c in ("is_suspended", "is_limit_up", "is_limit_down") if c in trade_status.columns]
-        marked = marked.join(normalize_trade_status(trade_status).select("date", "symbol", *(F.col(c).alias(f"_s_{c}") for c in flags)), ["date", "symbol"], "left")
+        known = [c for c in ("is_suspended", "is_limit_up", "is_limit_down") if c in trade_status.columns]
+        marked = marked.join(normalize_trade_status(trade_status, status_order).select("date", "symbol", *(F.col(c).alias(f"_s_{c}") for c in known)), ["date", "symbol"], "left")
     if security_master is not None:
         known = [c for c in ("list_date", "is_st", "industry", "float_market_cap") if c in security_master.columns]
-        marked = marked.join(normalize_security_master(security_master).select("symbol", *(F.col(c).alias(f"_m_{c}") for c in known)), "symbol", "left")
+        marked = marked.join(normalize_security_master(security_master, master_order).select("symbol", *(F.col(c).alias(f"_m_{c}") for c in known)), "symbol", "left")
     steps = _plan(columns, security_master, trade_status, symbols, min_history_days, min_symbols_per_date, filters)
 
     passed = F.lit(True)
@@ -233,11 +243,10 @@ def apply_universe_filters(
         marked = marked.withColumn(f"_f{i}", passed)
 
     rows = marked.filter(F.col(f"_f{len(steps) - 1}")).select(*columns)
-    totals = marked.agg(
-        F.count("*").alias("n"), F.count_distinct("symbol").alias("s"),
-        *(F.count_if(f"_f{i}").alias(f"n{i}") for i in range(len(steps))),
-        *(F.count_distinct(F.when(F.col(f"_f{i}"), F.col("symbol"))).alias(f"s{i}") for i in range(len(steps))),
-    )
+    flags = range(len(steps))
+    by_name = marked.groupBy("symbol").agg(F.count("*").alias("n"), *(F.count_if(f"_f{i}").alias(f"n{i}") for i in flags))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    totals = by_name.agg(total("n"), F.count("*").alias("s"), *(total(f"n{i}") for i in flags), *(F.count_if(F.col(f"n{i}") > 0).alias(f"s{i}") for i in flags))
     entries = []
     for i, (name, keep, message) in enumerate(steps):
         n, s = (F.col(f"n{i - 1}"), F.col(f"s{i - 1}")) if i else (F.col("n"), F.col("s"))

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import correlation, index_market_symbol, pad_symbol, to_market_symbol
-from barloom.functions.distributions import inverse_normal, student_t_p
+from barloom.functions.distributions import student_t_p, with_inverse_normal
 from barloom.jobs import queries, research
+from barloom.jobs.fixtures import table
 from barloom.operators import backtest, evaluation, facts, factors, ingest, labels, matrix, returns, stats, universe
 from barloom.sources import tables
 
@@ -100,10 +101,11 @@ def test_two_bars_on_one_date_are_an_error(spark):
         matrix.return_matrix(bars.union(bars))
 
 
-def test_p_values():
+def test_p_values(spark):
     assert student_t_p(np.array([0.0, 2.0, np.inf, 12.706]), np.array([5.0, 10.0, 3.0, 1.0])) == pytest.approx([1.0, 0.07339, 0.0, 0.05], abs=1e-4)
-    p = np.array([1e-9, 0.01, 0.3, 0.5, 0.97, 0.999999])
-    assert inverse_normal(p) == pytest.approx([NormalDist().inv_cdf(x) for x in p], rel=1e-12)
+    p = [1e-300, 1e-12, 1e-9, 0.01, 0.3, 0.5, 0.97, 0.999999]
+    got = with_inverse_normal(spark.createDataFrame([(x,) for x in p], "p double"), "p", "z").collect()
+    assert {r["p"]: r["z"] for r in got} == {x: pytest.approx(NormalDist().inv_cdf(x), rel=1e-12) for x in p}
 
 
 def test_tests_of_tiny_series(spark):
@@ -246,4 +248,44 @@ def test_no_available_factor_is_an_error(spark):
 
 
 def test_every_query_has_its_sql():
-    assert {n for n in queries.QUERIES if n not in queries.ORACLES} == {"qq_points", "qq_fit"}
+    assert not [n for n in queries.QUERIES if n not in queries.ORACLES]
+
+
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.startswith("filter_") and n != "filter_date_range"))
+def test_filters_remove_some_rows_and_keep_some(spark, name):
+    sf_dir = "/root/testdata/sf0.01"
+    kept, every = queries.QUERIES[name](spark, sf_dir).count(), table(spark, sf_dir, "bars").count()
+    assert 0 < kept < every
+
+
+def test_every_step_of_the_audit_bites(spark):
+    steps = queries.QUERIES["universe_filter_audit"](spark, "/root/testdata/sf0.01").collect()
+    assert all(r["output_rows"] for r in steps)
+    assert {r["filter_name"] for r in steps if r["removed_rows"]} >= {r["filter_name"] for r in steps} - {"min_history_days", "min_symbols_per_date"}
+
+
+def test_empty_metadata_is_absent(spark):
+    bars = panel(spark, [1.0, 1.2, 1.2, 1.21], volume=[1.0, 1.0, 0.0, 1.0])
+    master = spark.createDataFrame([], "symbol string, list_date date, float_market_cap double")
+    status = spark.createDataFrame([], "symbol string, date date, is_suspended boolean, is_limit_up boolean, is_limit_down boolean")
+    filters = {"exclude_new_stock_days": 60, "min_float_market_cap": 1.0}
+    got = universe.apply_universe_filters(bars, ["1"], 2, 1, filters, master, status)
+    want = universe.apply_universe_filters(bars, ["1"], 2, 1, filters)
+    assert got[0].collect() == want[0].collect() and len(got[0].collect()) == 2
+    assert got[1].collect() == want[1].collect()
+
+
+def test_last_metadata_row_counts(spark):
+    bars = panel(spark, [1.0, 1.0])
+    master = spark.createDataFrame([("1", True, 2), ("1", False, 1), ("1", False, 3)], "symbol string, is_st boolean, k int")
+    status = spark.createDataFrame([("1", DAY, False, 1), ("1", DAY, True, 2)], "symbol string, date date, is_suspended boolean, k int")
+    run = lambda m, s: universe.apply_universe_filters(bars, None, 1, 1, {}, m, s, "k", "k")[0].count()
+    assert run(master, None) == 2 and run(master.filter("k < 3"), None) == 0
+    assert run(None, status) == 1 and run(None, status.filter("k < 2")) == 2
+
+
+def test_vendor_symbol_column(spark):
+    raw = spark.createDataFrame([("42", "2024-01-01", "3")], "`股票代码` string, date string, close string")
+    assert ingest.normalize_columns(raw).first()["symbol"] == "000042"
+    with pytest.raises(ValueError):
+        ingest.normalize_columns(raw.drop("股票代码"))
