@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from barloom.sources.tables import shared_folder, stored  # noqa: F401
+
 #: Rows that are worked on together; Spark itself bounds an Arrow batch to 64 MB
 #: (spark.sql.execution.arrow.maxBytesPerBatch), so very long texts come in batches of few rows.
 BATCH_ROWS = 1000
@@ -23,10 +23,6 @@ CACHE_ENTRIES = 300_000
 MASK64 = (1 << 64) - 1
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of BATCH_ROWS rows at most, without a copy."""
     for batch in batches:
@@ -34,28 +30,6 @@ def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, BATCH_ROWS)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a local session may go without that setting; it then gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, and a lost
-    executor takes nothing with it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and that nothing reads any more."""
     for df in tables:

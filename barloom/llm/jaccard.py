@@ -11,6 +11,9 @@ two scales, each time with the lists split into short ones, which are merged, an
   short lists are merged with a heap, and the long ones are probed, by binary search, for those
   with T - L occurrences so far.
 
+Before the second step pairs are dropped whose parity sketches differ in too many bits, which rules
+out most documents of a group that are only almost similar enough.
+
 Equal shingle sets are one class with one representative.  Large groups of near copies first meet
 through hubs: each list compares its documents with one of them.  Only documents that are then in
 different components are compared with the rest of their lists, so most pairs of a group are never
@@ -23,6 +26,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import bloom
-from barloom.llm.common import discard, free_shuffles, map_batches, pieces, shingle_hashes, stored, utf8, word_hashes, words_of
+from barloom.llm.common import discard, free_shuffles, map_batches, mix64, pieces, shingle_hashes, stored, utf8, word_hashes, words_of
 from barloom.llm.components import grown
 
 SHINGLE, PERCENT = 5, 80
@@ -42,10 +46,13 @@ SHINGLE, PERCENT = 5, 80
 LIST_SAMPLE = 8
 #: Lists that come out as long, at most; the table of them is broadcast (8 bytes each).
 LONG_LISTS = 500_000
-#: Rounds with hubs go on while a WORTH of the pairs that they test link, and for HUB_ROUNDS at most.
-WORTH, HUB_ROUNDS = 0.1, 6
+#: Rounds with hubs go on while they find more than a WORTH of the links of the first round, and for
+#: HUB_ROUNDS at most.
+WORTH, HUB_ROUNDS = 0.05, 6
 #: Candidates that one search holds at a time, and their shingles, about.
 CANDIDATES, CHUNK = 100, 400_000
+#: Longs in the parity sketch of a set.
+SKETCH = 8
 #: Up to so many representatives are looked up by a broadcast of their ids (8 bytes each).
 FEW = 1_000_000
 #: DivideSkip's constant: L = T / (MU * log2(longest list) + 1).
@@ -129,8 +136,17 @@ def rarest(s: np.ndarray, keys: np.ndarray, ranks: np.ndarray, percent: int = PE
     return s[np.argsort(np.where(keys[at] == s, ranks[at], 0), kind="stable")[:n]]
 
 
+def parity_sketch(s: np.ndarray) -> list[int]:
+    """For each of 64 * SKETCH bits, whether an odd number of the shingles falls on it.
+
+    Shingles that two sets share cancel out, so their sketches differ in no more bits than the sets
+    in shingles."""
+    odd = np.bincount((mix64(s) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def signatures(docs: DataFrame, long: Broadcast, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set), part (the shingles of ``rarest``)."""
+    """doc_id, n_shingles, digest (of the whole set), part (the shingles of ``rarest``), sketch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, ranks = long.value
@@ -140,10 +156,11 @@ def signatures(docs: DataFrame, long: Broadcast, percent: int = PERCENT) -> Data
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
             pa.array([rarest(s, keys, ranks, percent).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+            pa.array(list(map(parity_sketch, sets)), pa.list_(pa.int64())),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "part"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "part", "sketch"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, part binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, part binary, sketch array<long>")
 
 
 def shared_only(marks: DataFrame) -> DataFrame:
@@ -160,9 +177,9 @@ def shared_only(marks: DataFrame) -> DataFrame:
             pa.array([x[k].tobytes() for x, k in zip(parts, kept)], pa.binary()),
             pa.array([k.astype("<i4").tobytes() for k in kept], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "n", "digest", "lost", "keys", "places"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, batch.column(4)], ["doc_id", "n", "digest", "lost", "keys", "places", "sketch"])
 
-    return map_batches(marks.select("doc_id", "n_shingles", "digest", "part"), prune, "doc_id long, n long, digest binary, lost long, keys binary, places binary")
+    return map_batches(marks.select("doc_id", "n_shingles", "digest", "part", "sketch"), prune, "doc_id long, n long, digest binary, lost long, keys binary, places binary, sketch array<long>")
 
 
 def _required(n: F.Column, m: F.Column, percent: int) -> F.Column:
@@ -198,11 +215,11 @@ def search(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     chunk is searched on its own, so a hub with very many candidates isn't one task's work.
     """
     chunks = pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / CANDIDATES, F.sum("m") / CHUNK)).alias("chunks"))
-    dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
+    dealt = stored(pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b"), "dealt")
     own = dealt.select("a", "chunk").distinct().select("a", "chunk", F.col("a").alias("rep"), F.lit(True).alias("is_query"))
     wanted = dealt.select("a", "chunk", F.col("b").alias("rep"), F.lit(False).alias("is_query")).union(own)
     ids = wanted.select("rep").distinct()
-    if pairs.count() <= FEW // 2:
+    if dealt.count() <= FEW // 2:
         texts = texts.join(F.broadcast(ids), "rep", "left_semi")
     rows = wanted.join(texts, "rep").select("a", "chunk", "rep", "is_query", "text")
 
@@ -235,15 +252,30 @@ def meet(few: DataFrame, lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     return both.filter((F.col("x.place") <= n - needed) & (F.col("y.place") <= m - needed))  # sizes too far apart fail here too
 
 
-def similar_classes(posts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``posts`` (key, rep, n, lost, place), ``texts`` (rep, text) -> node, component of linked classes.
+def _may_link(a: str, b: str, n: F.Column, m: F.Column, percent: int) -> F.Column:
+    """Sets of n and m shingles with these sketches can be similar."""
+    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH)))
+    return bits <= n + m - 2 * _required(n, m, percent)
+
+
+def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sketches (rep, n, sketch) differ in no more bits than the sets may in
+    shingles; with m, the shingles of b. No pair that links is lost."""
+    for end, size in (("a", "_n"), ("b", "m")):
+        pairs = pairs.join(sketches.select(F.col("rep").alias(end), F.col("n").alias(size), F.col("sketch").alias(f"_{end}")), end)
+    return pairs.filter(_may_link("_a", "_b", F.col("_n"), F.col("m"), percent)).drop("_n", "_a", "_b")
+
+
+def similar_classes(posts: DataFrame, texts: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``posts`` (key, rep, n, lost, place), ``texts`` (rep, text), ``sketches`` (rep, n, sketch) ->
+    node, component of linked classes.
 
     The first hub of a list is the document that has lost least of its part, as what it shares
     with others makes it likely to be in the midst of a group; later hubs are picked by a hash.
     """
     spark = posts.sparkSession
     found, tables = spark.createDataFrame([], "node long, component long"), []
-    tested, hubs = spark.createDataFrame([], "low long, high long"), True
+    tested, hubs, first = spark.createDataFrame([], "low long, high long"), True, 0
     for turn in range(HUB_ROUNDS + 1):
         lists = stored(apart(posts, found), "lists")
         posts = lists.drop("component")
@@ -255,13 +287,18 @@ def similar_classes(posts: DataFrame, texts: DataFrame, percent: int = PERCENT)
         else:  # all that is outside the list's largest component against the rest
             sizes = lists.groupBy("key", "component").agg(F.count("*").alias("size"))
             main = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-            few = lists.join(main, "key").filter("component <> main")
-            met = meet(few, lists, percent).filter((F.col("y.component") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep")))
+            sketched = lists.join(sketches.select("rep", "sketch"), "rep")
+            met = meet(sketched.join(main, "key").filter("component <> main"), sketched, percent)
+            met = met.filter((F.col("y.component") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep")))
+            met = met.filter(_may_link("x.sketch", "y.sketch", F.col("x.n"), F.col("y.n"), percent))
         low, high = F.least("x.rep", "y.rep").alias("low"), F.greatest("x.rep", "y.rep").alias("high")
-        pairs = met.groupBy(low, high).agg(F.min(F.struct(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("y.n").alias("m"))).alias("pair"))
-        pairs = stored(pairs.join(tested, ["low", "high"], "left_anti").select("low", "high", "pair.*"), "pairs")
+        pairs = met.groupBy(low, high).agg(F.min(F.struct(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).alias("pair"))
+        pairs = pairs.join(tested, ["low", "high"], "left_anti").select("low", "high", "pair.*")
+        pairs = stored(near_enough(pairs, sketches, percent), "pairs")
         links = stored(search(pairs, texts, percent), "links")
-        hubs = links.count() >= max(1, WORTH * pairs.count())
+        gained = links.count()
+        first = first if turn else gained
+        hubs = gained > WORTH * first
         tables.append(found)
         found = grown(found, links)
         tested = tested.union(pairs.select("low", "high"))
@@ -290,19 +327,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = np.argsort(keys)
     long = spark.sparkContext.broadcast((keys[order], len(keys) - order))  # the longest list has the highest rank
     marks = stored(signatures(docs, long, percent), "signatures")
-    own = stored(marks.drop("part"), "digests")
+    own = stored(marks.drop("part", "sketch"), "digests")
     usable = marks.filter("doc_id is not null and n_shingles > 0")
-    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "lost", "keys", "places")).alias("first"))
+    first = shared_only(usable).groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "lost", "keys", "places", "sketch")).alias("first"))
     classes = stored(first.select("digest", "first.*"), "classes")
     discard(marks)
     free_shuffles(spark)
     posts = stored(postings(classes, percent), "postings")
     reps = stored(classes.select("digest", "rep"), "representatives")
+    sketches = stored(classes.select("rep", "n", "sketch").join(posts.select("rep").distinct(), "rep", "left_semi"), "sketches")
     discard(classes)
     texts = stored(docs.withColumnRenamed("doc_id", "rep").join(posts.select("rep").distinct(), "rep", "left_semi"), "texts")
     free_shuffles(spark)
-    found = similar_classes(posts, texts, percent)
-    discard(posts, texts)
+    found = similar_classes(posts, texts, sketches, percent)
+    discard(posts, texts, sketches)
     free_shuffles(spark)
     reached = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("reached"))
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

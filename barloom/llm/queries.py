@@ -7,12 +7,23 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup, nbsvm, suffix, token_counts, tokenfile
-from barloom.llm.common import documents
 
 #: Folder of the public vocabulary files, the same on all executors.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: Bytes of one Arrow batch in sessions that run these queries.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so a session gets smaller Arrow batches than Spark's 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,3 +195,12 @@ def test_groups_just_below_the_threshold(spark):
     assert 0 < links < 0.5 * 60 * 59 / 2
     got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {i: root(i) for i in sets}
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        both, a, b = (rng.integers(0, 1 << 62, n, dtype=np.int64).astype(np.uint64) for n in rng.integers(1, 900, 3))
+        x, y = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+        bits = sum(int(i ^ j & (1 << 64) - 1).bit_count() for i, j in zip(*(np.array(jaccard.parity_sketch(s), np.int64).astype(np.uint64).tolist() for s in (x, y))))
+        assert bits <= len(np.setxor1d(x, y))
