@@ -266,7 +266,7 @@ def _(t):
     return _keys(universe.filter_universe(t("bars"), ["1", "2", "3", "4", "5", "6"], 285))
 
 
-FILTERS = {"exclude_new_stock_days": 60, "industry_exclude": ["NATION_3", "NATION_9"], "min_float_market_cap": -500, "max_float_market_cap": 9500}
+FILTERS = {"exclude_new_stock_days": 60, "industry_exclude": ["NATION_3", "NATION_9"], "min_float_market_cap": 500, "max_float_market_cap": 9500}
 _STEPS = (
     ("min_history_days", "QUALIFY count(date) OVER (PARTITION BY symbol) >= 80", "applied", "min_history_days=80"),
     ("exclude_suspended", "WHERE NOT coalesce(is_suspended, false)", "applied", ""),
@@ -274,7 +274,7 @@ _STEPS = (
     ("exclude_st", "WHERE NOT coalesce(is_st, false)", "applied", ""),
     ("exclude_new_stock_days", "WHERE date - list_date >= 60", "applied", ""),
     ("industry_exclude", "WHERE coalesce(industry NOT IN ('NATION_3', 'NATION_9'), true)", "applied", ""),
-    ("min_float_market_cap", "WHERE float_market_cap >= -500", "applied", ""),
+    ("min_float_market_cap", "WHERE float_market_cap >= 500", "applied", ""),
     ("max_float_market_cap", "WHERE float_market_cap <= 9500", "applied", ""),
     ("min_symbols_per_date", "QUALIFY count(symbol) OVER (PARTITION BY date) >= 3", "applied", "min_symbols_per_date=3"),
 )
