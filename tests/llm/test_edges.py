@@ -73,3 +73,20 @@ def test_very_long_text(spark, name, megabytes):
         assert got[1]["n_tokens"] == sum(got[1]["section_tokens"]) and got[1]["n_sections"] == rows[0][1].count("\n")
     if name == "op7":
         assert got[1]["n_removed"] > 0.9 * len(rows[0][1])
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_recall_of_items_by_size(spark, exact):
+    """Items of 1 to 60 shingles, each in the midst of a long document, whole and with a lost end."""
+    sizes = [1, 2, 3, 8, 9, 12, 20, 60]
+    words = lambda i, n: [f"i{i}w{j}" for j in range(n + 4)]
+    filler = lambda d: [f"d{d}f{j}" for j in range(900)]
+    items = [(i, " ".join(words(i, sizes[i % 8]))) for i in range(240)]
+    docs, want = [], set()
+    for i, text in items:
+        n = sizes[i % 8]
+        lost = n // 5 if i % 16 >= 8 else 0
+        docs.append((i, " ".join(filler(i) + text.split()[lost:] + filler(-i - 1))))
+        want.add((i, i, n, n - lost))
+    got = decontam.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), exact=exact)
+    assert {tuple(r) for r in got.collect()} == want
