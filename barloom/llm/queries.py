@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup, nbsvm, suffix, token_counts, tokenfile
+from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup, nbsvm, phrases, suffix, token_counts, tokenfile
 
 #: Folder of the public vocabulary files, the same on all executors.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -66,6 +66,10 @@ def op3_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op5_compression_bands": op5_compression_bands,
@@ -77,6 +81,7 @@ QUERIES = {
     "op7_suffix_levels": op7_suffix_levels,
     "op2_section_token_counts": op2_section_token_counts,
     "op3_minhash_containment": op3_minhash_containment,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -84,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op8_divide_skip_jaccard": jaccard.ORACLE,
     "op7_suffix_levels": suffix.ORACLE,
     "op3_minhash_containment": decontam.ORACLE,
+    "op13_phrase_collocations": phrases.ORACLE,
 }
