@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup, nbsvm, phrases, suffix, token_counts, tokenfile
+from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup, nbsvm, packing, phrases, repair, suffix, token_counts, tokenfile
 
 #: Folder of the public vocabulary files, the same on all executors.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -66,6 +66,15 @@ def op3_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_role_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return repair.repair_report(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_dot_product_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, end_id=1, with_ids=False)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(documents(spark, sf_dir))
 
@@ -81,6 +90,8 @@ QUERIES = {
     "op7_suffix_levels": op7_suffix_levels,
     "op2_section_token_counts": op2_section_token_counts,
     "op3_minhash_containment": op3_minhash_containment,
+    "op11_role_grammar_repair": op11_role_grammar_repair,
+    "op12_dot_product_packing": op12_dot_product_packing,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
@@ -89,5 +100,6 @@ ORACLES: dict[str, str] = {
     "op8_divide_skip_jaccard": jaccard.ORACLE,
     "op7_suffix_levels": suffix.ORACLE,
     "op3_minhash_containment": decontam.ORACLE,
+    "op11_role_grammar_repair": repair.ORACLE,
     "op13_phrase_collocations": phrases.ORACLE,
 }
