@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,6 +20,13 @@ def require(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def last_row(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
+    """The last row of each key by ``order_col``, a null order being the first; of equal orders any."""
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(order_col)).alias("_row")
+    return df.groupBy(*keys).agg(last).select(*keys, "_row.*").select(*df.columns)
+
+
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("date")
 

@@ -15,6 +15,7 @@ from barloom.functions.distributions import AS241
 from barloom.jobs import research
 from barloom.jobs.fixtures import table, with_tables
 from barloom.operators import backtest, evaluation, facts, factors, ingest, labels, matrix, returns, stats, universe
+from barloom.operators.chunks import Chunks
 from barloom.sources.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,8 @@ PLACES = 6
 #: Factors are rounded to so many places before they are ranked: means of equal numbers summed in
 #: another order are then ties in both engines.
 TIE_PLACES = 9
+#: For the queries that cut long histories: chunks and blocks of which every symbol has several.
+CHUNKS = Chunks(days=300, rows=96)
 
 #: Tables that several oracles share.
 SHARED = {
@@ -313,13 +316,18 @@ _CHAIN = _chain(
 _BARE = _chain("v", "SELECT * FROM {bars}", _BARE_STEPS)
 
 
-def _universe(t):
-    """With two rows for each key of the metadata, of which the later counts."""
+def _metadata(t) -> tuple[DataFrame, DataFrame]:
+    """Security master and trade status with two rows for each key, of which the later counts."""
     master = t("security_master").withColumn("k", F.lit(2))
     old = t("security_master").withColumns({"k": F.lit(1), "is_st": ~F.col("is_st"), "industry": F.lit("NATION_3"), "list_date": F.lit(None).cast("date")})
     status = t("trade_status").withColumn("k", F.lit(2))
     open_ = t("trade_status").withColumns({"k": F.lit(1), **{c: ~F.col(c) for c in ("is_suspended", "is_limit_up", "is_limit_down")}})
-    return universe.apply_universe_filters(t("bars"), filters=FILTERS, security_master=old.unionByName(master), trade_status=open_.unionByName(status), master_order="k", status_order="k")
+    return old.unionByName(master), open_.unionByName(status)
+
+
+def _universe(t):
+    master, status = _metadata(t)
+    return universe.apply_universe_filters(t("bars"), filters=FILTERS, security_master=master, trade_status=status, master_order="k", status_order="k")
 
 
 @register("apply_universe_filters", f"SELECT symbol, date, round(close, 6) AS close FROM {{u{len(_STEPS)}}}", _CHAIN)
@@ -390,18 +398,27 @@ def _(t):
     return returns.max_drawdown(t("bars"))
 
 
-@register(
-    "risk_summary",
-    """SELECT r.symbol, r.start_date, r.end_date, r.n_days, r.annual_return, r.annual_volatility, r.sharpe, d.max_drawdown FROM
+@register("max_drawdown_chunked", "SELECT symbol, round(min(d), 6) AS max_drawdown FROM {drawn} GROUP BY symbol", _DRAW)
+def _(t):
+    return returns.max_drawdown(t("bars"), chunk_days=CHUNKS.days)
+
+
+_RISK = """SELECT r.symbol, r.start_date, r.end_date, r.n_days, r.annual_return, r.annual_volatility, r.sharpe, d.max_drawdown FROM
        (SELECT symbol, min(date) AS start_date, max(date) AS end_date, count(*) AS n_days, round(pow(product(1 + r), 252.0 / count(r)) - 1, 6) AS annual_return,
                round(stddev_samp(r) * sqrt(252), 6) AS annual_volatility, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe FROM {ret} GROUP BY symbol) r
-       JOIN (SELECT symbol, round(min(d), 6) AS max_drawdown FROM {drawn} GROUP BY symbol) d ON r.symbol = d.symbol""",
-    _DRAW,
-)
+       JOIN (SELECT symbol, round(min(d), 6) AS max_drawdown FROM {drawn} GROUP BY symbol) d ON r.symbol = d.symbol"""
+
+
+@register("risk_summary", _RISK, _DRAW)
 def _(t):
     return returns.risk_summary(t("bars"))
 
 
+@register("risk_summary_chunked", _RISK, _DRAW)
+def _(t):
+    return returns.risk_summary(t("bars"), chunk_days=CHUNKS.days)
+
+
 SHARED["clean_one"] = """SELECT symbol, date, close FROM
   (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY ingest_order DESC) AS k FROM {one_source}) WHERE k = 1 AND open > 0 AND high > 0 AND low > 0 AND close > 0"""
 
@@ -427,10 +444,16 @@ def _(t):
     return matrix.return_matrix(t("bars"))
 
 
-@register("wide_return_matrix", 'SELECT * FROM (PIVOT (SELECT date, symbol, round(r, 6) + 0 AS r FROM {ret}) ON symbol USING max(r) GROUP BY date)')
+@register(
+    "wide_return_matrix",
+    """SELECT d.date, s.symbol, round(x.r, 6) AS "return" FROM (SELECT DISTINCT date FROM {ret}) d CROSS JOIN (SELECT DISTINCT symbol FROM {ret}) s
+       LEFT JOIN {ret} x ON x.date = d.date AND x.symbol = s.symbol""",
+)
 def _(t):
-    symbols = sorted(r["symbol"] for r in t("bars").select("symbol").distinct().collect())  # the names of the result's columns
-    return matrix.wide_return_matrix(matrix.return_matrix(t("bars")), symbols)
+    """Every cell of the matrix, the empty ones included, as the names of a wide table's columns depend on the data."""
+    names = t("bars").select("symbol").distinct().orderBy("symbol").limit(matrix.MOST_COLUMNS + 1)  # one more than allowed is an error
+    symbols = [r["symbol"] for r in names.collect()]
+    return matrix.long_return_matrix(matrix.wide_return_matrix(matrix.return_matrix(t("bars")), symbols))
 
 
 @register("cov_matrix", "SELECT symbol_i, symbol_j, round(covar_samp(x, y), 6) AS cov FROM {pairs} GROUP BY symbol_i, symbol_j", _PAIRS)
@@ -456,7 +479,7 @@ def _(t):
     return stats.three_sigma_outliers(returns.simple_return(t("bars")))
 
 
-@register("t_test_mean_return", "SELECT m.symbol, round(mean, 6) AS mean_return, round(t, 6) AS t_stat, round(p, 6) AS p_value, coalesce(p < 0.05, false) AS is_mean_significant FROM {moments} m JOIN {p_mean} p ON m.symbol = p.id")
+@register("t_test_mean_return", "SELECT m.symbol, round(mean, 6) AS mean_daily_return, round(t, 6) AS t_stat, round(p, 6) AS t_p_value, coalesce(p < 0.05, false) AS is_mean_significant FROM {moments} m JOIN {p_mean} p ON m.symbol = p.id")
 def _(t):
     return stats.t_test_mean_return(returns.simple_return(t("bars")))
 
@@ -474,7 +497,7 @@ def _(t):
 @register(
     "distribution_test_summary",
     """SELECT symbol, start_date, end_date, n_return_days, round(vol, 6) AS annual_volatility, outliers AS three_sigma_outlier_count, round(outliers / n_return_days, 6) AS three_sigma_outlier_ratio,
-       round(mean, 6) AS mean_return, round(t, 6) AS t_stat, round(p, 6) AS p_value, coalesce(p < 0.05, false) AS is_mean_significant,
+       round(mean, 6) AS mean_daily_return, round(t, 6) AS t_stat, round(p, 6) AS t_p_value, coalesce(p < 0.05, false) AS is_mean_significant,
        round(stat, 6) AS jb_stat, round(exp(-stat / 2), 6) AS jb_p_value, coalesce(exp(-stat / 2) > 0.05, false) AS is_normal FROM {summary}""",
 )
 def _(t):
@@ -532,8 +555,8 @@ def dataset_tables(base: str, suffix: str = "") -> dict[str, str]:
         "turned": f"SELECT factor, leg, i, sum(abs(c)) / 2 AS t FROM (SELECT factor, leg, i, symbol, sum(w) AS c FROM {n('moves')} GROUP BY factor, leg, i, symbol) GROUP BY factor, leg, i",
         "turnover": f"""SELECT d.date, d.factor, max(t) FILTER (leg = 'long') AS long_turnover, max(t) FILTER (leg = 'short') AS short_turnover
           FROM {n('turned')} t JOIN (SELECT DISTINCT factor, date, i FROM {n('books')}) d ON t.factor = d.factor AND t.i = d.i GROUP BY d.date, d.factor""",
-        "costs": f"""SELECT factor, CAST(bps AS INT) AS bps, avg(net) AS mean_net, product(1 + net) - 1 AS cumulative, stddev_samp(net) AS sd, avg(lt) AS lt, avg(st) AS st, avg(lt + st) AS gt FROM
-          (SELECT s.factor, bps, coalesce(long_turnover, 0) AS lt, coalesce(short_turnover, 0) AS st, long_return - short_return - (coalesce(long_turnover, 0) + coalesce(short_turnover, 0)) * bps / 10000.0 AS net
+        "costs": f"""SELECT factor, CAST(bps AS INT) AS bps, avg(net_long) AS mean_net_long, product(1 + net_long) - 1 AS cumulative_long, avg(net) AS mean_net, product(1 + net) - 1 AS cumulative, stddev_samp(net) AS sd, avg(lt) AS lt, avg(st) AS st, avg(lt + st) AS gt FROM
+          (SELECT s.factor, bps, coalesce(long_turnover, 0) AS lt, coalesce(short_turnover, 0) AS st, long_return - coalesce(long_turnover, 0) * bps / 10000.0 AS net_long, long_return - short_return - (coalesce(long_turnover, 0) + coalesce(short_turnover, 0)) * bps / 10000.0 AS net
            FROM {n('spread')} s LEFT JOIN {n('turnover')} t ON s.date = t.date AND s.factor = t.factor CROSS JOIN (VALUES (0), (5), (10), (20)) b(bps)) GROUP BY factor, bps""",
     }
     return {name + suffix: sql for name, sql in tables.items()}
@@ -551,11 +574,19 @@ for _name, _column in (("factor_momentum", "momentum_20d"), ("factor_low_volatil
     register(_name, f"SELECT date, symbol, round({_column}, 6) AS {_column} FROM {{factors}}")(lambda t, c=_column: _factors(t).select("date", "symbol", c))
 
 
-@register("build_price_factors", "SELECT date, symbol, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("momentum_20d", "low_volatility_20d", "turnover_20d", "value_proxy_120d", "daily_return")) + " FROM {factors}")
+_PRICE_FACTORS = "SELECT date, symbol, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("momentum_20d", "low_volatility_20d", "turnover_20d", "value_proxy_120d", "daily_return")) + " FROM {factors}"
+
+
+@register("build_price_factors", _PRICE_FACTORS)
 def _(t):
     return _factors(t)
 
 
+@register("build_price_factors_chunked", _PRICE_FACTORS)
+def _(t):
+    return factors.build_price_factors(t("bars"), chunks=CHUNKS)
+
+
 @register("value_factor_source", "SELECT symbol, date, round(CASE WHEN pb > 0 THEN 1 / pb END, 6) AS by_pb, round(CASE WHEN pe > 0 THEN 1 / pe END, 6) AS by_pe, 'book_to_price' AS source_pb, 'earnings_yield' AS source_pe FROM {valuation}")
 def _(t):
     v = t("valuation")
@@ -563,11 +594,22 @@ def _(t):
     return v.select("symbol", "date", pb.alias("by_pb"), pe.alias("by_pe"), F.lit(source_pb).alias("source_pb"), F.lit(source_pe).alias("source_pe"))
 
 
-@register("merge_valuation_factor", "SELECT date, symbol, round(momentum_20d, 6) AS momentum_20d, round(value_factor, 6) AS value_factor, 'book_to_price' AS value_factor_source FROM {valued}")
+_VALUED = "SELECT date, symbol, round(momentum_20d, 6) AS momentum_20d, round(value_factor, 6) AS value_factor, 'book_to_price' AS value_factor_source FROM {valued}"
+
+
+@register("merge_valuation_factor", _VALUED)
 def _(t):
     return factors.merge_valuation_factor(_factors(t).select("date", "symbol", "momentum_20d"), t("valuation"))
 
 
+@register("merge_valuation_factor_chunked", _VALUED)
+def _(t):
+    """With two rows for each valuation, of which the later counts."""
+    v = t("valuation")
+    both = v.withColumn("k", F.lit("new")).unionByName(v.withColumns({"k": F.lit("additional"), "pb": F.lit(99.0)}))
+    return factors.merge_valuation_factor(_factors(t).select("date", "symbol", "momentum_20d"), both, "k", chunk_days=CHUNKS.days)
+
+
 @register("available_factor_columns", " UNION ALL ".join(f"SELECT '{c}' AS factor, count(*) AS n_rows FROM {{with_no_value}} HAVING count({c}) > 0" for c in ("momentum_20d", "low_volatility_20d", "turnover_20d", "value_factor")), {"with_no_value": "SELECT *, CAST(NULL AS DOUBLE) AS value_factor FROM {factors}"})
 def _(t):
     frame = _factors(t).withColumn("value_factor", F.lit(None).cast("double"))
@@ -581,20 +623,37 @@ def _label_sql(entry: str, exit_: str, timing: str) -> str:
 
 for _timing, _entry, _exit in zip(labels.TIMINGS, ("lead(open, 1) OVER w", "lead(open, 1) OVER w", "close"), ("lead(open, 6) OVER w", "lead(close, 5) OVER w", "lead(close, 5) OVER w")):
     register(f"forward_return_{_timing}", _label_sql(_entry, _exit, _timing))(lambda t, x=_timing: labels.add_forward_return(t("bars"), 5, x))
+    register(f"forward_return_{_timing}_chunked", _label_sql(_entry, _exit, _timing))(lambda t, x=_timing: labels.add_forward_return(t("bars"), 5, x, CHUNKS))
 
 
-@register(
-    "winsorize_by_date",
-    "SELECT date, symbol, round(least(greatest(r, quantile_cont(r, 0.05) OVER d), quantile_cont(r, 0.95) OVER d), 6) AS r FROM {ret} WHERE r IS NOT NULL WINDOW d AS (PARTITION BY date)",
+_WINSORIZED = (
+    "SELECT date, symbol, round(least(greatest(r, quantile_cont(r, 0.05) OVER d), quantile_cont(r, 0.95) OVER d), 6) AS r FROM {ret} WHERE r IS NOT NULL WINDOW d AS (PARTITION BY date)"
 )
+_ZSCORED = "SELECT date, symbol, round((r - avg(r) OVER d) / nullif(stddev_samp(r) OVER d, 0), 6) AS r FROM {ret} WINDOW d AS (PARTITION BY date)"
+
+
+def _r(t) -> DataFrame:
+    return returns.simple_return(t("bars"), "r").select("date", "symbol", "r")
+
+
+@register("winsorize_by_date", _WINSORIZED)
+def _(t):
+    return labels.winsorize_by_date(_r(t).filter("r is not null"), ["r"], 0.05)
+
+
+@register("winsorize_by_date_wide", _WINSORIZED)
 def _(t):
-    rows = returns.simple_return(t("bars"), "r").filter("r is not null").select("date", "symbol", "r")
-    return labels.winsorize_by_date(rows, ["r"], 0.05)
+    return labels.winsorize_by_date(stored(_r(t).filter("r is not null"), "r"), ["r"], 0.05, wide=True)
 
 
-@register("zscore_by_date", "SELECT date, symbol, round((r - avg(r) OVER d) / nullif(stddev_samp(r) OVER d, 0), 6) AS r FROM {ret} WINDOW d AS (PARTITION BY date)")
+@register("zscore_by_date", _ZSCORED)
 def _(t):
-    return labels.zscore_by_date(returns.simple_return(t("bars"), "r").select("date", "symbol", "r"), ["r"])
+    return labels.zscore_by_date(_r(t), ["r"])
+
+
+@register("zscore_by_date_wide", _ZSCORED)
+def _(t):
+    return labels.zscore_by_date(stored(_r(t), "r"), ["r"], wide=True)
 
 
 def _dataset(t, digits=TIE_PLACES):
@@ -625,6 +684,11 @@ def _(t):
     return evaluation.ic_spearman(_dataset(t), FACTORS)
 
 
+@register("ic_spearman_wide", "SELECT date, factor, round(rank_ic, 6) AS rank_ic, n_symbols FROM {ic}")
+def _(t):
+    return evaluation.ic_spearman(_dataset(t), FACTORS, wide=True)
+
+
 @register("ic_non_overlapping_sample", "SELECT date, factor, round(ic, 6) AS ic, round(rank_ic, 6) AS rank_ic, n_symbols FROM {sampled}")
 def _(t):
     return evaluation.ic_non_overlapping_sample(evaluation.ic_timeseries(_dataset(t), FACTORS), 5)
@@ -667,6 +731,11 @@ def _(t):
     return backtest.assign_quantiles(factors.unpivot_factors(_dataset(t), FACTORS)).select("date", "symbol", "factor", "quantile")
 
 
+@register("assign_quantiles_wide", "SELECT date, symbol, factor, CAST(quantile AS INT) AS quantile FROM {buckets}")
+def _(t):
+    return backtest.assign_quantiles(factors.unpivot_factors(_dataset(t), FACTORS), wide=True).select("date", "symbol", "factor", "quantile")
+
+
 def _layers(t):
     return backtest.layer_returns(_dataset(t), FACTORS)
 
@@ -691,13 +760,13 @@ def _(t):
     return backtest.long_short_turnover(_dataset(t), FACTORS)
 
 
-@register("top_quantile_turnover", "SELECT date, factor, round(long_turnover, 6) AS turnover FROM {turnover}")
+@register("top_quantile_turnover", "SELECT date, factor, round(long_turnover, 6) AS top_quantile_turnover FROM {turnover}")
 def _(t):
     return backtest.top_quantile_turnover(_dataset(t), FACTORS)
 
 
-_COSTS = """SELECT factor, bps AS transaction_cost_bps, round(mean_net, 6) AS mean_net_return, round(cumulative, 6) AS cumulative_net_return, round(sd, 6) AS std_net_return,
-  round(lt, 6) AS mean_long_turnover, round(st, 6) AS mean_short_turnover, round(gt, 6) AS mean_gross_turnover FROM """
+_COSTS = """SELECT factor, bps AS transaction_cost_bps, round(mean_net_long, 6) AS mean_net_long_return, round(mean_net, 6) AS mean_net_return, round(cumulative_long, 6) AS cumulative_net_long_return,
+  round(cumulative, 6) AS cumulative_net_return, round(sd, 6) AS net_return_std, round(lt, 6) AS average_long_turnover, round(st, 6) AS average_short_turnover, round(gt, 6) AS average_turnover FROM """
 
 
 @register("cost_sensitivity", _COSTS + "{costs}")
@@ -721,8 +790,12 @@ def _(t):
 _FLOW = _CHAIN | dataset_tables(f"u{len(_STEPS)}", "_w") | _summary_tables("sampled_w", "_w", "ic_w")
 
 
-def _research(t):
-    return research.factor_research(t("bars"), t("security_master"), t("trade_status"), t("valuation"), research.ResearchConfig(filters=FILTERS, digits=TIE_PLACES))
+def _research(t, **more):
+    """The workflow over metadata and valuations with two rows for each key, of which the later counts."""
+    master, status = _metadata(t)
+    v = t("valuation")
+    valuation = v.withColumn("k", F.lit(2)).unionByName(v.withColumns({"k": F.lit(1), "pb": F.lit(99.0)}))
+    return research.factor_research(t("bars"), master, status, valuation, research.ResearchConfig(filters=FILTERS, digits=TIE_PLACES, **more), "k", "k", "k")
 
 
 @register("factor_research_costs", _COSTS + "{costs_w}", _FLOW)
@@ -730,6 +803,12 @@ def _(t):
     return _research(t).costs
 
 
+@register("factor_research_costs_chunked_wide", _COSTS + "{costs_w}", _FLOW)
+def _(t):
+    """The same with histories cut by time and without a date's rows in one task."""
+    return _research(t, chunks=CHUNKS, wide=True).costs
+
+
 @register("factor_research_ic_summary", _summary_sql("_w", "non_overlapping"), _FLOW)
 def _(t):
     return _research(t).ic_summary
@@ -776,6 +855,26 @@ def _(t):
     return facts.return_kde(returns.simple_return(t("bars")))
 
 
+NODES = 512
+_BINNED = _KDE | {
+    "spaced": f"SELECT *, (hi - lo) / {NODES - 1} AS step FROM {{shape}}",
+    "dealt": f"""SELECT v.symbol, least((r - lo) / step, {NODES - 1}) AS place, least(floor(least((r - lo) / step, {NODES - 1})), {NODES - 2}) AS node
+      FROM {{ret}} v JOIN {{spaced}} s ON v.symbol = s.symbol WHERE r IS NOT NULL""",
+    "weights": "SELECT symbol, node, sum(w) AS w FROM (SELECT symbol, node, 1 - (place - node) AS w FROM {dealt} UNION ALL SELECT symbol, node + 1, place - node FROM {dealt}) GROUP BY symbol, node",
+}
+
+
+@register(
+    "return_kde_binned",
+    """SELECT g.symbol, CAST(p AS INT) AS point, round(x, 6) AS x, round(sum(w * exp(-0.5 * pow((x - (lo + node * step)) / s.h, 2))) / (any_value(s.n) * any_value(s.h) * sqrt(2 * pi())), 6) AS density,
+       round(any_value(step * step / (8 * s.h * s.h * s.h * sqrt(2 * pi()))), 6) AS error_bound
+       FROM {grid} g JOIN {spaced} s ON g.symbol = s.symbol JOIN {weights} b ON g.symbol = b.symbol GROUP BY g.symbol, p, x""",
+    _BINNED,
+)
+def _(t):
+    return facts.return_kde(returns.simple_return(t("bars")), nodes=NODES)
+
+
 def _horner(coefficients, x: str) -> str:
     sql = repr(coefficients[-1])
     for c in reversed(coefficients[:-1]):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest, evaluation, factors, ingest, labels, returns, stats, universe
+from barloom.operators.chunks import Chunks, by_block, windowed
 from barloom.sources.tables import stored
 
 
@@ -32,6 +33,10 @@ class ResearchConfig:
     digits: int | None = None
     quantiles: int = 5
     transaction_cost_bps: Sequence[int] = (0, 5, 10, 20)
+    #: For long histories: cut them, so that no task holds a symbol's bars whole.
+    chunks: Chunks | None = None
+    #: For wide dates: no task holds a date's rows whole.
+    wide: bool = False
 
     @property
     def windows(self) -> dict[str, int]:
@@ -69,31 +74,38 @@ class FactorResearch:
 def price_features(bars: DataFrame, config: ResearchConfig) -> DataFrame:
     """Factors and forward returns in one pass over each symbol's bars: one shuffle, one sort, and
     no join of factors with labels."""
-    entry, exit_ = labels.label_prices(config.horizon, config.timing)
-    columns = factors.price_factor_columns(**config.windows, has_turnover="turnover" in bars.columns)
-    priced = factors.with_returns(bars).select("date", "symbol", *(c.alias(n) for n, c in columns.items()), entry.alias("_in"), exit_.alias("_out"))
+    w = by_block() if config.chunks else None
+    entry, exit_ = labels.label_prices(config.horizon, config.timing, w)
+    columns = factors.price_factor_columns(**config.windows, has_turnover="turnover" in bars.columns, w=w) | {"_in": entry, "_out": exit_}
+    if config.chunks:
+        priced = windowed(bars, config.chunks, max(config.windows.values()), config.horizon + 1, columns)
+    else:
+        priced = factors.with_returns(bars).select("date", "symbol", *(c.alias(n) for n, c in columns.items()))
     return priced.withColumn("forward_return", F.try_divide("_out", "_in") - 1).drop("_in", "_out")
 
 
 def factor_research(
-    bars: DataFrame, security_master: DataFrame | None = None, trade_status: DataFrame | None = None, valuation: DataFrame | None = None, config: ResearchConfig = ResearchConfig()
+    bars: DataFrame, security_master: DataFrame | None = None, trade_status: DataFrame | None = None, valuation: DataFrame | None = None, config: ResearchConfig = ResearchConfig(),
+    master_order: str | None = None, status_order: str | None = None, valuation_order: str | None = None,
 ) -> FactorResearch:
     """Universe -> factors and labels -> dataset -> coefficients, layers, turnover and costs.
 
-    The frame, the dataset and its buckets are written to the shared folder once each, as several
-    results start from them.
+    Of rows of metadata or valuation with one key the last by their order column counts; without
+    one any may.  The flagged bars, the frame, the dataset and its buckets are written to the shared
+    folder once each, as several results start from them.
     """
     rows, audit = universe.apply_universe_filters(
-        bars, config.symbols, config.min_history_days, config.min_symbols_per_date, DEFAULT_FILTERS if config.filters is None else config.filters, security_master, trade_status
-    )
-    frame = stored(factors.merge_valuation_factor(price_features(rows, config), valuation), "frame")
+        bars, config.symbols, config.min_history_days, config.min_symbols_per_date, DEFAULT_FILTERS if config.filters is None else config.filters, security_master, trade_status,
+        master_order, status_order, store=True,
+    )
+    frame = stored(factors.merge_valuation_factor(price_features(rows, config), valuation, valuation_order, config.chunks and config.chunks.days), "frame")
     chosen = factors.available_factor_columns(frame, factors.factor_columns_from_config(config.windows))
     if not chosen:
         raise ValueError("no configured factor is available")
-    dataset = stored(labels.finish_dataset(frame, chosen, config.winsorize_quantile, config.zscore, config.min_symbols_per_date, config.digits), "dataset")
+    dataset = stored(labels.finish_dataset(frame, chosen, config.winsorize_quantile, config.zscore, config.min_symbols_per_date, config.digits, config.wide), "dataset")
     long = factors.unpivot_factors(dataset, chosen, ["forward_return"])  # complete in factors and returns
-    bucketed = stored(backtest.assign_quantiles(long, config.quantiles), "buckets")
-    ic = evaluation.ic_timeseries(dataset, chosen)
+    bucketed = stored(backtest.assign_quantiles(long, config.quantiles, config.wide), "buckets")
+    ic = evaluation.ic_timeseries(dataset, chosen, config.wide)
     layers = backtest.layer_means(bucketed)
     long_short = backtest.long_short_returns(layers)
     turnover = backtest.leg_turnover(bucketed)

@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.factors import unpivot_factors
+from barloom.operators.wide import row_numbers
 
 BASIS_POINTS = 10_000
 
 
-def assign_quantiles(long: DataFrame, quantiles: int = 5) -> DataFrame:
+def assign_quantiles(long: DataFrame, quantiles: int = 5, wide: bool = False) -> DataFrame:
     """``long`` (factor, date, symbol, value) with ``quantile``: buckets of equal rank distance,
-    1 for the lowest values; equal values in symbol order; null below two names."""
+    1 for the lowest values; equal values in symbol order; null below two names.  ``wide`` ranks
+    by a range partitioning, for dates that no task should hold."""
     cell = Window.partitionBy("factor", "date")
-    ranked = long.withColumns({"_r": F.row_number().over(cell.orderBy("value", "symbol")), "_n": F.count("*").over(cell)})
+    if wide:
+        ranked = row_numbers(long, ("factor", "date"), ("value", "symbol"), "_r", "_n")
+    else:
+        ranked = long.withColumns({"_r": F.row_number().over(cell.orderBy("value", "symbol")), "_n": F.count("*").over(cell)})
     buckets = F.least(F.lit(quantiles), F.col("_n"))
     # ceil((r - 1) b / (n - 1)) in whole numbers
-    bucket = F.greatest(F.lit(1), F.expr("0") + F.floor(((F.col("_r") - 1) * buckets + F.col("_n") - 2) / (F.col("_n") - 1)))
+    bucket = F.greatest(F.lit(1), F.floor(((F.col("_r") - 1) * buckets + F.col("_n") - 2) / (F.col("_n") - 1)))
     return ranked.withColumn("quantile", F.when(F.col("_n") >= 2, bucket.cast("int"))).drop("_r", "_n")
 
 
@@ -58,9 +63,10 @@ def long_short_turnover(data: DataFrame, factor_columns: Sequence[str], quantile
 def leg_turnover(bucketed: DataFrame) -> DataFrame:
     """``long_short_turnover`` of rows that have their ``quantile``.
 
-    Dates with fewer than two names are skipped and keep the book.  Names that stay in a leg are
-    counted by their previous index among the factor's dates, so no date is joined with the one
-    before: with n names now, m of them also before, and k names before, the turnover is
+    Dates with fewer than two names are skipped and keep the book.  Each name knows the date on which
+    it was last in the leg; a date's names are counted by it, and those count as staying whose date is
+    the factor's date before.  So no date is joined with another, and the rows are read once: with
+    n names now, m of them also before, and k names before, the turnover is
     (m |1/n - 1/k| + (n - m)/n + (k - m)/k) / 2.
     """
     bucketed = bucketed.filter("quantile is not null")
@@ -68,11 +74,13 @@ def leg_turnover(bucketed: DataFrame) -> DataFrame:
     ends = bucketed.withColumns({"_hi": F.max("quantile").over(cell), "_lo": F.min("quantile").over(cell)})
     in_leg = lambda leg, end: F.when(F.col("quantile") == F.col(end), F.lit(leg))
     names = ends.select("factor", "date", "symbol", F.explode(F.array_compact(F.array(in_leg("long", "_hi"), in_leg("short", "_lo")))).alias("leg"))
-    dates = names.select("factor", "date").distinct()
-    indexed = names.join(dates.withColumn("_i", F.row_number().over(Window.partitionBy("factor").orderBy("date"))), ["factor", "date"])
-    stays = (F.lag("_i").over(Window.partitionBy("factor", "leg", "symbol").orderBy("_i")) == F.col("_i") - 1).cast("int")
-    sizes = indexed.withColumn("_stays", F.coalesce(stays, F.lit(0))).groupBy("factor", "leg", "date", "_i").agg(F.count("*").cast("double").alias("_n"), F.sum("_stays").cast("double").alias("_m"))
-    before = sizes.withColumn("_k", F.lag("_n").over(Window.partitionBy("factor", "leg").orderBy("_i")))  # one row a date
+    seen = names.withColumn("_seen", F.lag("date").over(Window.partitionBy("factor", "leg", "symbol").orderBy("date")))
+    counted = seen.groupBy("factor", "leg", "date", "_seen").agg(F.count("*").alias("_c"))
+    by_date = F.map_from_entries(F.collect_list(F.when(F.col("_seen").isNotNull(), F.struct("_seen", "_c"))))  # a count for each earlier date at most
+    sizes = counted.groupBy("factor", "leg", "date").agg(F.sum("_c").cast("double").alias("_n"), by_date.alias("_by_date"))
+    w = Window.partitionBy("factor", "leg").orderBy("date")  # one row a date
+    stayed = F.coalesce(F.element_at("_by_date", F.coalesce(F.lag("date").over(w), F.col("date"))), F.lit(0)).cast("double")
+    before = sizes.select("factor", "leg", "date", "_n", F.lag("_n").over(w).alias("_k"), stayed.alias("_m"))
     changed = F.expr("0.5 * (_m * abs(1 / _n - 1 / _k) + (_n - _m) / _n + (_k - _m) / _k)")
     moved = before.withColumn("_t", F.coalesce(changed, F.lit(0.5)))
     leg_of = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("_t")))
@@ -81,7 +89,7 @@ def leg_turnover(bucketed: DataFrame) -> DataFrame:
 
 
 def top_quantile_turnover(data: DataFrame, factor_columns: Sequence[str], quantiles: int = 5) -> DataFrame:
-    return long_short_turnover(data, factor_columns, quantiles).select("date", "factor", F.col("long_turnover").alias("turnover"))
+    return long_short_turnover(data, factor_columns, quantiles).select("date", "factor", F.col("long_turnover").alias("top_quantile_turnover"))
 
 
 def compounded(r: str) -> Column:
@@ -89,15 +97,20 @@ def compounded(r: str) -> Column:
 
 
 def cost_sensitivity(long_short: DataFrame, turnover: DataFrame, transaction_cost_bps: Sequence[int] = (0, 5, 10, 20)) -> DataFrame:
-    """factor, transaction_cost_bps and the mean, compounded and deviation of net returns, with the
-    mean turnovers. A date without turnover costs nothing; a null return still counts its turnover."""
+    """factor, transaction_cost_bps, the mean and compounded net returns of the long leg alone and of
+    both legs, the deviation of the latter, and the average turnovers.
+
+    The long leg pays for its own turnover, both legs for theirs together.  A date without turnover
+    costs nothing; a null return still counts its turnover."""
     joined = long_short.join(turnover, ["date", "factor"], "left")
     filled = joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("long_turnover", "short_turnover", "gross_turnover")})
     priced = filled.withColumn("transaction_cost_bps", F.explode(F.array(*map(F.lit, transaction_cost_bps))))
-    net = priced.withColumn("_net", F.col("long_short_return") - F.col("gross_turnover") * F.col("transaction_cost_bps") / BASIS_POINTS)
+    after_cost = lambda r, moved: F.col(r) - F.col(moved) * F.col("transaction_cost_bps") / BASIS_POINTS
+    net = priced.withColumns({"_net_long": after_cost("long_return", "long_turnover"), "_net": after_cost("long_short_return", "gross_turnover")})
     return net.groupBy("factor", "transaction_cost_bps").agg(
-        F.avg("_net").alias("mean_net_return"), compounded("_net").alias("cumulative_net_return"), F.stddev_samp("_net").alias("std_net_return"),
-        F.avg("long_turnover").alias("mean_long_turnover"), F.avg("short_turnover").alias("mean_short_turnover"), F.avg("gross_turnover").alias("mean_gross_turnover"),
+        F.avg("_net_long").alias("mean_net_long_return"), F.avg("_net").alias("mean_net_return"),
+        compounded("_net_long").alias("cumulative_net_long_return"), compounded("_net").alias("cumulative_net_return"), F.stddev_samp("_net").alias("net_return_std"),
+        F.avg("long_turnover").alias("average_long_turnover"), F.avg("short_turnover").alias("average_short_turnover"), F.avg("gross_turnover").alias("average_turnover"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import TRADING_DAYS, correlation
 from barloom.functions.distributions import t_test
 from barloom.operators.factors import unpivot_factors
+from barloom.operators.wide import average_ranks
 
 
 def _average_rank(column: str) -> Column:
@@ -26,17 +27,23 @@ def _rank_correlation(x: str, y: str) -> Column:
     return F.try_divide(both(x, y), F.sqrt(both(x, x) * both(y, y)))
 
 
-def ic_timeseries(data: DataFrame, factor_columns: Sequence[str]) -> DataFrame:
+def ic_timeseries(data: DataFrame, factor_columns: Sequence[str], wide: bool = False) -> DataFrame:
     """date, factor, ic, rank_ic, n_symbols: Pearson's and Spearman's correlation of each factor
     with the forward return, across the date's symbols.
 
     Below three complete pairs, or with one side constant, both are null and the row stays.
-    ``n_symbols`` counts all of the date's symbols.
+    ``n_symbols`` counts all of the date's symbols.  ``wide`` ranks by a range partitioning, for
+    dates that no task should hold.
     """
     long = unpivot_factors(data, factor_columns, ["forward_return"])
     pair = F.col("value").isNotNull() & F.col("forward_return").isNotNull()
     paired = long.withColumn("_pair", pair)
-    ranked = paired.withColumns({"_x": F.when(F.col("_pair"), _average_rank("value")), "_y": F.when(F.col("_pair"), _average_rank("forward_return"))})
+    if wide:
+        cell = ("factor", "date", "_pair")
+        ranked = average_ranks(average_ranks(paired, cell, "value", ("symbol",), "_x"), cell, "forward_return", ("symbol",), "_y")
+        ranked = ranked.withColumns({c: F.when(F.col("_pair"), F.col(c)) for c in ("_x", "_y")})
+    else:
+        ranked = paired.withColumns({"_x": F.when(F.col("_pair"), _average_rank("value")), "_y": F.when(F.col("_pair"), _average_rank("forward_return"))})
     varies = lambda c: F.min(F.when(F.col("_pair"), F.col(c))) < F.max(F.when(F.col("_pair"), F.col(c)))
     enough = (F.count_if("_pair") >= 3) & varies("value") & varies("forward_return")
     return ranked.groupBy("date", "factor").agg(
@@ -48,8 +55,8 @@ def ic_pearson(data: DataFrame, factor_columns: Sequence[str]) -> DataFrame:
     return ic_timeseries(data, factor_columns).select("date", "factor", "ic", "n_symbols")
 
 
-def ic_spearman(data: DataFrame, factor_columns: Sequence[str]) -> DataFrame:
-    return ic_timeseries(data, factor_columns).select("date", "factor", "rank_ic", "n_symbols")
+def ic_spearman(data: DataFrame, factor_columns: Sequence[str], wide: bool = False) -> DataFrame:
+    return ic_timeseries(data, factor_columns, wide).select("date", "factor", "rank_ic", "n_symbols")
 
 
 def _numbered(ic_ts: DataFrame) -> DataFrame:

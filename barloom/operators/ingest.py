@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import as_date, as_double, pad_symbol, require
+from barloom.functions.columns import as_date, as_double, last_row, pad_symbol, require
 
 PRICES = ("open", "high", "low", "close")
-#: The standard numeric columns of a bar, in order.
+#: The standard numeric columns of a bar, in order.
 NUMBERS = (*PRICES, "volume", "amount", "turnover", "pct_change", "change", "amplitude", "pre_close")
 
 #: vendors' names of the standard columns, in the order in which they count.
@@ -68,13 +68,13 @@ def clean_ohlcv(df: DataFrame, order_col: str) -> DataFrame:
 
     Of rows with one key the last by ``order_col`` counts, and only then is it checked: with a
     null or non-positive price the key is gone.  Rows without a key are dropped; further columns
-    stay.
+    stay.  The last row is an aggregate, so that rows of one key meet in each task first; nothing
+    but the last row of a task is shuffled.
     """
     require(df, "symbol", "date", *PRICES, order_col)
     typed = df.withColumns({"date": as_date("date"), **{c: as_double(c) for c in NUMBERS if c in df.columns}})
-    last = Window.partitionBy("symbol", "date").orderBy(F.desc(order_col))
-    kept = typed.filter("symbol is not null and date is not null").withColumn("_n", F.row_number().over(last)).filter("_n = 1")
-    return kept.filter(reduce(lambda a, b: a & b, (F.col(c) > 0 for c in PRICES))).drop("_n")
+    kept = last_row(typed.filter("symbol is not null and date is not null"), ("symbol", "date"), order_col)
+    return kept.filter(reduce(lambda a, b: a & b, (F.col(c) > 0 for c in PRICES)))
 
 
 def union_panels(*panels: DataFrame) -> DataFrame:

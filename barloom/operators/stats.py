@@ -20,11 +20,11 @@ def three_sigma_outliers(returns: DataFrame, sigma: float = 3.0) -> DataFrame:
 
 
 def t_test_mean_return(returns: DataFrame, popmean: float = 0.0) -> DataFrame:
-    """symbol, mean_return, t_stat, p_value, is_mean_significant (p < 0.05)."""
-    moments = returns.groupBy("symbol").agg(F.avg("return").alias("mean_return"), F.stddev_samp("return").alias("_sd"), F.count("return").alias("_n"))
-    t, p = t_test(F.col("mean_return"), F.col("_sd"), F.col("_n"), popmean)
-    tested = moments.withColumns({"t_stat": t, "p_value": p})
-    return tested.select("symbol", "mean_return", "t_stat", "p_value", F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("is_mean_significant"))
+    """symbol, mean_daily_return, t_stat, t_p_value, is_mean_significant (p < 0.05)."""
+    moments = returns.groupBy("symbol").agg(F.avg("return").alias("mean_daily_return"), F.stddev_samp("return").alias("_sd"), F.count("return").alias("_n"))
+    t, p = t_test(F.col("mean_daily_return"), F.col("_sd"), F.col("_n"), popmean)
+    tested = moments.withColumns({"t_stat": t, "t_p_value": p})
+    return tested.select("symbol", "mean_daily_return", "t_stat", "t_p_value", F.coalesce(F.col("t_p_value") < 0.05, F.lit(False)).alias("is_mean_significant"))
 
 
 def _jb_stat() -> Column:
@@ -56,15 +56,15 @@ def distribution_test_summary(returns: DataFrame, sigma: float = 3.0) -> DataFra
     seen = returns.filter("return is not null").select("symbol", "date", "return")
     moments = seen.groupBy("symbol").agg(
         F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("n_return_days"),
-        F.avg("return").alias("mean_return"), F.stddev_samp("return").alias("_sd"), _jb_stat(),
+        F.avg("return").alias("mean_daily_return"), F.stddev_samp("return").alias("_sd"), _jb_stat(),
     )
-    off = F.abs(F.try_divide(F.col("return") - F.col("mean_return"), F.col("_sd"))) > sigma
-    outliers = seen.join(moments.select("symbol", "mean_return", "_sd"), "symbol").groupBy("symbol").agg(F.count_if(off).alias("three_sigma_outlier_count"))
-    t, p = t_test(F.col("mean_return"), F.col("_sd"), F.col("n_return_days"))
-    tested = _with_jb_test(moments.join(outliers, "symbol").withColumns({"t_stat": t, "p_value": p}))
+    off = F.abs(F.try_divide(F.col("return") - F.col("mean_daily_return"), F.col("_sd"))) > sigma
+    outliers = seen.join(moments.select("symbol", "mean_daily_return", "_sd"), "symbol").groupBy("symbol").agg(F.count_if(off).alias("three_sigma_outlier_count"))
+    t, p = t_test(F.col("mean_daily_return"), F.col("_sd"), F.col("n_return_days"))
+    tested = _with_jb_test(moments.join(outliers, "symbol").withColumns({"t_stat": t, "t_p_value": p}))
     return tested.select(
-        "symbol", "start_date", "end_date", "n_return_days", (F.col("_sd") * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("annual_volatility"), "mean_return", "t_stat", "p_value",
-        F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("is_mean_significant"), "jb_stat", "jb_p_value", "is_normal", "three_sigma_outlier_count",
+        "symbol", "start_date", "end_date", "n_return_days", (F.col("_sd") * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("annual_volatility"), "mean_daily_return", "t_stat", "t_p_value",
+        F.coalesce(F.col("t_p_value") < 0.05, F.lit(False)).alias("is_mean_significant"), "jb_stat", "jb_p_value", "is_normal", "three_sigma_outlier_count",
         F.try_divide("three_sigma_outlier_count", "n_return_days").alias("three_sigma_outlier_ratio"),
     )
 

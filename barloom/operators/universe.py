@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import as_date, as_double, by_symbol, filled_close, pad_symbol, require
+from barloom.functions.columns import as_date, as_double, by_symbol, filled_close, last_row, pad_symbol, require
+from barloom.sources.tables import stored
 
 LIMIT_PERCENT = 9.8
 
@@ -30,8 +31,7 @@ def normalize_price_frame(bars: DataFrame) -> DataFrame:
 def _last_per(df: DataFrame, keys: Sequence[str], order_col: str | None) -> DataFrame:
     if order_col is None:
         return df.dropDuplicates(list(keys))
-    last = Window.partitionBy(*keys).orderBy(F.desc(order_col))
-    return df.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", order_col)
+    return last_row(df, keys, order_col).drop(order_col)
 
 
 def normalize_security_master(master: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -199,6 +199,7 @@ def apply_universe_filters(
     trade_status: DataFrame | None = None,
     master_order: str | None = None,
     status_order: str | None = None,
+    store: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """All filters in order; the rows that pass, and the audit with one row a filter.
 
@@ -206,7 +207,8 @@ def apply_universe_filters(
     audit come from the same pass; the audit first adds up each symbol's flags and then one row a
     symbol.  Bars are unique by symbol and date.  An empty metadata table counts as a missing one.
     Of several metadata rows with one key the last by ``master_order`` or ``status_order`` counts;
-    without an order any of them may.
+    without an order any of them may.  ``store`` writes the flagged rows to the shared folder, so
+    that the filters run once for rows and audit.
     """
     filters = filters or {}
     if filters.get("missing_metadata_policy", "permissive") != "permissive":
@@ -242,6 +244,8 @@ def apply_universe_filters(
             passed = so_far & (F.count(F.when(so_far, F.col("symbol"))).over(Window.partitionBy("date")) >= min_symbols_per_date)
         marked = marked.withColumn(f"_f{i}", passed)
 
+    if store:
+        marked = stored(marked.select(*columns, *(f"_f{i}" for i in range(len(steps)))), "universe")
     rows = marked.filter(F.col(f"_f{len(steps) - 1}")).select(*columns)
     flags = range(len(steps))
     by_name = marked.groupBy("symbol").agg(F.count("*").alias("n"), *(F.count_if(f"_f{i}").alias(f"n{i}") for i in flags))
