@@ -193,6 +193,9 @@ class TrieBpe:
         self.library.no_padding()
         spec = json.loads(self.library.to_str())
         model = spec["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)] + ["decoder"] * bool(spec["decoder"])
+        if model["type"] != "BPE" or odd:
+            raise ValueError(f"{path}: the trie encodes as plain BPE and decodes without a decoder, not with {odd or model['type']}")
         self.merges = Merges(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")
         self.trie = Trie(self.merges)
         self.words: dict[str, list[int]] = {}
@@ -268,7 +271,9 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, ids (binary, little-endian unsigned 32-bit).
 
     ``vocabulary`` is a ``tokenizers`` file that every executor can open.  Null and empty texts
-    give no ids.  Other columns of ``docs`` are ignored; repeated rows give repeated results.
+    give no ids.  Other columns of ``docs`` are ignored; repeated rows give repeated results; no
+    documents give no rows.  Texts may be of any length.  A vocabulary with settings that the trie
+    doesn't follow is an error when a row is read.
     Needs no shuffle; a worker holds one batch, one trie and one word cache of bounded size.
     """
 
@@ -294,7 +299,8 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     The same functions as ``encode_documents`` and ``decode_documents``, without sending the ids
-    and texts through the JVM in between.  Null and empty texts: 0 tokens, digests of nothing.
+    and texts through the JVM in between.  Null and empty texts: 0 tokens, digests of nothing.  Texts
+    may be of any length; no documents give no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

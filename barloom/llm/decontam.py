@@ -152,10 +152,10 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     return checked.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item, all columns and rows kept, also
-    those of null or empty text and those without a doc_id."""
-    hit = contained_items(docs, benchmark, percent).select("doc_id").distinct()
+    those of null or empty text and those without a doc_id.  ``exact`` is that of ``contained_items``."""
+    hit = contained_items(docs, benchmark, percent, exact).select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -26,6 +26,8 @@ FEATURES = 1 << 18
 SMOOTHING = 1.0
 #: Labelled rows, at most, on which the machine and its calibration are fitted.
 SAMPLE = 12_000
+#: Bytes of their features, at most: the driver holds them.
+SAMPLE_BYTES = 200 << 20
 #: Of the sample, one row in CALIBRATION serves the logistic fit alone.
 CALIBRATION = 4
 COST, EPOCHS = 1.0, 15
@@ -141,13 +143,14 @@ def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """The model of ``labelled`` (doc_id, text, quality 0 or 1).
 
     Weights and calibration come from at most ``sample`` rows, ratios from all that are not used
     for the calibration.  Where either part of the sample would lack a class, no rows are set aside
     and the calibration has those of the fit.  One class alone, or no row at all, gives the model
-    that says which class there is (without rows: 0.5).
+    that says which class there is (without rows: 0.5).  Long texts have many features: of the rows
+    picked, only the first by their hash count whose features take ``sample_bytes`` together.
     """
     sizes = {r["quality"]: r["count"] for r in labelled.groupBy("quality").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -164,7 +167,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     few = labelled.filter(place < int(share * PLACES)).select("doc_id", place.alias("place"), aside.alias("aside"), "quality", "text")
     few = map_batches(few, found, "doc_id long, place long, aside boolean, quality int, features binary")
-    rows = few.orderBy("place", "doc_id", "quality", "features").limit(sample).collect()
+    size = few.agg(F.sum(F.length("features"))).first()[0]
+    if size > sample_bytes:  # the hash deals out evenly, so a part of its range has that part of the bytes
+        few = few.filter(F.col("place") < int(share * PLACES * sample_bytes / size))
+    rows, held = [], 0
+    for r in few.orderBy("place", "doc_id", "quality", "features").limit(sample).toLocalIterator():
+        held += len(r["features"])
+        if held > sample_bytes and rows:
+            break
+        rows.append(r)
     y = np.array([1.0 if r["quality"] else -1.0 for r in rows])
     fold = np.array([r["aside"] for r in rows])
     if not all(len(set(y[part])) == 2 for part in (fold, ~fold)):

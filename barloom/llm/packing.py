@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import pieces
-from barloom.llm.tokenfile import chunk_encoder
+from barloom.llm.tokenfile import byte_encoder
 
 #: Examples that a task chooses from.
 WINDOW = 256
@@ -235,7 +235,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limits: Limits
     """
 
     def read(batch: pa.RecordBatch) -> Iterator[Example]:
-        encoder = chunk_encoder(vocabulary)
+        encoder = byte_encoder(vocabulary)
         end = np.array([end_id], encoder.kind).tobytes()
         for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()])):
             yield Example(doc_id, np.frombuffer(ids + end, encoder.kind))

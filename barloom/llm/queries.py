@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup, nbsvm, packing, phrases, repair, suffix, token_counts, tokenfile
 
-#: Folder of the public vocabulary files, the same on all executors.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    """A public vocabulary file: in the folder TOKENIZERS_DIR, if it is set, or the installed one."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
+
+
+WORD_BPE, BYTE_BPE = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
 #: Bytes of one Arrow batch in sessions that run these queries.
 BATCH_BYTES = 8 << 20
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from barloom.llm.common import map_batches, utf8
-from barloom.llm.tokenfile import chunk_encoder
+from barloom.llm.tokenfile import byte_encoder
 
 #: What happens to a token that crosses the edge of two sections: it counts where it starts, where
 #: it ends, or where most of its characters are (the earlier section, if as many are in each).
@@ -85,14 +85,14 @@ def section_token_counts(docs: DataFrame, vocabulary: str, rule: str = "majority
     Sections are lines, each with its newline; ``section_tokens`` has the tokens of each in order
     and adds up to ``n_tokens``.  A null or empty text is one section without tokens.  Texts may
     be of any length.  Repeated rows give repeated results; other columns are ignored; no
-    documents give no rows.  The vocabulary must be byte-level.  No shuffle; a task holds one
-    batch.
+    documents give no rows.  A vocabulary that is not plain byte-level, as one with a normalizer, is an
+    error when a row is read: its tokens would not cover the text.  No shuffle; a task holds one batch.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, texts = chunk_encoder(vocabulary), utf8(batch.column(1))
+        encoder, texts = byte_encoder(vocabulary), utf8(batch.column(1))
         ids = [np.frombuffer(x, encoder.kind) for x in encoder.encode_batch([t.decode() for t in texts])]
         base, crossing, counts = allocate(texts, ids, token_bytes(vocabulary), rule)
         columns = [
