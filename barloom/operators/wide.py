@@ -10,11 +10,12 @@ several tasks and what is known of it is copied to each.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.sources.tables import stored
+from barloom.sources.tables import discard, stored
 
 #: Rows of a table of cells that are broadcast at most, and parts of a cell beyond that.
 MOST_BROADCAST, SALTS = 200_000, 64
@@ -37,23 +38,27 @@ def order_statistics(long: DataFrame, ranks: DataFrame, bins: int = BINS) -> Dat
 
     Each pass counts the values of a range in equal bins, by task first, so no task or shuffle holds
     more than the bins of each rank; the range then shrinks to the values of the bin with the rank.
-    A range of one value, or a rank at either end of its range, is found.
+    A range of one value, or a rank at either end of its range, is found.  The result is stored.
     """
     ends = long.groupBy("date", "column").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("*").alias("_size"))
     found = F.when((F.col("_lo") == F.col("_hi")) | (F.col("rank") == F.col("_below")), F.col("_lo")).when(F.col("rank") == F.col("_below") + F.col("_size") - 1, F.col("_hi"))
     left = stored(ranks.join(ends, ["date", "column"]).withColumn("_below", F.lit(0).cast("long")).withColumn("value", found), "ranks")
-    done = left.filter("value is not null").select("date", "column", "rank", "value")
-    # halves, as the span of two doubles may not be a double
-    part = (F.col("value") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    passes = [left]
+    # halves, as the span of two doubles may not be a double; that of the smallest ones may then be 0
+    part = F.try_divide(F.col("value") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+    part = F.coalesce(part, (F.col("value") > F.col("_lo")).cast("double"))
     while not (left := left.filter("value is null").drop("value")).isEmpty():
         inside = meet(long, left, ("date", "column")).filter(F.col("value").between(F.col("_lo"), F.col("_hi")))
-        binned = inside.withColumn("_bin", F.least(F.floor(F.coalesce(part, F.lit(0.0)) * bins), F.lit(bins - 1)))
+        binned = inside.withColumn("_bin", F.least(F.floor(part * bins), F.lit(bins - 1)))
         counted = binned.groupBy("date", "column", "rank", "_below", "_bin").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("*").alias("_size"))
         w = Window.partitionBy("date", "column", "rank").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
         added = counted.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_size").over(w), F.lit(0))).drop("_bin")
         hit = added.filter((F.col("_below") <= F.col("rank")) & (F.col("rank") < F.col("_below") + F.col("_size")))
         left = stored(hit.withColumn("value", found), "ranks")
-        done = done.unionByName(left.filter("value is not null").select("date", "column", "rank", "value"))
+        passes.append(left)
+    each = [p.filter("value is not null").select("date", "column", "rank", "value") for p in passes]
+    done = stored(reduce(DataFrame.unionByName, each), "order_statistics")
+    discard(*passes)
     return done
 
 
@@ -64,7 +69,7 @@ def quantiles_by_date(data: DataFrame, columns: Sequence[str], quantiles: Sequen
     sizes = long.groupBy("date", "column").agg(F.count("*").alias("n"))
     at = lambda q: (F.col("n") - 1) * F.lit(float(q))
     wanted = stored(sizes.select("date", "column", "n", F.array_distinct(F.array(*(f(at(q)) for q in quantiles for f in (F.floor, F.ceil)))).alias("ranks")), "wanted")
-    values = stored(order_statistics(long, wanted.select("date", "column", F.explode("ranks").alias("rank")), bins), "order_statistics")
+    values = order_statistics(long, wanted.select("date", "column", F.explode("ranks").alias("rank")), bins)
     by_rank = values.groupBy("date", "column").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("by_rank"))  # two ranks a quantile
 
     def interpolated(q: float) -> Column:
@@ -101,7 +106,7 @@ def average_ranks(rows: DataFrame, cell: Sequence[str], value: str, tie: Sequenc
     ``tie`` only spreads equal values over partitions.  Equal values are counted by task first; rows
     then meet those that occur twice.
     """
-    numbered = stored(row_numbers(rows, cell, [value, *tie], "_row"), "numbered")
+    numbered = stored(row_numbers(rows, cell, [value, *tie], "_row"), "numbered")  # read twice
     key = [*cell, value]
     equal = stored(numbered.groupBy(*key).agg(F.min("_row").alias("_low"), F.max("_row").alias("_high")).filter("_low < _high"), "equal")
     ranked = meet(numbered, equal, key, "left").withColumn(name, F.coalesce((F.col("_low") + F.col("_high")) / 2, F.col("_row").cast("double")))

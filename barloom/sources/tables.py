@@ -48,7 +48,8 @@ def replace_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...])
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a local session may go without that setting; it then gets a temporary folder.
+    Only a local session may go without that setting; it then gets a temporary folder.  What is
+    still at the path when the driver ends is deleted then.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -56,7 +57,21 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            _file_system(spark, folder).delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
