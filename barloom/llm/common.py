@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barloom.sources.tables import shared_folder, stored  # noqa: F401
+from barloom.sources.tables import discard, shared_folder, stored  # noqa: F401
 
 #: Rows that are worked on together; Spark itself bounds an Arrow batch to 64 MB
 #: (spark.sql.execution.arrow.maxBytesPerBatch), so very long texts come in batches of few rows.
@@ -30,14 +30,6 @@ def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, BATCH_ROWS)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote and that nothing reads any more."""
-    for df in tables:
-        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished phases now, not whenever the driver
     happens to collect its garbage."""
