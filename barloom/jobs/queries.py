@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import index_market_symbol, pad_symbol, to_market_symbol
 from barloom.functions.distributions import AS241
-from barloom.jobs import research
+from barloom.jobs import refresh, research
 from barloom.jobs.fixtures import table, with_tables
 from barloom.operators import backtest, evaluation, facts, factors, ingest, labels, matrix, returns, stats, universe
 from barloom.operators.chunks import Chunks
-from barloom.sources.tables import stored
+from barloom.sources.tables import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,6 +147,19 @@ def _(t):
     return ingest.clean_ohlcv(t("raw_quotes"), "ingest_order").drop("ingest_order")
 
 
+_CLEAN = "SELECT symbol, date, source, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM {clean}"
+
+
+@register("refresh_bars", _CLEAN)
+def _(t):
+    """The table of clean bars after a batch of first quotes, one of later ones, and that again."""
+    quotes = t("raw_quotes")
+    path = f"{shared_folder(quotes.sparkSession)}/bars"
+    for batch in (quotes.filter("ingest_order = 1"), quotes.filter("ingest_order > 1"), quotes.filter("ingest_order > 1")):
+        refresh.refresh_bars(batch, path, "ingest_order", sources=None)
+    return refresh.read_bars(quotes.sparkSession, path)
+
+
 @register(
     "union_panels",
     "SELECT symbol, date, round(close, 6) AS close, round(volume, 6) AS volume, NULL AS pb FROM {bars} UNION ALL SELECT symbol, date, NULL, NULL, round(pb, 6) FROM {valuation}",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import backtest, evaluation, factors, ingest, labels, returns, stats, universe
 from barloom.operators.chunks import Chunks, by_block, windowed
-from barloom.sources.tables import stored
+from barloom.sources.tables import stored, write_csv, write_parquet
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,13 @@ def distribution_tests(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summary, stats.distribution_conclusion(summary)
 
 
+#: Names of the result tables.
+RESULT_TABLES = (
+    "universe_filter_audit", "factor_dataset", "factor_ic_timeseries", "factor_ic_summary", "factor_layer_returns",
+    "factor_long_short_returns", "factor_long_only_returns", "factor_turnover", "factor_cost_sensitivity",
+)
+
+
 @dataclass(frozen=True)
 class FactorResearch:
     audit: DataFrame
@@ -67,8 +74,19 @@ class FactorResearch:
     ic_summary: DataFrame
     layers: DataFrame
     long_short: DataFrame
+    long_only: DataFrame
     turnover: DataFrame
     costs: DataFrame
+    value_source: str
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The result tables by the names under which ``save`` writes them."""
+        return dict(zip(RESULT_TABLES, (self.audit, self.dataset, self.ic, self.ic_summary, self.layers, self.long_short, self.long_only, self.turnover, self.costs)))
+
+    def save(self, folder: str) -> None:
+        """Write all tables: the dataset as Parquet, the others, which are small, as CSV."""
+        for name, table in self.tables().items():
+            (write_parquet if name == "factor_dataset" else write_csv)(table, f"{folder}/{name}")
 
 
 def price_features(bars: DataFrame, config: ResearchConfig) -> DataFrame:
@@ -91,18 +109,23 @@ def factor_research(
     """Universe -> factors and labels -> dataset -> coefficients, layers, turnover and costs.
 
     Of rows of metadata or valuation with one key the last by their order column counts; without
-    one any may.  The flagged bars, the frame, the dataset and its buckets are written to the shared
+    one any may.  A universe of fewer symbols than a date needs is an error, and so is a dataset
+    without rows.  The flagged bars, the frame, the dataset and its buckets are written to the shared
     folder once each, as several results start from them.
     """
     rows, audit = universe.apply_universe_filters(
         bars, config.symbols, config.min_history_days, config.min_symbols_per_date, DEFAULT_FILTERS if config.filters is None else config.filters, security_master, trade_status,
         master_order, status_order, store=True,
     )
+    if rows.select("symbol").distinct().limit(config.min_symbols_per_date).count() < config.min_symbols_per_date:
+        raise ValueError(f"a cross-section needs {config.min_symbols_per_date} symbols")
     frame = stored(factors.merge_valuation_factor(price_features(rows, config), valuation, valuation_order, config.chunks and config.chunks.days), "frame")
     chosen = factors.available_factor_columns(frame, factors.factor_columns_from_config(config.windows))
     if not chosen:
         raise ValueError("no configured factor is available")
     dataset = stored(labels.finish_dataset(frame, chosen, config.winsorize_quantile, config.zscore, config.min_symbols_per_date, config.digits, config.wide), "dataset")
+    if dataset.isEmpty():
+        raise ValueError("no rows are left after preprocessing")
     long = factors.unpivot_factors(dataset, chosen, ["forward_return"])  # complete in factors and returns
     bucketed = stored(backtest.assign_quantiles(long, config.quantiles, config.wide), "buckets")
     ic = evaluation.ic_timeseries(dataset, chosen, config.wide)
@@ -110,6 +133,7 @@ def factor_research(
     long_short = backtest.long_short_returns(layers)
     turnover = backtest.leg_turnover(bucketed)
     return FactorResearch(
-        audit, dataset, chosen, ic, evaluation.ic_summary(ic, config.horizon, config.non_overlapping_ic), layers, long_short, turnover,
-        backtest.cost_sensitivity(long_short, turnover, config.transaction_cost_bps),
+        audit, dataset, chosen, ic, evaluation.ic_summary(ic, config.horizon, config.non_overlapping_ic), layers, long_short,
+        backtest.long_only_returns(long_short), turnover, backtest.cost_sensitivity(long_short, turnover, config.transaction_cost_bps),
+        frame.select("value_factor_source").first()[0],
     )

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.jobs import queries
+from barloom.jobs import queries, refresh, research
 from barloom.jobs.fixtures import table
 from barloom.operators import backtest, chunks, evaluation, facts, factors, ingest, labels, matrix, returns, universe, wide
 from barloom.operators.chunks import Chunks
@@ -297,3 +297,57 @@ def test_queries_equal_their_sql(spark, name):
     got = {tuple(str(r[c]) for c in columns) for r in queries.QUERIES[name](spark, SF).collect()}
     assert got == want
     assert table(spark, SF, "bars").count() > 0
+
+
+# --- workflows
+
+
+def vendor(spark, rows):
+    return spark.createDataFrame(rows, "symbol string, `日期` string, open string, high string, low string, close string, k int, source string")
+
+
+def test_batches_replace_their_keys_and_years(spark, tmp_path):
+    path = f"{tmp_path}/bars"
+    row = lambda s, d, c, k, source="tencent": (s, d, "1", "1", "1", c, k, source)
+    first = vendor(spark, [row("1", "2022-05-02", "1", 1), row("1", "2023-05-02", "2", 1), row("1", "2023-05-03", "3", 1), row("2", "2023-05-02", "4", 1, "sina"), row("3", "2024-01-02", "5", 1)])
+    told = {r["year"]: tuple(r)[1:] for r in refresh.refresh_bars(first, path, "k").years.collect()}
+    assert told == {2022: (0, 1, 1), 2023: (0, 3, 3), 2024: (0, 1, 1)}
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "bars" / "year=2022").glob("*.parquet")}
+    # a correction, a bad last quote, a new key, and the only bar of a year made invalid
+    second = [row("1", "2023-05-02", "9", 1), row("1", "2023-05-02", "8", 2), row("2", "2023-05-02", "7", 1), row("2", "2023-05-02", "-1", 2), row("2", "2023-05-04", "6", 1), row("3", "2024-01-02", "0", 1)]
+    for _ in range(2):
+        told = {r["year"]: tuple(r)[1:] for r in refresh.refresh_bars(vendor(spark, second), path, "k").years.collect()}
+    assert told == {2023: (3, 2, 3)}
+    got = {(r["symbol"], str(r["date"])): r["close"] for r in refresh.read_bars(spark, path).collect()}
+    assert got == {("000001", "2022-05-02"): 1.0, ("000001", "2023-05-02"): 8.0, ("000001", "2023-05-03"): 3.0, ("000002", "2023-05-04"): 6.0}
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "bars" / "year=2022").glob("*.parquet")} == kept
+    assert not list((tmp_path / "bars").glob("year=2024"))
+    part = refresh.read_bars(spark, path, "2023-05-03", "2023-12-31")
+    assert part.count() == 2 and "PartitionFilters: [isnotnull(year" in plan_of(part)
+    assert refresh.refresh_bars(vendor(spark, second).limit(0), path, "k").years.count() == 0 and refresh.read_bars(spark, path).count() == 4
+
+
+def test_index_bars_and_risk_tables(spark, tmp_path):
+    quotes = vendor(spark, [("300", "2024-01-01", "1", "1", "1", "2", 1, "x"), ("300", "2024-01-02", "1", "1", "1", "3", 1, "x"), ("5", "2024-01-01", "1", "1", "1", "2", 1, "x")])
+    bars = refresh.index_bars(quotes, {"000300": "large"}, "k")
+    assert sorted((r["symbol"], r["index_name"], r["close"]) for r in bars.collect()) == [("000300", "large", 2.0), ("000300", "large", 3.0)]
+    refresh.write_risk_summaries(bars, bars, f"{tmp_path}/risk")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/risk/index_risk_summary").first()["n_days"] == "2"
+
+
+def test_research_tables_are_saved(spark, tmp_path):
+    bars = random_panel(spark, 1, 5, 120).withColumn("close", F.coalesce("close", "open"))
+    valuation = bars.select("symbol", "date", (F.col("close") / 10).alias("pb"))
+    config = research.ResearchConfig(min_history_days=50, filters={}, momentum_window=5, volatility_window=5, turnover_window=5, value_window=20, quantiles=2)
+    found = research.factor_research(bars, valuation=valuation, config=config)
+    found.save(f"{tmp_path}/out")
+    assert found.value_source == "book_to_price" and {p.name for p in (tmp_path / "out").iterdir()} == set(research.RESULT_TABLES)
+    assert spark.read.parquet(f"{tmp_path}/out/factor_dataset").count() == found.dataset.count() > 0
+    costs = spark.read.option("header", True).csv(f"{tmp_path}/out/factor_cost_sensitivity")
+    assert costs.count() == 16 and "mean_net_long_return" in costs.columns
+
+
+def test_research_needs_a_cross_section(spark):
+    bars = random_panel(spark, 1, 2, 60)
+    with pytest.raises(ValueError, match="needs 9 symbols"):
+        research.factor_research(bars, config=research.ResearchConfig(min_history_days=10, min_symbols_per_date=9, filters={}))
