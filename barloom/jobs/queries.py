@@ -670,8 +670,10 @@ def _(t):
 
 
 def _dataset(t, digits=TIE_PLACES):
-    frame = factors.merge_valuation_factor(_factors(t), t("valuation")).drop("value_factor_source")
-    return labels.prepare_factor_dataset(frame, labels.add_forward_return(t("bars"), 5), FACTORS, digits=digits)
+    """Bars are stored first, as factors and labels both start from them."""
+    bars = stored(t("bars"), "bars")
+    frame = factors.merge_valuation_factor(factors.build_price_factors(bars), t("valuation")).drop("value_factor_source")
+    return labels.prepare_factor_dataset(frame, labels.add_forward_return(bars, 5), FACTORS, digits=digits)
 
 
 @register("prepare_factor_dataset", "SELECT date, symbol, round(forward_return, 6) AS forward_return, " + ", ".join(f"round({c}, 6) AS {c}" for c in FACTORS) + " FROM {scored} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in FACTORS))
@@ -784,7 +786,7 @@ _COSTS = """SELECT factor, bps AS transaction_cost_bps, round(mean_net_long, 6)
 
 @register("cost_sensitivity", _COSTS + "{costs}")
 def _(t):
-    bucketed = stored(backtest.assign_quantiles(factors.unpivot_factors(_dataset(t), FACTORS, ["forward_return"])), "buckets")
+    bucketed = stored(backtest.assign_quantiles(factors.unpivot_factors(_dataset(t), FACTORS, ["forward_return"])), "buckets")  # read twice
     return backtest.cost_sensitivity(backtest.long_short_returns(backtest.layer_means(bucketed)), backtest.leg_turnover(bucketed))
 
 

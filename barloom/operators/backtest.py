@@ -76,6 +76,7 @@ def leg_turnover(bucketed: DataFrame) -> DataFrame:
     names = ends.select("factor", "date", "symbol", F.explode(F.array_compact(F.array(in_leg("long", "_hi"), in_leg("short", "_lo")))).alias("leg"))
     seen = names.withColumn("_seen", F.lag("date").over(Window.partitionBy("factor", "leg", "symbol").orderBy("date")))
     counted = seen.groupBy("factor", "leg", "date", "_seen").agg(F.count("*").alias("_c"))
+    counted = counted.repartition("factor")  # a few rows a date, for everything below
     by_date = F.map_from_entries(F.collect_list(F.when(F.col("_seen").isNotNull(), F.struct("_seen", "_c"))))  # a count for each earlier date at most
     sizes = counted.groupBy("factor", "leg", "date").agg(F.sum("_c").cast("double").alias("_n"), by_date.alias("_by_date"))
     w = Window.partitionBy("factor", "leg").orderBy("date")  # one row a date
