@@ -153,7 +153,7 @@ _CLEAN = "SELECT symbol, date, source, round(open, 6) AS open, round(high, 6) AS
 @register("refresh_bars", _CLEAN)
 def _(t):
     """The table of clean bars after a batch of first quotes, one of later ones, and that again."""
-    quotes = t("raw_quotes")
+    quotes = stored(t("raw_quotes"), "quotes")
     path = f"{shared_folder(quotes.sparkSession)}/bars"
     for batch in (quotes.filter("ingest_order = 1"), quotes.filter("ingest_order > 1"), quotes.filter("ingest_order > 1")):
         refresh.refresh_bars(batch, path, "ingest_order", sources=None)

@@ -199,7 +199,7 @@ def test_net_long_only_returns(spark):
 
 def test_block_sums_run_once(spark):
     plan = plan_of(matrix.gram_matrices(matrix.return_matrix(random_panel(spark)), 2))
-    assert plan.count("FlatMapGroupsInPandas") == 1
+    assert plan.count("FlatMapGroupsInArrow") == 1
     checked = plan_of(matrix.return_matrix(random_panel(spark)))
     assert checked.count("Exchange hashpartitioning") == 1 and checked.count("Scan ExistingRDD") == 1
 
