@@ -34,7 +34,7 @@ def meet(rows: DataFrame, known: DataFrame, cell: Sequence[str], how: str = "inn
 
 def order_statistics(long: DataFrame, ranks: DataFrame, bins: int = BINS) -> DataFrame:
     """date, column, rank, value: the value with each rank (from 0) of ``ranks`` (date, column, rank)
-    among the finite values of ``long`` (date, column, value).
+    among the values of ``long`` (date, column, value).
 
     Each pass counts the values of a range in equal bins, by task first, so no task or shuffle holds
     more than the bins of each rank; the range then shrinks to the values of the bin with the rank.
@@ -44,9 +44,9 @@ def order_statistics(long: DataFrame, ranks: DataFrame, bins: int = BINS) -> Dat
     found = F.when((F.col("_lo") == F.col("_hi")) | (F.col("rank") == F.col("_below")), F.col("_lo")).when(F.col("rank") == F.col("_below") + F.col("_size") - 1, F.col("_hi"))
     left = stored(ranks.join(ends, ["date", "column"]).withColumn("_below", F.lit(0).cast("long")).withColumn("value", found), "ranks")
     passes = [left]
-    # halves, as the span of two doubles may not be a double; that of the smallest ones may then be 0
+    # halves, as the span of two doubles may not be a double; where it is none or 0 all but the ends share a bin
     part = F.try_divide(F.col("value") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
-    part = F.coalesce(part, (F.col("value") > F.col("_lo")).cast("double"))
+    part = F.when(F.col("value") == F.col("_lo"), 0.0).when(F.col("value") == F.col("_hi"), 1.0).otherwise(F.nanvl(F.coalesce(part, F.lit(0.5)), F.lit(0.5)))
     while not (left := left.filter("value is null").drop("value")).isEmpty():
         inside = meet(long, left, ("date", "column")).filter(F.col("value").between(F.col("_lo"), F.col("_hi")))
         binned = inside.withColumn("_bin", F.least(F.floor(part * bins), F.lit(bins - 1)))
@@ -64,8 +64,8 @@ def order_statistics(long: DataFrame, ranks: DataFrame, bins: int = BINS) -> Dat
 
 def quantiles_by_date(data: DataFrame, columns: Sequence[str], quantiles: Sequence[float], bins: int = BINS) -> DataFrame:
     """date and, for each column, ``_q_<column>``: an array of its exact quantiles, interpolated
-    between two ranks like ``percentile``. Nulls don't count; values are finite."""
-    long = data.unpivot(["date"], list(columns), "column", "value").filter("value is not null")
+    between two ranks like ``percentile``. Nulls and NaN don't count."""
+    long = data.unpivot(["date"], list(columns), "column", "value").filter("value is not null and not isnan(value)")
     sizes = long.groupBy("date", "column").agg(F.count("*").alias("n"))
     at = lambda q: (F.col("n") - 1) * F.lit(float(q))
     wanted = stored(sizes.select("date", "column", "n", F.array_distinct(F.array(*(f(at(q)) for q in quantiles for f in (F.floor, F.ceil)))).alias("ranks")), "wanted")

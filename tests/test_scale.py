@@ -131,6 +131,8 @@ def test_quantiles_of_extreme_values(spark):
     df = spark.createDataFrame([(DAY, x) for x in xs], "date date, f double")
     got = wide.quantiles_by_date(df, ["f"], (0.3, 0.5, 1.0), bins=2).first()["_q_f"]
     assert got == df.agg(F.percentile("f", F.array(*map(F.lit, (0.3, 0.5, 1.0))))).first()[0]
+    endless = spark.createDataFrame([(DAY, x) for x in (*xs, np.inf, np.inf, -np.inf, np.nan)], "date date, f double")
+    assert wide.quantiles_by_date(endless, ["f"], (0.0, 0.5, 1.0), bins=2).first()["_q_f"] == [-np.inf, 5e-324, np.inf]
 
 
 @pytest.mark.parametrize("ties", [False, True])
