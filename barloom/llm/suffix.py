@@ -11,8 +11,10 @@ index:
 * it is merge-scanned against each level of the index: a match of full length is a repeat;
 * it becomes a level; levels of about equal size merge, so n batches lie in about log n levels.
 
-The index is dealt by anchor into shards, and each shard's index is built in one task; the strings
-of an anchor with very many classes are dealt among shards by their own hashes.  Texts are never
+The index is dealt by anchor into shards, and each shard's index is built in one task.  An anchor
+with very many classes, as that of a line in thousands of texts, would be too much for a shard: its
+strings go by their digests, and their first places are found by an aggregate, in each task first.
+Texts are never
 shuffled as a whole for this: runs travel as digests, and only classes that the index needs send
 their text.
 """
@@ -41,7 +43,7 @@ BLOCK = 1 << 15
 BATCH = 16_384
 #: Bytes of class texts in one shard, about.
 SHARD_BYTES = 500_000
-#: The strings of an anchor with more classes than this are dealt among shards one by one.
+#: The strings of an anchor with more classes than this are aggregated one by one.
 CROWDED = 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -295,25 +297,41 @@ def repeats_in_classes(docs: DataFrame, seen: Broadcast, classes: DataFrame, cro
     hot = stored(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter(F.col("classes") > crowded).select("anchor"), "hot")
     shards = max(1, (classes.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0) // SHARD_BYTES)
     texts = class_texts(docs, seen, shared_classes(classes)).withColumn("first", F.lit(0))
-    whole = texts
-    if any_hot := hot.limit(1).count() > 0:
+    whole, crowd = texts, None
+    if hot.limit(1).count():
         texts = stored(texts, "texts")
-        whole = texts.join(hot, "anchor", "left_anti")
-    columns = ["digest", "doc_id", "pos", "first", "n", "text"]
-    dealt = whole.select(F.pmod("anchor", F.lit(shards)).alias("shard"), *columns)
-    if any_hot:
-
-        def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches):
-                rows = [(d, o, p + i, i, 1, t[i : i + LENGTH]) for d, o, p, _, n, t in zip(*(c.to_pylist() for c in batch.columns)) for i in range(n)]
-                types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
-
-        single = texts.join(hot, "anchor", "left_semi").select(*columns).mapInArrow(strings, "digest binary, doc_id long, pos long, first int, n long, text binary")
-        shards_of = F.lit(shards) + F.pmod(F.xxhash64("text"), F.lit(LENGTH * shards))
-        dealt = dealt.union(single.select(shards_of.alias("shard"), *columns))
+        firsts = classes.select("digest", "doc_id", "pos")  # without the other places that the filter lets through
+        whole, crowd = texts.join(hot, "anchor", "left_anti"), crowded_repeats(texts.join(hot, "anchor", "left_semi").join(firsts, ["digest", "doc_id", "pos"], "left_semi"))
+    dealt = whole.select(F.pmod("anchor", F.lit(shards)).alias("shard"), "digest", "doc_id", "pos", "first", "n", "text")
     indexed = dealt.groupBy("shard").applyInArrow(lambda t: index_shard(t), REPEATS)
-    return indexed.groupBy("digest").agg(F.collect_list(F.struct("first", "n", "repeats")).alias("parts"))
+    both = indexed if crowd is None else indexed.unionByName(crowd)
+    return both.groupBy("digest").agg(F.collect_list(F.struct("first", "n", "repeats")).alias("parts"))
+
+
+def crowded_repeats(texts: DataFrame) -> DataFrame:
+    """REPEATS of classes (digest, doc_id, pos, n, text) whose anchor has very many: a row for each
+    string that stands earlier.
+
+    A string travels as a digest with the place where it starts.  The first place of each comes from
+    an aggregate, so equal strings meet in each task first; strings that occur once end there.  The
+    others' places then meet it in a join, whose large keys Spark splits.
+    """
+
+    def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            for digest, doc_id, pos, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+                columns = [
+                    pa.array([xxhash.xxh3_128_digest(text[i : i + LENGTH]) for i in range(n)], pa.binary()), pa.array([digest] * n, pa.binary()),
+                    pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, doc_id)), pa.array(np.arange(pos, pos + n)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["string", "digest", "first", "doc_id", "pos"])
+
+    every = texts.select("digest", "doc_id", "pos", "n", "text").mapInArrow(strings, "string binary, digest binary, first int, doc_id long, pos long")
+    every = stored(every, "strings")
+    place = F.struct("doc_id", "pos")
+    least = every.groupBy("string").agg(F.min(place).alias("least"), F.max(place).alias("last")).filter("least < last").select("string", "least")
+    later = every.join(least, "string").filter(place > F.col("least")).select("digest", "first").distinct()
+    return later.select("digest", "first", F.lit(1).alias("n"), F.expr("X'80'").alias("repeats"))
 
 
 def repeated_strings(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:

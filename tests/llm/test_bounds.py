@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barloom.llm import bpe, decontam, nbsvm, packing, queries, repair, token_counts, tokenfile
+from barloom.llm import bpe, decontam, nbsvm, packing, queries, repair, suffix, token_counts, tokenfile
 
 DOCS = "doc_id long, text string"
 
@@ -127,3 +127,18 @@ def test_other_grammars_and_costs():
     for role in "uuaas":
         path.add(role, "")
     assert path.finish()[:2] == (3, "DKDKD")
+
+
+def test_one_string_in_very_many_classes(spark):
+    """A line that each document goes on from in its own way: it goes, with what follows it in any
+    earlier document too, from all but the first."""
+    n, line = 40_000, "".join(f"<{i * i % 89:02d}>" for i in range(40))[:130]
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(line), F.sha2(F.col("id").cast("string"), 256)).alias("text")).repartition(4)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix.repeat_report(docs).select("doc_id", "n_removed").collect()}
+    seen, want = set(), {0: 0}
+    for d in range(n):
+        tail = hashlib.sha256(str(d).encode()).hexdigest()
+        shared = next(k for k in range(65) if tail[: k + 1] not in seen)
+        want[d] = 130 + shared if d else 0
+        seen.update(tail[:k] for k in range(1, 12))
+    assert got == want
