@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import as_date, pad_symbol
 from barloom.operators import ingest, returns
-from barloom.sources.tables import discard, read_optional, replace_partitions, stored, write_csv
+from barloom.sources.tables import delete, discard, read_optional, replace_partitions, stored, write_csv
 
 YEAR = "year"
 
 
 @dataclass(frozen=True)
 class Refreshed:
-    """What a batch changed: one row a year with its bars before and after, and the bars of the batch."""
+    """What a batch changed: year, bars_before, bars_in_batch and bars_after, a row for each year."""
 
     years: DataFrame
 
@@ -39,7 +39,7 @@ def refresh_bars(quotes: DataFrame, path: str, order_col: str, sources: Sequence
 
     The batch is standardised and cleaned.  Its keys (symbol, date) replace those of the table, also
     where their last quote is no valid bar: the key is then gone.  Columns that the batch or the
-    table lacks are null.  An empty batch changes nothing.
+    table lacks are null.  An empty batch changes nothing, and without any bar no table is made.
 
     Only the years of the batch are read and rewritten.  Their rows are stored before they replace
     the partitions, as a table can't be read and overwritten at once.  A batch that is put in again
@@ -60,8 +60,9 @@ def refresh_bars(quotes: DataFrame, path: str, order_col: str, sources: Sequence
     told = count(after, "bars_after").join(count(clean, "bars_in_batch"), YEAR, "full")
     told = told.join(before, YEAR, "full") if before is not None else told.withColumn("bars_before", F.lit(None).cast("long"))
     report = stored(told.select(YEAR, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("bars_before", "bars_in_batch", "bars_after"))), "report")
-    if years:
+    if not after.isEmpty():
         replace_partitions(after, path, (YEAR,))
+    if years:
         _drop_emptied(spark, path, table, report)
     discard(batch, after)
     return Refreshed(report)
@@ -71,11 +72,8 @@ def _drop_emptied(spark: SparkSession, path: str, table: DataFrame | None, repor
     """Years that lost all their bars have no rows that could replace their partition."""
     if table is None:
         return
-    emptied = [r[YEAR] for r in report.filter("bars_after = 0 and bars_before > 0").select(YEAR).collect()]
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = files.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for year in emptied:
-        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{YEAR}={year}"), True)
+    for row in report.filter("bars_after = 0 and bars_before > 0").select(YEAR).collect():
+        delete(spark, f"{path}/{YEAR}={row[YEAR]}")
 
 
 def read_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -15,11 +15,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table, or None if there is none at the path."""
+    """A table, or None if there is none at the path, or a folder without data."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
@@ -66,12 +66,16 @@ def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, local or remote."""
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
         for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            _file_system(spark, folder).delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+            delete(df.sparkSession, folder)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

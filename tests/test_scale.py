@@ -327,6 +327,14 @@ def test_batches_replace_their_keys_and_years(spark, tmp_path):
     part = refresh.read_bars(spark, path, "2023-05-03", "2023-12-31")
     assert part.count() == 2 and "PartitionFilters: [isnotnull(year" in plan_of(part)
     assert refresh.refresh_bars(vendor(spark, second).limit(0), path, "k").years.count() == 0 and refresh.read_bars(spark, path).count() == 4
+    bad = [row("1", "2024-01-01", "-1", 1)]
+    assert refresh.refresh_bars(vendor(spark, bad), f"{tmp_path}/none", "k").years.count() == 0
+    assert tables.read_optional(spark, f"{tmp_path}/none") is None
+    refresh.refresh_bars(vendor(spark, [row("1", "2024-01-01", "5", 1)]), f"{tmp_path}/one", "k")
+    refresh.refresh_bars(vendor(spark, bad), f"{tmp_path}/one", "k")  # the table loses its only bar
+    assert tables.read_optional(spark, f"{tmp_path}/one") is None
+    refresh.refresh_bars(vendor(spark, [row("1", "2024-01-01", "7", 1)]), f"{tmp_path}/one", "k")
+    assert refresh.read_bars(spark, f"{tmp_path}/one").first()["close"] == 7.0
 
 
 def test_index_bars_and_risk_tables(spark, tmp_path):
