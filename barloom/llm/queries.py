@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup, nbsvm, packing, phrases, repair, suffix, token_counts, tokenfile
@@ -13,8 +12,11 @@ from barloom.llm import bpe, compression, decontam, jaccard, langid, linededup,
 
 def vocabulary(name: str) -> str:
     """A public vocabulary file: in the folder TOKENIZERS_DIR, if it is set, or the installed one."""
-    folder = os.environ.get("TOKENIZERS_DIR")
-    return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 WORD_BPE, BYTE_BPE = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
