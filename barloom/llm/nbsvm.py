@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import held_out, map_batches, mix64, pieces, utf8, word_hashes
+from barloom.llm.common import discard, held_out, map_batches, mix64, pieces, stored, utf8, word_hashes
 
 #: Hashed n-grams; with the constant, the model is a vector of this size plus one.
 FEATURES = 1 << 18
@@ -166,7 +166,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "aside", "quality", "features"])
 
     few = labelled.filter(place < int(share * PLACES)).select("doc_id", place.alias("place"), aside.alias("aside"), "quality", "text")
-    few = map_batches(few, found, "doc_id long, place long, aside boolean, quality int, features binary")
+    few = picked = stored(map_batches(few, found, "doc_id long, place long, aside boolean, quality int, features binary"), "sample")
     size = few.agg(F.sum(F.length("features"))).first()[0]
     if size > sample_bytes:  # the hash deals out evenly, so a part of its range has that part of the bytes
         few = few.filter(F.col("place") < int(share * PLACES * sample_bytes / size))
@@ -176,6 +176,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
         if held > sample_bytes and rows:
             break
         rows.append(r)
+    discard(picked)
     y = np.array([1.0 if r["quality"] else -1.0 for r in rows])
     fold = np.array([r["aside"] for r in rows])
     if not all(len(set(y[part])) == 2 for part in (fold, ~fold)):
