@@ -21,7 +21,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import held_out, mix64, pieces
+from barloom.llm.common import held_out, mix64, pieces, stored
 
 #: Share of a language's trigrams that a trigram must make up.  At most 1 / MIN_SHARE trigrams of
 #: a language can, which bounds the filters whatever the corpus.
@@ -29,6 +29,8 @@ MIN_SHARE = 2e-5
 #: It must also have this part of the share that it has in the language where it is most frequent.
 MIN_RATIO = 0.1
 BITS, HASHES = 1 << 20, 3
+#: Languages whose filters are broadcast at once, 64 MB of them.
+MOST_LANGUAGES = 512
 #: Distinct (language, trigram) counts that a task holds before it sends them on.
 HELD = 1_000_000
 
@@ -127,31 +129,43 @@ class Filters:
         return np.maximum(0, (out - n[:, None] * self.false_rate) / (1 - self.false_rate))
 
 
-def learn_filters(docs: DataFrame, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> Filters:
-    """Filters from all of ``docs`` (text, lang). Languages are in alphabetical order."""
+def learned(docs: DataFrame, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> tuple[DataFrame, list[str]]:
+    """The trigrams that each language of ``docs`` (text, lang) contains, as lang and gram, at most
+    1 / min_share for each, and the languages in alphabetical order."""
     counts = trigram_counts(docs)
     counts = counts.persist()
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(total), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     best = share.groupBy("gram").agg(F.max("share").alias("best")).filter(F.col("best") >= min_share)
     kept = share.filter(F.col("share") >= min_share).join(best, "gram").filter(F.col("share") >= min_ratio * F.col("best"))
-    by_lang: dict[str, list[int]] = {r["lang"]: [] for r in total.collect()}
-    for r in kept.select("lang", "gram").collect():  # at most 1 / min_share for each language
-        by_lang[r["lang"]].append(r["gram"])
+    languages = sorted(r["lang"] for r in total.collect())
+    kept = stored(kept.select("lang", "gram"), "trigrams")
     counts.unpersist()
-    filters = Filters(sorted(by_lang))
+    return kept, languages
+
+
+def filters_of(kept: DataFrame, languages: list[str]) -> Filters:
+    """The filters of some languages, from their trigrams."""
+    by_lang: dict[str, list[int]] = {lang: [] for lang in languages}
+    for r in kept.filter(F.col("lang").isin(languages)).collect():
+        by_lang[r["lang"]].append(r["gram"])
+    filters = Filters(languages)
     for i, lang in enumerate(filters.languages):
         filters.add(i, np.array(by_lang[lang], np.int64).astype(np.uint64))
     return filters
 
 
-def predict(docs: DataFrame, filters: Broadcast) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, lang_pred, score.
+def learn_filters(docs: DataFrame, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> Filters:
+    """Filters of all languages of ``docs`` (text, lang), in alphabetical order."""
+    return filters_of(*learned(docs, min_share, min_ratio))
+
+
+STATE = "doc_id long, text string, lang_pred string, first double, second double"
 
-    ``und`` and 0.0 for a null text, one without a letter, or where no language was learned.  The
-    score is the best language's corrected count over the sum of the best two; ties go to the
-    alphabetically first language, and a text that no filter knows gets that one with score 0.
-    """
+
+def judged(rows: DataFrame, filters: Broadcast, last: bool) -> DataFrame:
+    """``rows`` (STATE: the best language so far, with its count and the next best one) after these
+    filters too.  ``last``: without the text, and with the score instead of the counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Filters = filters.value
@@ -159,18 +173,45 @@ def predict(docs: DataFrame, filters: Broadcast) -> DataFrame:
             grams = [trigrams(t) for t in batch.column(1).to_pylist()]
             n = np.array([len(g) for g in grams], np.int64)
             some = np.flatnonzero(n)
-            names, scores = ["und"] * len(n), np.zeros(len(n))
+            names, first, second = batch.column(2).to_pylist(), batch.column(3).to_numpy().copy(), batch.column(4).to_numpy().copy()
             if len(some) and f.languages:
                 counts = f.counts(np.concatenate([grams[i] for i in some]), np.concatenate([[0], np.cumsum(n[some])[:-1]]), n[some])
                 best = counts.argmax(axis=1)
                 ranked = np.sort(counts, axis=1)
-                first, second = ranked[:, -1], ranked[:, -2] if counts.shape[1] > 1 else np.zeros(len(some))
-                scores[some] = np.divide(first, first + second, out=np.zeros(len(some)), where=first > 0)
-                for i, b in zip(some, best):
-                    names[i] = f.languages[b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                ours, next_ = ranked[:, -1], ranked[:, -2] if counts.shape[1] > 1 else np.zeros(len(some))
+                old, better = first[some], ours > first[some]
+                first[some] = np.where(better, ours, old)
+                second[some] = np.maximum(second[some], np.where(better, np.maximum(old, next_), ours))
+                for i, b, wins in zip(some, best, better):
+                    if wins:
+                        names[i] = f.languages[b]
+            languages = pa.array(names, pa.string())
+            if last:
+                scores = np.divide(first, first + second, out=np.zeros(len(n)), where=first > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), languages, pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], languages, pa.array(first), pa.array(second)], ["doc_id", "text", "lang_pred", "first", "second"])
+
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" if last else STATE)
+
+
+def predict(docs: DataFrame, kept: DataFrame, languages: list[str]) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, lang_pred, score, with what ``learned`` gives.
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    ``und`` and 0.0 for a null text, one without a letter, or where no language was learned.  The
+    score is the best language's corrected count over the sum of the best two; ties go to the
+    alphabetically first language, and a text that no filter knows gets that one with score 0.
+
+    MOST_LANGUAGES filters are broadcast at a time; more of them take further passes, each of which
+    carries the best two languages so far.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.lit("und").alias("lang_pred"), F.lit(-1.0).alias("first"), F.lit(0.0).alias("second"))
+    parts = [languages[i : i + MOST_LANGUAGES] for i in range(0, len(languages), MOST_LANGUAGES)] or [[]]
+    for part in parts[:-1]:
+        rows = stored(judged(rows, spark.sparkContext.broadcast(filters_of(kept, part)), False), "judged")
+    out = judged(rows, spark.sparkContext.broadcast(filters_of(kept, parts[-1])), True)
+    return out
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -181,6 +222,5 @@ def identify(docs: DataFrame) -> DataFrame:
     those without a letter and ties are as in ``predict``; texts may be of any length.  Repeated
     rows count again and have a row each; other columns are ignored; no documents give no rows.
     """
-    filters = learn_filters(docs.filter(~held_out()))
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-    return predict(docs, shared).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = predict(docs, *learned(docs.filter(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barloom.llm import bpe, decontam, nbsvm, packing, queries, repair, suffix, token_counts, tokenfile
+from barloom.llm import bpe, decontam, langid, nbsvm, packing, queries, repair, suffix, token_counts, tokenfile
 
 DOCS = "doc_id long, text string"
 
@@ -142,3 +142,13 @@ def test_one_string_in_very_many_classes(spark):
         want[d] = 130 + shared if d else 0
         seen.update(tail[:k] for k in range(1, 12))
     assert got == want
+
+
+def test_languages_beyond_one_broadcast(spark, monkeypatch):
+    """Wrong labels may be many: the filters then come in parts, with the same result."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 5).cast("string")).alias("lang"))
+    docs = docs.union(spark.createDataFrame([(9000, None, "en0"), (9001, "12", "en0"), (9002, "日本語", None)], docs.schema))
+    read = lambda: sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(docs).collect())
+    want = read()
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    assert read() == want and len({x for _, x, _ in want}) > 6
