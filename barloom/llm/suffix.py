@@ -319,12 +319,12 @@ def crowded_repeats(texts: DataFrame) -> DataFrame:
 
     def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            for digest, doc_id, pos, n, text in zip(*(c.to_pylist() for c in batch.columns)):
-                columns = [
-                    pa.array([xxhash.xxh3_128_digest(text[i : i + LENGTH]) for i in range(n)], pa.binary()), pa.array([digest] * n, pa.binary()),
-                    pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, doc_id)), pa.array(np.arange(pos, pos + n)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["string", "digest", "first", "doc_id", "pos"])
+            doc_id, pos, n = (batch.column(c).to_numpy() for c in (1, 2, 3))
+            row = np.repeat(np.arange(len(n)), n)
+            first = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            digests = [xxhash.xxh3_128_digest(text[i : i + LENGTH]) for text, k in zip(batch.column(4).to_pylist(), n.tolist()) for i in range(k)]
+            columns = [pa.array(digests, pa.binary()), batch.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(doc_id[row]), pa.array(pos[row] + first)]
+            yield pa.RecordBatch.from_arrays(columns, ["string", "digest", "first", "doc_id", "pos"])
 
     every = texts.select("digest", "doc_id", "pos", "n", "text").mapInArrow(strings, "string binary, digest binary, first int, doc_id long, pos long")
     every = stored(every, "strings")
