@@ -481,7 +481,7 @@ def _(t):
 
 @register("gram_matrices", "SELECT symbol_i, symbol_j, count(*) AS n, round(covar_samp(x, y), 6) AS cov, round(covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)), 6) AS corr FROM {pairs} GROUP BY symbol_i, symbol_j", _PAIRS)
 def _(t):
-    return matrix.gram_matrices(matrix.return_matrix(t("bars")), 64)
+    return matrix.gram_matrices(matrix.return_matrix(t("bars")))
 
 
 # --- distribution tests
