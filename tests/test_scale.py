@@ -206,6 +206,27 @@ def test_block_sums_run_once(spark):
     assert checked.count("Exchange hashpartitioning") == 1 and checked.count("Scan ExistingRDD") == 1
 
 
+def test_sums_of_block_pairs_are_not_shuffled(spark):
+    """Only packed returns are dealt to the pairs of blocks; what the pairs make stays in its task."""
+    plan = plan_of(matrix.gram_matrices(matrix.return_matrix(random_panel(spark)), 2))
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_spans_of_different_dates_add_up(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "SPAN", 7)
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((40, 7)) < 0.4, np.nan, rng.normal(size=(40, 7)))
+    x[:14, 0], x[:, 6] = np.nan, 0.5
+    df = spark.createDataFrame([(f"s{j}", DAY + timedelta(d), float(x[d, j])) for d in range(40) for j in range(7) if x[d, j] == x[d, j]], "symbol string, date date, return double")
+    got = {(r[0], r[1]): tuple(r)[2:] for r in matrix.gram_matrices(df, 3).collect()}
+    assert len(got) == 49
+    for (a, b), (n, cov, corr) in got.items():
+        pair = x[:, [int(a[1]), int(b[1])]]
+        pair = pair[~np.isnan(pair).any(axis=1)]
+        assert n == len(pair) and cov == pytest.approx(np.cov(pair.T)[0, 1])
+        assert corr is None if "s6" in (a, b) else corr == pytest.approx(np.corrcoef(pair.T)[0, 1])
+
+
 def test_wide_matrix_has_every_cell(spark):
     rows = [("a", DAY, 0.1), ("b", DAY, None), ("b", DAY + timedelta(1), 0.2)]
     long = spark.createDataFrame(rows, "symbol string, date date, return double")
