@@ -149,6 +149,19 @@ def test_wide_statistics_beyond_the_broadcast(spark, small_bounds):
     test_wide_statistics_equal_plain_ones(spark, True)
 
 
+def test_ties_and_copies_of_cells_are_not_broadcast(spark, monkeypatch):
+    """However small the tables they are made of look: the driver would hold the copies."""
+    df = wide_dates(spark, True)
+    rows = factors.unpivot_factors(df, ["f"], ["forward_return"])
+    monkeypatch.setattr(wide, "TIED", 7)
+    ranked = wide.average_ranks(rows, ("factor", "date"), "forward_return", ("symbol",), "x")
+    plain = rows.withColumn("n", F.row_number().over(Window.partitionBy("date").orderBy("forward_return", "symbol"))).withColumn("x", F.avg("n").over(Window.partitionBy("date", "forward_return"))).drop("n")
+    assert ranked.count() == rows.count() and not ranked.exceptAll(plain.select(ranked.columns)).count()
+    known = df.groupBy("date").count()
+    monkeypatch.setattr(wide, "MOST_BROADCAST", 0)
+    assert "Broadcast" not in plan_of(ranked) and "Broadcast" not in plan_of(wide.meet(df, known, ["date"]))
+
+
 def test_no_wide_window_has_a_whole_date(spark):
     df = wide_dates(spark)
     long = factors.unpivot_factors(df, ["f"])
@@ -236,6 +249,20 @@ def test_wide_matrix_has_every_cell(spark):
         matrix.wide_return_matrix(long, ["x"] * (matrix.MOST_COLUMNS + 1))
 
 
+def test_wide_matrix_of_any_width_is_cut_into_blocks(spark, monkeypatch):
+    rows = [(f"s{k}", DAY + timedelta(d), k + d / 10) for k in range(5) for d in range(3) if (k + d) % 3]
+    long = spark.createDataFrame([*rows, ("s9", DAY, None)], "symbol string, date date, return double")
+    wide_rows, names = matrix.wide_return_blocks(long, 2)
+    assert len(wide_rows.columns) == 4 and wide_rows.count() == 9
+    got = [(r["symbol"], (r["date"] - DAY).days, r["return"]) for r in matrix.long_return_blocks(wide_rows, names).collect()]
+    assert sorted(got, key=str) == sorted([(f"s{k}", d, k + d / 10 if (k + d) % 3 and k != 9 else None) for k in (*range(5), 9) for d in range(3)], key=str)
+
+
+def test_wide_return_matrix_query_takes_more_symbols_than_columns(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "MOST_COLUMNS", 3)
+    assert queries.QUERIES["wide_return_matrix"](spark, SF).count() > 0
+
+
 def test_last_rows_are_an_aggregate(spark):
     rows = [("A", DAY, float(k), 1.0, 1.0, 1.0, k % 5 if k else None) for k in range(200)]
     df = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, k int").coalesce(2)
