@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.jobs import queries, refresh, research
-from barloom.jobs.fixtures import table
+from barloom.jobs.fixtures import table, with_tables
 from barloom.operators import backtest, chunks, evaluation, facts, factors, ingest, labels, matrix, returns, universe, wide
 from barloom.operators.chunks import Chunks
 from barloom.sources import tables
@@ -349,6 +349,23 @@ def test_queries_equal_their_sql(spark, name):
     assert table(spark, SF, "bars").count() > 0
 
 
+def test_valuation_does_not_depend_on_the_cut_of_the_file(spark, tmp_path):
+    """Means are summed in the order of the rows, to the last bit, however many tasks read them."""
+    with duckdb.connect() as db:
+        db.execute("set threads = 1")
+        db.execute(f"copy (from '{SF}/lineitem.parquet' order by hash(l_orderkey, l_linenumber)) to '{tmp_path}/lineitem.parquet' (row_group_size 2048)")
+        db.execute(f"copy (from '{SF}/part.parquet') to '{tmp_path}/part.parquet'")
+        for t in ("lineitem", "part"):
+            db.execute(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+        want = {tuple(r) for r in db.execute(with_tables("select symbol, date, pb, pe from {valuation}")).fetchall()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        assert {tuple(r) for r in table(spark, str(tmp_path), "valuation").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 # --- workflows
 
 
