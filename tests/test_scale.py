@@ -366,6 +366,13 @@ def test_valuation_does_not_depend_on_the_cut_of_the_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_queries_on_layers_make_the_dataset_once(spark):
+    """Layers are stored before anything reads them twice."""
+    for name in ("layered_cumulative_return", "long_short_returns"):
+        plan = plan_of(queries.QUERIES[name](spark, SF))
+        assert "Window [row_number" not in plan and "percentile" not in plan
+
+
 # --- workflows
 
 
