@@ -376,6 +376,18 @@ def test_queries_on_layers_make_the_dataset_once(spark):
 # --- workflows
 
 
+def test_a_batch_is_stored_once(spark, tmp_path, monkeypatch):
+    """A batch is kept as one row a key, and the table's partitions are written once, straight from the join."""
+    kept = []
+    monkeypatch.setattr(refresh, "stored", lambda df, name="table": kept.append(tables.stored(df, name)) or kept[-1])
+    monkeypatch.setattr(refresh, "discard", lambda *dfs: None)
+    rows = [("1", "2024-01-02", "1", "1", "1", str(c), c, "x") for c in range(1, 6)]
+    for _ in range(2):
+        told = refresh.refresh_bars(vendor(spark, rows), f"{tmp_path}/bars", "k", None).years.collect()
+    assert [df.count() for df in kept] == [1, 1] and [tuple(r) for r in told] == [(2024, 1, 1, 1)]
+    assert refresh.read_bars(spark, f"{tmp_path}/bars").first()["close"] == 5.0
+
+
 def vendor(spark, rows):
     return spark.createDataFrame(rows, "symbol string, `日期` string, open string, high string, low string, close string, k int, source string")
 
