@@ -373,6 +373,19 @@ def test_queries_on_layers_make_the_dataset_once(spark):
         assert "Window [row_number" not in plan and "percentile" not in plan
 
 
+def test_binned_density_makes_no_pairs(spark):
+    df = spark.createDataFrame([(s, float(i * i % 17) / 100) for s in ("a", "b") for i in range(40)] + [("c", 1.0)], "symbol string, return double")
+    found = facts.return_kde(df, points=50, nodes=16)
+    plan = plan_of(found)
+    assert "Join" not in plan and "MapInArrow" in plan and plan.count("Exchange hashpartitioning") == 1
+    got = found.collect()
+    assert len(got) == 100 and {r["symbol"] for r in got} == {"a", "b"}
+    for s in ("a", "b"):
+        mass = [r["density"] for r in sorted((r for r in got if r["symbol"] == s), key=lambda r: r["point"])]
+        x = [r["x"] for r in sorted((r for r in got if r["symbol"] == s), key=lambda r: r["point"])]
+        assert sum(mass) * (x[1] - x[0]) == pytest.approx(1, abs=0.01)
+
+
 # --- workflows
 
 
