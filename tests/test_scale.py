@@ -1,5 +1,7 @@
 """Long histories, wide dates and other forms that scale, against the plain ones and pandas."""
 
+import math
+import re
 from datetime import date, timedelta
 
 import duckdb
@@ -386,6 +388,19 @@ def test_binned_density_makes_no_pairs(spark):
         assert sum(mass) * (x[1] - x[0]) == pytest.approx(1, abs=0.01)
 
 
+def test_coefficients_take_one_window_a_side(spark):
+    """A run of equal values has both its ends from the window that ranks it, and no aggregate has a group a symbol."""
+    rows = [("2024-01-01", s, v, r) for s, v, r in (("a", 1.0, 2.0), ("a", 1.0, 1.0), ("b", 2.0, 3.0), ("c", None, 1.0), (None, 2.0, 2.0), ("d", 5.0, None))]
+    data = spark.createDataFrame(rows, "date string, symbol string, x double, forward_return double")
+    found = evaluation.ic_timeseries(data, ["x"])
+    plan = plan_of(found)
+    assert plan.count("Window [") == 3 and "keys=[date#" in plan and not re.search(r"keys=\[[^]]*symbol#", plan)
+    row, other = found.first(), evaluation.ic_timeseries(data, ["x"], wide=True).first()
+    assert row["n_symbols"] == other["n_symbols"] == 4 and row["rank_ic"] == other["rank_ic"]
+    # ranks 1.5, 1.5, 3.5, 3.5 and 2.5, 1, 4, 2.5
+    assert row["rank_ic"] == pytest.approx(3 / math.sqrt(4 * 4.5))
+
+
 # --- workflows
 
 
