@@ -375,17 +375,26 @@ def test_queries_on_layers_make_the_dataset_once(spark):
         assert "Window [row_number" not in plan and "percentile" not in plan
 
 
-def test_binned_density_makes_no_pairs(spark):
-    df = spark.createDataFrame([(s, float(i * i % 17) / 100) for s in ("a", "b") for i in range(40)] + [("c", 1.0)], "symbol string, return double")
-    found = facts.return_kde(df, points=50, nodes=16)
-    plan = plan_of(found)
-    assert "Join" not in plan and "MapInArrow" in plan and plan.count("Exchange hashpartitioning") == 1
-    got = found.collect()
-    assert len(got) == 100 and {r["symbol"] for r in got} == {"a", "b"}
-    for s in ("a", "b"):
-        mass = [r["density"] for r in sorted((r for r in got if r["symbol"] == s), key=lambda r: r["point"])]
-        x = [r["x"] for r in sorted((r for r in got if r["symbol"] == s), key=lambda r: r["point"])]
-        assert sum(mass) * (x[1] - x[0]) == pytest.approx(1, abs=0.01)
+def test_windows_over_the_bars_table_need_no_shuffle_of_their_own(spark):
+    plan = plan_of(research.price_features(table(spark, SF, "bars"), research.ResearchConfig()))
+    assert plan.count("Exchange hashpartitioning(symbol") == 1 and plan.count("Sort [symbol") == 1
+
+
+def test_dated_rows_are_unpivoted_and_ranked_in_their_tasks(spark):
+    """Rows are dealt by date once, before there is one for each factor, and their quantiles come from a window."""
+    plan = plan_of(queries.QUERIES["long_short_turnover"](spark, SF))
+    assert "Exchange hashpartitioning(factor#" in plan  # of the legs, by symbol
+    assert not re.search(r"Exchange hashpartitioning\(factor#\d+, date#\d+, \d+\)", plan)
+    assert "Window [percentile" in plan and "partial_percentile" not in plan and "Window [max(quantile" not in plan
+
+
+def test_ends_of_buckets(spark):
+    rows = [(d, f"{s:06d}", f, float(s % 4)) for d, n in enumerate((1, 2, 3, 5, 9, 30)) for f in ("a", "b") for s in range(n)]
+    long = spark.createDataFrame(rows, "date int, symbol string, factor string, value double")
+    for wide_dates in (False, True):
+        cell = Window.partitionBy("factor", "date")
+        found = backtest.assign_quantiles(long, 5, wide_dates, ends=True).withColumns({"hi": F.max("quantile").over(cell), "lo": F.min("quantile").over(cell)})
+        assert found.filter("not (hi <=> _hi) or not (lo <=> _lo)").count() == 0 and found.filter("_hi = 5").count() > 0
 
 
 def test_coefficients_take_one_window_a_side(spark):
@@ -401,6 +410,19 @@ def test_coefficients_take_one_window_a_side(spark):
     assert row["rank_ic"] == pytest.approx(3 / math.sqrt(4 * 4.5))
 
 
+def test_binned_density_makes_no_pairs(spark):
+    df = spark.createDataFrame([(s, float(i * i % 17) / 100) for s in ("a", "b") for i in range(40)] + [("c", 1.0)], "symbol string, return double")
+    found = facts.return_kde(df, points=50, nodes=16)
+    plan = plan_of(found)
+    assert "Join" not in plan and "MapInArrow" in plan and plan.count("Exchange hashpartitioning") == 1
+    got = found.collect()
+    assert len(got) == 100 and {r["symbol"] for r in got} == {"a", "b"}
+    for s in ("a", "b"):
+        mass = [r["density"] for r in sorted((r for r in got if r["symbol"] == s), key=lambda r: r["point"])]
+        x = [r["x"] for r in sorted((r for r in got if r["symbol"] == s), key=lambda r: r["point"])]
+        assert sum(mass) * (x[1] - x[0]) == pytest.approx(1, abs=0.01)
+
+
 # --- workflows
 
 
