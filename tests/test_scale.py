@@ -7,6 +7,7 @@ from datetime import date, timedelta
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -242,6 +243,34 @@ def test_spans_of_different_dates_add_up(spark, monkeypatch):
         assert corr is None if "s6" in (a, b) else corr == pytest.approx(np.corrcoef(pair.T)[0, 1])
 
 
+def test_packed_returns_are_dealt_to_strips_of_blocks(spark, monkeypatch):
+    """The copies of the packed returns don't grow with the blocks, and a task holds no more than its bytes."""
+    assert [matrix._strip(n, 435_000 * n) for n in (1, 14, 40, 235)] == [1, 1, 3, 16]
+    assert matrix._strip(235, 20_000_000 * 235) == 1 and matrix._strip(1, 0) == 1
+    monkeypatch.setattr(matrix, "SPAN", 40)
+    returns = tables.stored(matrix.return_matrix(random_panel(spark, symbols=7)))
+    want = matrix.gram_matrices(returns, 8)
+    for strips in (2, 3, 14):
+        monkeypatch.setattr(matrix, "STRIPS", strips)
+        same(matrix.gram_matrices(returns, 1), want, ("symbol_i", "symbol_j"))
+        same(matrix.gram_matrices(returns, 2), want, ("symbol_i", "symbol_j"))
+
+
+def test_matrix_rows_take_little_room_in_a_file(spark, tmp_path):
+    """Columns of symbols take well below a byte a row, and a value costs little when it comes again with its symbols swapped."""
+    rng, n = np.random.default_rng(8), 300
+    panel = pd.DataFrame({"date": np.repeat(pd.date_range("2024-01-01", periods=20).date, n), "symbol": np.tile([f"{s:06d}" for s in range(n)], 20), "return": rng.normal(size=20 * n)})
+    matrix.corr_matrix(spark.createDataFrame(panel, "date date, symbol string, return double")).coalesce(1).write.parquet(f"{tmp_path}/corr")
+    (file,) = (tmp_path / "corr").glob("*.parquet")
+    meta, size = pq.ParquetFile(file).metadata, {}
+    for g in range(meta.num_row_groups):
+        for c in range(3):
+            column = meta.row_group(g).column(c)
+            size[column.path_in_schema] = size.get(column.path_in_schema, 0) + column.total_compressed_size / n**2
+    assert meta.num_rows == n**2
+    assert size["symbol_i"] + size["symbol_j"] < 0.8 and size["corr"] < 6
+
+
 def test_wide_matrix_has_every_cell(spark):
     rows = [("a", DAY, 0.1), ("b", DAY, None), ("b", DAY + timedelta(1), 0.2)]
     long = spark.createDataFrame(rows, "symbol string, date date, return double")
